@@ -31,7 +31,7 @@ from .common import materialize, small_side
 
 N, PART, WHOLE = 5, 80, 100
 #: Counters of the sketch; lists longer than LONG_LIST go by way of leaders; positions of one block.
-SKETCH_BITS, LONG_LIST, BLOCK = 20, 24, 4
+SKETCH_BITS, LONG_LIST, BLOCK = 20, 8, 4
 BLOCK_CHARS = 500_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -143,46 +143,65 @@ def _needed(n1, n2):
     return (PART * (n1 + n2) + PART + WHOLE - 1) // (PART + WHOLE)
 
 
+def _size_class(n: np.ndarray) -> np.ndarray:
+    return (np.log(n) * 4).astype(np.int64)
+
+
 def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries sorted by token and size become pairs (a, b) from short lists; entries of long lists come back
-    as (a, b: the list's leader, token, n, pos). Memory is bounded by LONG_LIST entries and a batch."""
+    """Entries sorted by token and id become pairs (a, b) from short lists; entries of long lists come back
+    as (a, b: leader, token, n, pos). The leader is the least id of the list and size class, so that the lists
+    of one group of similar sets choose the same one; the class leaders themselves follow the list's first.
+    Memory is bounded by LONG_LIST entries, a leader per size class and a batch."""
     names = ["token", "id", "n", "pos"]
-    held, leader = None, None  # entries of the unfinished list; (token, id) once it is long
+    held, long_token, leaders = None, None, {}  # entries of the unfinished list; the long list's leaders
 
     def short(token, ids, n, pos):
+        order = np.lexsort((ids, n, token))
+        token, ids, n, pos = token[order], ids[order], n[order].astype(np.int64), pos[order]
         out = []
         for step in range(1, LONG_LIST):
             i = np.flatnonzero(token[:-step] == token[step:]) if step < len(token) else np.empty(0, int)
             if not len(i):
                 break
-            need = _needed(n[i].astype(np.int64), n[i + step])
+            need = _needed(n[i], n[i + step])
             good = (n[i] - pos[i] >= need) & (n[i + step] - pos[i + step] >= need) & (ids[i] != ids[i + step])
             i = i[good]
-            out.append((np.minimum(ids[i], ids[i + step]), np.maximum(ids[i], ids[i + step])))
+            out.append((np.maximum(ids[i], ids[i + step]), np.minimum(ids[i], ids[i + step])))
         if out:
             pairs = pd.DataFrame({"a": np.concatenate([x[0] for x in out]), "b": np.concatenate([x[1] for x in out])}).drop_duplicates()
             if len(pairs):
                 yield pairs.assign(token=None, n=None, pos=None)
 
+    def long(token, ids, n, pos):
+        nonlocal long_token, leaders
+        if long_token != token[0]:
+            long_token, leaders = token[0], {}
+        group = _size_class(n)
+        classes, first = np.unique(group, return_index=True)
+        for c, at in sorted(zip(classes.tolist(), first.tolist()), key=lambda x: x[1]):
+            if c not in leaders:
+                top = next(iter(leaders.values()), ids[at])
+                leaders[c] = ids[at]
+                if top != ids[at]:
+                    yield pd.DataFrame({"a": [ids[at]], "b": [top], "token": None, "n": None, "pos": None})
+        led = np.array([leaders[c] for c in classes.tolist()])[np.searchsorted(classes, group)]
+        yield pd.DataFrame({"a": ids, "b": led, "token": token, "n": n, "pos": pos})
+
     def lists(token, ids, n, pos, final):
-        """Finished lists are answered; what may go on is returned by way of held."""
-        nonlocal held, leader
+        """Finished lists are answered; the last one may go on and is held."""
+        nonlocal held
         cut = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
         begin, size = cut[:-1], np.diff(cut)
         open_ = np.zeros(len(begin), bool)
         open_[-1] = not final
         long_ = size > LONG_LIST
-        if leader is not None and leader[0] == token[0]:
-            long_[0] = True
+        long_[0] |= long_token is not None and long_token == token[0]
         keep = np.repeat(~long_ & ~open_ & (size > 1), size)
         yield from short(token[keep], ids[keep], n[keep], pos[keep])
         for k in np.flatnonzero(long_):
             at = slice(begin[k], begin[k] + size[k])
-            if leader is None or leader[0] != token[begin[k]]:
-                leader = (token[begin[k]], ids[begin[k] + size[k] // 2])
-            yield pd.DataFrame({"a": ids[at], "b": leader[1], "token": token[at], "n": n[at], "pos": pos[at]})
-        last = slice(begin[-1], len(token))
-        held = None if final or long_[-1] else [x[last] for x in (token, ids, n, pos)]
+            yield from long(token[at], ids[at], n[at], pos[at])
+        held = None if final or long_[-1] else [x[begin[-1] :] for x in (token, ids, n, pos)]
 
     for batch in batches:
         columns = [batch[c].to_numpy() for c in names]
@@ -199,26 +218,28 @@ _OUT = "a long, b long, token long, n int, pos int"
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, both, na, nb) of pairs: sets are carried from the b side, which repeats, to the a side."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    side = lambda c, is_b: pairs.select(F.col(c).alias("doc_id"), F.lit(not is_b).alias("as_a"), F.lit(is_b).alias("as_b"))
+    ids = side("a", False).union(side("b", True)).groupBy("doc_id").agg(F.max("as_a").alias("as_a"), F.max("as_b").alias("as_b"))
     wanted = small_side(materialize(ids, "jaccard-ids"))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, sets in _blocks(batches):
             yield pd.DataFrame({"doc_id": ids, "s": [x.tobytes() for x in sets]})
 
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInPandas(packed, "doc_id long, s binary").dropDuplicates(["doc_id"])
-    sets = materialize(sets, "jaccard-sets")
+    named = docs.join(wanted, "doc_id", "left_semi").mapInPandas(packed, "doc_id long, s binary")
+    sets = materialize(named.join(wanted, "doc_id"), "jaccard-sets")
 
     @F.pandas_udf("long")
     def common(a: pd.Series, b: pd.Series) -> pd.Series:
         read = lambda x: np.frombuffer(x, np.uint64)
         return pd.Series([len(np.intersect1d(read(x), read(y), assume_unique=True)) for x, y in zip(a, b)], dtype="int64")
 
-    right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
+    right = sets.filter("as_b").select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    left = sets.filter("as_a").select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     rows = pairs.join(right, "b").join(left, "a")
     size = lambda c: F.length(c).cast("long") / 8
-    return materialize(rows.select("a", "b", common("sa", "sb").alias("both"), size("sa").cast("long").alias("na"), size("sb").cast("long").alias("nb")), "jaccard-verified")
+    rows = rows.select("a", "b", common("sa", "sb").alias("both"), size("sa").cast("long").alias("na"), size("sb").cast("long").alias("nb"))
+    return materialize(rows.dropDuplicates(["a", "b"]), "jaccard-verified")
 
 
 def _linked() -> Column:
@@ -250,20 +271,21 @@ def _left_over(hot: DataFrame, verified: DataFrame, labels: DataFrame) -> DataFr
     rows = rows.join(split, "token").join(known.select(F.col("a").alias("id"), F.col("b").alias("leader"), "d"), ["id", "leader"], "left")
     rows = rows.withColumn("d", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.col("d"))).withColumn("block", F.floor(F.col("pos") / BLOCK).cast("int"))
     rows = materialize(rows, "jaccard-open")
-    blocks = rows.groupBy("token", "n", "block").agg(F.min("pos").alias("pos"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("d").alias("d0"), F.max("d").alias("d1"))
-    x, y = (blocks.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("n", "block", "pos", "l0", "l1", "d0", "d1")]) for k in "xy")
+    blocks = rows.groupBy("token", "leader", "n", "block").agg(F.min("pos").alias("pos"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("d").alias("d0"), F.max("d").alias("d1"))
+    x, y = (blocks.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("leader", "n", "block", "pos", "l0", "l1", "d0", "d1")]) for k in "xy")
     need = F.floor((PART * (F.col("nx") + F.col("ny")) + PART + WHOLE - 1) / (PART + WHOLE))
     far = 1 - PART / WHOLE + 1e-9
-    apart = F.coalesce((F.col("d0x") - F.col("d1y") > far) | (F.col("d0y") - F.col("d1x") > far), F.lit(False))
+    led = F.col("leaderx") == F.col("leadery")
+    apart = F.coalesce(led & ((F.col("d0x") - F.col("d1y") > far) | (F.col("d0y") - F.col("d1x") > far)), F.lit(False))
     one = (F.col("l0x") == F.col("l1x")) & (F.col("l0x") == F.col("l0y")) & (F.col("l0y") == F.col("l1y"))
     fits = (F.col("nx") <= F.col("ny")) & (PART * F.col("ny") <= WHOLE * F.col("nx"))
     met = x.join(y, "token").filter(fits & (F.col("nx") - F.col("posx") >= need) & (F.col("ny") - F.col("posy") >= need) & ~apart & ~one)
-    met = met.select("token", "nx", "blockx", "ny", "blocky")
-    x, y = (rows.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("n", "block", "id", "label", "d", "pos")]) for k in "xy")
-    pairs = met.join(x, ["token", "nx", "blockx"]).join(y, ["token", "ny", "blocky"])
-    apart = F.coalesce(F.abs(F.col("dx") - F.col("dy")) > far, F.lit(False))
+    met = met.select("token", "leaderx", "nx", "blockx", "leadery", "ny", "blocky")
+    x, y = (rows.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("leader", "n", "block", "id", "label", "d", "pos")]) for k in "xy")
+    pairs = met.join(x, ["token", "leaderx", "nx", "blockx"]).join(y, ["token", "leadery", "ny", "blocky"])
+    apart = F.coalesce(led & (F.abs(F.col("dx") - F.col("dy")) > far), F.lit(False))
     pairs = pairs.filter((F.col("labelx") != F.col("labely")) & (F.col("nx") - F.col("posx") >= need) & (F.col("ny") - F.col("posy") >= need) & ~apart)
-    pairs = pairs.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
+    pairs = pairs.select(F.greatest("idx", "idy").alias("a"), F.least("idx", "idy").alias("b")).distinct()
     return materialize(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-left")
 
 
@@ -278,7 +300,7 @@ def classes(docs: DataFrame) -> DataFrame:
     spare = small_side(copies.filter(F.col("doc_id") != F.col("first")).select("doc_id"))
     single = texts.join(spare, "doc_id", "left_anti")
     entries = _entries(single, _levels(described))
-    found = entries.repartition("token").sortWithinPartitions("token", "n", "pos").mapInPandas(_probe, _OUT)
+    found = entries.repartition("token").sortWithinPartitions("token", "id").mapInPandas(_probe, _OUT)
     found = materialize(found, "jaccard-found")
     hot = found.filter(F.col("token").isNotNull())
     pairs = materialize(found.filter(F.col("a") != F.col("b")).select("a", "b").distinct(), "jaccard-pairs")

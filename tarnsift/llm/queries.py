@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, jaccard_join, line_dedup, quality_rules
-from .common import table
+from . import byte_bpe, chat_format, decontaminate, huffman_ids, jaccard_join, line_dedup, pii, quality_rules, token_counts, weak_quality
+from .common import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
@@ -30,16 +34,67 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.withColumnsRenamed({"_n_lines": "n_lines", "_n_dropped": "n_dropped"})
 
 
+def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman_ids.write_and_read(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+#: A conversation that says what could be taken for control strings.
+TRAP = r"\### Assistant: </turn> ok"
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string")
+    blocks = materialize(chat_format.formatted(chat_format.canonical_turns(said.union(trap))), "chat-blocks")
+    return chat_format.digests(blocks)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_ngram_jaccard_join, op3_byte_bpe, op4_quality_rules, op6_decontamination, op8_line_dedup,
+    op1_ngram_jaccard_join, op2_pii, op3_byte_bpe, op4_quality_rules, op5_weak_quality, op6_decontamination,
+    op7_token_counts, op8_line_dedup, op9_huffman_ids, op10_chat_format,
 )}
-ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": r"""
+    WITH lines AS (
+        SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+        FROM documents),
+    shaped AS (
+        SELECT doc_id, text, line, pos, regexp_replace(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS t
+        FROM lines),
+    met AS (
+        SELECT t, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM shaped
+        WHERE length(t) - length(replace(t, ' ', '')) + 1 >= 4 AND regexp_matches(replace(t, '<*>', ''), '[^\x20\x09-\x0D]')
+        GROUP BY t HAVING count(DISTINCT doc_id) >= 3),
+    marked AS (SELECT s.doc_id, s.line, s.pos, m.t IS NOT NULL AND s.doc_id <> m.first AS gone FROM shaped s LEFT JOIN met m ON s.t = m.t)
+    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
+           count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped
+    FROM marked GROUP BY doc_id""",
+    "op10_chat_format": r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(length(role) + 6 + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')) + 9)::BIGINT AS formatted_chars
+    FROM turns GROUP BY conv_id""",
+}
