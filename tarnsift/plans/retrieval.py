@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnsift.operators.similarity import top_cosine
@@ -37,3 +37,70 @@ ORACLE_SQL = {
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
         FROM ({_SCORED.format(on='q.label = c.label')})) WHERE rank <= 5""",
 }
+
+
+def _answer(body: str) -> str:
+    """SQL over the scored candidates of every query, ranked by score, ties by chunk."""
+    scored = _SCORED.format(on="true")
+    return f"""
+    WITH scored AS ({scored}),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM scored),
+    candidates AS (SELECT *, CAST(round(score * 1000000) AS BIGINT) * (20 - abs(query_label - chunk_label)) / 20000000.0::DOUBLE AS second_score FROM ranked WHERE place <= 20),
+    reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY second_score DESC, place) AS second_place FROM candidates)
+    {body}"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage 1: 20 candidates of every query; stage 2 rescoring by a stand-in for a pair scorer."""
+    queries, chunks = _sides(spark, sf_dir)
+    rows = top_cosine(queries, chunks, CANDIDATES).withColumnRenamed("rank", "place")
+    rows = rows.withColumn("second_score", F.round(F.col("score") * 1000000).cast("long") * (20 - F.abs(F.col("query_label") - F.col("chunk_label"))) / F.lit(20000000.0))
+    return rows.withColumn("second_place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("second_score"), "place")).cast("long"))
+
+
+def r9_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _candidates(spark, sf_dir).filter((F.col("second_score") >= THRESHOLD) & (F.col("second_place") <= TOP))
+    return rows.select("query_id", "chunk_id", "second_score", "second_place")
+
+
+def f20_fate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fate = F.when(F.col("second_score") < THRESHOLD, "below threshold").when(F.col("second_place") > TOP, "beyond top").otherwise("kept")
+    return _candidates(spark, sf_dir).select("query_id", "chunk_id", fate.alias("fate"))
+
+
+def r6_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of one label are spellings of one question: the best score of each chunk, and the first query with it."""
+    best = Window.partitionBy("query_label", "chunk_id").orderBy(F.desc("second_score"), "query_id")
+    rows = _candidates(spark, sf_dir).withColumn("n", F.row_number().over(best)).filter("n = 1")
+    return rows.select("query_label", "chunk_id", "query_id", "second_score")
+
+
+def r7_score_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).groupBy("query_label", "chunk_id").agg(F.max("score").alias("score"))
+
+
+def r11_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of the first chunk of the expected label before and after the second stage."""
+    same = F.col("query_label") == F.col("chunk_label")
+    return _candidates(spark, sf_dir).groupBy("query_id").agg(F.min(F.when(same, F.col("place"))).alias("before"), F.min(F.when(same, F.col("second_place"))).alias("after"))
+
+
+def g12_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = spark.createDataFrame([(t,) for t in SWEEP], "threshold double")
+    rows = _candidates(spark, sf_dir).join(F.broadcast(steps), F.col("second_score") >= F.col("threshold"))
+    kept = rows.filter(F.col("second_place") <= TOP)
+    return kept.groupBy("threshold").agg(F.count("*").alias("excerpts"), F.countDistinct("query_id").alias("answered"))
+
+
+#: Candidates of stage 1, least second score, thresholds of the sweep.
+CANDIDATES, THRESHOLD, SWEEP = 20, 0.10, (0.02, 0.05, 0.10, 0.20, 0.30, 0.50)
+_EXTRA = {
+    "R9_two_stage": (r9_two_stage, "SELECT query_id, chunk_id, second_score, second_place FROM reranked WHERE second_score >= 0.1 AND second_place <= 5"),
+    "F20_fate": (f20_fate, "SELECT query_id, chunk_id, CASE WHEN second_score < 0.1 THEN 'below threshold' WHEN second_place > 5 THEN 'beyond top' ELSE 'kept' END AS fate FROM reranked"),
+    "R6_multi_query_fusion": (r6_fusion, "SELECT query_label, chunk_id, query_id, second_score FROM (SELECT *, row_number() OVER (PARTITION BY query_label, chunk_id ORDER BY second_score DESC, query_id) AS n FROM reranked) WHERE n = 1"),
+    "R7_score_fusion": (r7_score_fusion, "SELECT query_label, chunk_id, max(score) AS score FROM candidates GROUP BY ALL"),
+    "R11_placement": (r11_placement, "SELECT query_id, min(CASE WHEN query_label = chunk_label THEN place END) AS before, min(CASE WHEN query_label = chunk_label THEN second_place END) AS after FROM reranked GROUP BY query_id"),
+    "G12_retrieval_sweep": (g12_sweep, "SELECT t.threshold::DOUBLE AS threshold, count(*) AS excerpts, count(DISTINCT query_id) AS answered FROM reranked JOIN (VALUES (0.02), (0.05), (0.1), (0.2), (0.3), (0.5)) t(threshold) ON second_score >= t.threshold WHERE second_place <= 5 GROUP BY 1"),
+}
+QUERIES |= {k: f for k, (f, _) in _EXTRA.items()}
+ORACLE_SQL |= {k: _answer(sql) for k, (_, sql) in _EXTRA.items()}
