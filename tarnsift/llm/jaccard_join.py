@@ -10,7 +10,9 @@ Exact prefix-filter join with set-relation skipping.
 4. Long lists first compare every set with one leader. Then answers are derived: sets in one component need
    no further comparison, and for two sets with a common leader the differences from the leader bound their
    own (Jaccard distance is a metric). What is left is compared pair by pair.
-5. Links make components by minimum labels with pointer jumping, on written tables.
+5. Before whole sets are carried together, a profile (counts of a set's elements by hash range, a byte per two
+   to four elements) bounds every pair's intersection from above; pairs that the bound decides need no sets.
+6. Links make components by minimum labels with pointer jumping, on written tables.
 
 Defined cases: null or blank texts have an empty set and a component of their own; with under five words the
 whole sequence is the one element; rows without doc_id take no part and get a null component; rows repeated
@@ -90,8 +92,21 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[
                 begin, chars = k + 1, 0
 
 
+def profile(s: np.ndarray) -> bytes:
+    """Elements by hash range, up to 255 each, in a power of two of ranges."""
+    bits = max(6, (len(s) // 4).bit_length())
+    return np.minimum(255, np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)).astype(np.uint8).tobytes()
+
+
+def apart_at_least(x: bytes, y: bytes) -> int:
+    """Lower bound of the symmetric difference of two sets, from their profiles."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    m = min(len(a), len(b))
+    return int(np.abs(a.reshape(m, -1).sum(1) - b.reshape(m, -1).sum(1)).sum())
+
+
 def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per document its set's size and signature; at the end of a task one row with the task's sketch."""
+    """Per document its set's size, signature and profile; at the end of a task one row with the task's sketch."""
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     for ids, sets in _blocks(batches):
         every = np.concatenate(sets)
@@ -102,8 +117,8 @@ def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(every ^ np.uint64(salt)))))
             signatures.append((sums[edges[1:]] - sums[edges[:-1]]).view(np.int64))
-        yield pd.DataFrame({"doc_id": ids, "n": sizes.astype(np.int64), "s1": signatures[0], "s2": signatures[1], "sketch": None})
-    yield pd.DataFrame({"doc_id": [0], "n": [-1], "s1": [0], "s2": [0], "sketch": [zlib.compress(sketch.tobytes(), 1)]})
+        yield pd.DataFrame({"doc_id": ids, "n": sizes.astype(np.int64), "s1": signatures[0], "s2": signatures[1], "profile": [profile(s) for s in sets], "sketch": None})
+    yield pd.DataFrame({"doc_id": [0], "n": [-1], "s1": [0], "s2": [0], "profile": [None], "sketch": [zlib.compress(sketch.tobytes(), 1)]})
 
 
 def _levels(described: DataFrame) -> np.ndarray:
@@ -216,7 +231,32 @@ def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _OUT = "a long, b long, token long, n int, pos int"
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, linked, d0, d1) of pairs: whether they link, and bounds of their distance.
+
+    Profiles come together first; whole sets only where the profiles leave a link possible."""
+
+    @F.pandas_udf("long")
+    def least(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([apart_at_least(x, y) for x, y in zip(a, b)], dtype="int64")
+
+    # one of equal rows: a document repeated has the same profile each time
+    about = described.filter(F.col("n") > 0).select("doc_id", "n", "profile")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    about = about.join(small_side(materialize(ids, "jaccard-ids")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    side = lambda k: about.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("profile").alias(f"p{k}"))
+    bound = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", least("pa", "pb").alias("apart"))
+    bound = materialize(bound, "jaccard-bounded")
+    most = F.floor((F.col("na") + F.col("nb") - F.col("apart")) / 2)
+    open_ = _linked(most)
+    shut = bound.filter(~open_).select("a", "b", F.lit(False).alias("linked"), _distance(most).alias("d0"), F.lit(1.0).alias("d1"))
+    exact = _intersected(docs, bound.filter(open_).select("a", "b"))
+    distance = _distance(F.col("both"))
+    exact = exact.select("a", "b", _linked(F.col("both")).alias("linked"), distance.alias("d0"), distance.alias("d1"))
+    return materialize(shut.union(exact), "jaccard-verified")
+
+
+def _intersected(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, both, na, nb) of pairs: sets are carried from the b side, which repeats, to the a side."""
     side = lambda c, is_b: pairs.select(F.col(c).alias("doc_id"), F.lit(not is_b).alias("as_a"), F.lit(is_b).alias("as_b"))
     ids = side("a", False).union(side("b", True)).groupBy("doc_id").agg(F.max("as_a").alias("as_a"), F.max("as_b").alias("as_b"))
@@ -239,11 +279,15 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = pairs.join(right, "b").join(left, "a")
     size = lambda c: F.length(c).cast("long") / 8
     rows = rows.select("a", "b", common("sa", "sb").alias("both"), size("sa").cast("long").alias("na"), size("sb").cast("long").alias("nb"))
-    return materialize(rows.dropDuplicates(["a", "b"]), "jaccard-verified")
+    return rows.dropDuplicates(["a", "b"])
+
+
+def _linked(both: Column) -> Column:
+    return WHOLE * both >= PART * (F.col("na") + F.col("nb") - both)
 
 
-def _linked() -> Column:
-    return WHOLE * F.col("both") >= PART * (F.col("na") + F.col("nb") - F.col("both"))
+def _distance(both: Column) -> Column:
+    return 1 - both / (F.col("na") + F.col("nb") - both)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -263,27 +307,27 @@ def components(links: DataFrame) -> DataFrame:
 
 def _left_over(hot: DataFrame, verified: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of long lists that neither components nor a common leader decide."""
-    known = verified.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
-    known = known.union(known.select("b", "a", "d")).distinct()
+    known = verified.select("a", "b", "d0", "d1")
+    known = known.union(known.select("b", "a", "d0", "d1")).distinct()
     rows = hot.select(F.col("a").alias("id"), F.col("b").alias("leader"), "token", "n", "pos")
     rows = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     split = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter(F.col("l") < F.col("m")).select("token")
-    rows = rows.join(split, "token").join(known.select(F.col("a").alias("id"), F.col("b").alias("leader"), "d"), ["id", "leader"], "left")
-    rows = rows.withColumn("d", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.col("d"))).withColumn("block", F.floor(F.col("pos") / BLOCK).cast("int"))
+    rows = rows.join(split, "token").join(known.select(F.col("a").alias("id"), F.col("b").alias("leader"), "d0", "d1"), ["id", "leader"], "left")
+    rows = rows.withColumns({d: F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.coalesce(d, F.lit(unknown))) for d, unknown in (("d0", 0.0), ("d1", 1.0))})
+    rows = rows.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("int"))
     rows = materialize(rows, "jaccard-open")
-    blocks = rows.groupBy("token", "leader", "n", "block").agg(F.min("pos").alias("pos"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("d").alias("d0"), F.max("d").alias("d1"))
+    blocks = rows.groupBy("token", "leader", "n", "block").agg(F.min("pos").alias("pos"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("d0").alias("d0"), F.max("d1").alias("d1"))
     x, y = (blocks.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("leader", "n", "block", "pos", "l0", "l1", "d0", "d1")]) for k in "xy")
     need = F.floor((PART * (F.col("nx") + F.col("ny")) + PART + WHOLE - 1) / (PART + WHOLE))
     far = 1 - PART / WHOLE + 1e-9
     led = F.col("leaderx") == F.col("leadery")
-    apart = F.coalesce(led & ((F.col("d0x") - F.col("d1y") > far) | (F.col("d0y") - F.col("d1x") > far)), F.lit(False))
+    apart = led & ((F.col("d0x") - F.col("d1y") > far) | (F.col("d0y") - F.col("d1x") > far))
     one = (F.col("l0x") == F.col("l1x")) & (F.col("l0x") == F.col("l0y")) & (F.col("l0y") == F.col("l1y"))
     fits = (F.col("nx") <= F.col("ny")) & (PART * F.col("ny") <= WHOLE * F.col("nx"))
     met = x.join(y, "token").filter(fits & (F.col("nx") - F.col("posx") >= need) & (F.col("ny") - F.col("posy") >= need) & ~apart & ~one)
     met = met.select("token", "leaderx", "nx", "blockx", "leadery", "ny", "blocky")
-    x, y = (rows.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("leader", "n", "block", "id", "label", "d", "pos")]) for k in "xy")
+    x, y = (rows.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("leader", "n", "block", "id", "label", "d0", "d1", "pos")]) for k in "xy")
     pairs = met.join(x, ["token", "leaderx", "nx", "blockx"]).join(y, ["token", "leadery", "ny", "blocky"])
-    apart = F.coalesce(led & (F.abs(F.col("dx") - F.col("dy")) > far), F.lit(False))
     pairs = pairs.filter((F.col("labelx") != F.col("labely")) & (F.col("nx") - F.col("posx") >= need) & (F.col("ny") - F.col("posy") >= need) & ~apart)
     pairs = pairs.select(F.greatest("idx", "idy").alias("a"), F.least("idx", "idy").alias("b")).distinct()
     return materialize(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-left")
@@ -292,8 +336,8 @@ def _left_over(hot: DataFrame, verified: DataFrame, labels: DataFrame) -> DataFr
 def classes(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id."""
     texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-    described = materialize(texts.mapInPandas(_described, "doc_id long, n long, s1 long, s2 long, sketch binary"), "jaccard-described")
-    sets = described.filter(F.col("n") >= 0).drop("sketch")
+    described = materialize(texts.mapInPandas(_described, "doc_id long, n long, s1 long, s2 long, profile binary, sketch binary"), "jaccard-described")
+    sets = described.filter(F.col("n") >= 0).drop("sketch", "profile")
     by = ["n", "s1", "s2"]
     same = sets.filter(F.col("n") > 0).groupBy(by).agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).filter(F.col("k") > 1).drop("k")
     copies = materialize(sets.join(same, by).select("doc_id", "first").distinct(), "jaccard-copies")
@@ -304,12 +348,12 @@ def classes(docs: DataFrame) -> DataFrame:
     found = materialize(found, "jaccard-found")
     hot = found.filter(F.col("token").isNotNull())
     pairs = materialize(found.filter(F.col("a") != F.col("b")).select("a", "b").distinct(), "jaccard-pairs")
-    verified = _verified(single, pairs)
-    links = verified.filter(_linked())
+    verified = _verified(single, described, pairs)
+    links = verified.filter("linked")
     labels = components(links)
     rest = _left_over(hot, verified, labels)
     if not rest.isEmpty():
-        links = links.union(_verified(single, rest).filter(_linked()))
+        links = links.union(_verified(single, described, rest).filter("linked"))
         labels = components(links)
     labels = labels.select(F.col("id").alias("first"), "label")
     out = sets.join(copies.withColumnRenamed("doc_id", "copy"), F.col("doc_id") == F.col("copy"), "left")
