@@ -9,13 +9,13 @@ from tarnsift.operators.similarity import top_cosine
 from tarnsift.session import table
 
 TOP = 5
-#: Query vectors are a stated set: those whose id is under this number.
-QUERY_IDS = 20
+#: Query vectors are a stated set: every row whose id this number divides, against all rows.
+QUERY_STEP = 20
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vectors = table(spark, sf_dir, "embeddings")
-    queries = vectors.filter(F.col("vec_id") < QUERY_IDS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
+    queries = vectors.filter(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
     chunks = vectors.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("label").alias("chunk_label"))
     return queries, chunks
 
@@ -28,7 +28,7 @@ def r1_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORED = """
     SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, q.label AS query_label, c.label AS chunk_label,
            round(list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
-    FROM embeddings q JOIN embeddings c ON {on} WHERE q.vec_id < 20"""
+    FROM embeddings q JOIN embeddings c ON {on} WHERE q.vec_id % 20 = 0"""
 
 QUERIES = {"R1_topk_cosine": r1_topk_cosine}
 ORACLE_SQL = {
