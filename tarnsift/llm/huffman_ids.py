@@ -1,15 +1,15 @@
 """Token ids in files, by canonical length-limited Huffman codes.
 
-Two passes. The first encodes texts and adds up how often each id occurs; package-merge gives code lengths of
-at most MAX_BITS, and canonical codes follow from the lengths alone. The second encodes again, in ascending
-doc_id order by range partitioning, and writes blocks of whole documents; every block can be decoded by itself,
+Two passes. The first encodes texts, writes their ids and adds up how often each id occurs; package-merge gives
+code lengths of at most MAX_BITS, and canonical codes follow from the lengths alone. The second reads the ids in
+ascending doc_id order by range partitioning, and writes blocks of whole documents; every block can be decoded by itself,
 and bit offsets every STRIDE ids let one table lookup per step serve all stretches at once.
 
 Files: <path>/header (one row: code lengths by id) and <path>/blocks (part, block, doc_ids, sizes, checkpoints,
 payload), both Parquet.
 
 Defined cases: null text is empty and has only the end id; an empty table gives an empty file; doc_id repeated
-or null: rows stand next to each other in order of text, nulls first; other columns are not read.
+or null: rows stand next to each other in order of the bytes of their ids, nulls first; other columns are not read.
 """
 
 from __future__ import annotations
@@ -49,22 +49,31 @@ def _ids(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
             yield np.array([*e.ids, END_ID], np.uint32)
 
 
-def count_ids(docs: DataFrame, path: str) -> np.ndarray:
-    """How often each id occurs, over all documents: one bounded vector per task, added in a tree."""
+def encoded(docs: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
+    """A written table (doc_id, ids) of all documents, and how often each id occurs: one bounded vector per
+    task, added in a tree."""
     size = _tokenizer(path).get_vocab_size(True)
+    kind = _kind(size)
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in _ids(batch["text"].tolist(), path):
-                total += np.bincount(ids, minlength=size) if len(ids) > 2000 else 0
-                if len(ids) <= 2000:
-                    np.add.at(total, ids, 1)
-        yield pd.DataFrame({"counts": [zlib.compress(total.tobytes(), 1)]})
-
-    rows = materialize(docs.select("text").mapInPandas(counted, "counts binary"), "id-counts").rdd
+            for k in range(0, len(batch), 64):
+                some = batch.iloc[k : k + 64]
+                ids = list(_ids(some["text"].tolist(), path))
+                total += np.bincount(np.concatenate(ids), minlength=size)
+                yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "ids": [x.astype(kind).tobytes() for x in ids], "counts": None})
+        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "ids": [None], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    table = materialize(docs.select("doc_id", "text").mapInPandas(coded, "doc_id long, ids binary, counts binary"), "encoded")
+    rows = table.filter(F.col("counts").isNotNull()).select("counts").rdd
     read = rows.map(lambda r: np.frombuffer(zlib.decompress(r["counts"]), np.int64))
-    return read.treeReduce(lambda a, b: a + b) if not rows.isEmpty() else np.zeros(size, np.int64)
+    counts = read.treeReduce(lambda a, b: a + b) if not rows.isEmpty() else np.zeros(size, np.int64)
+    return table.filter(F.col("counts").isNull()).select("doc_id", "ids"), counts
+
+
+def _kind(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -155,8 +164,8 @@ class Decoder:
 def write(docs: DataFrame, tokenizer_path: str, path: str) -> None:
     """Write the ids of all documents in ascending doc_id order."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
-    lengths = code_lengths(count_ids(texts, tokenizer_path))
+    coded, counts = encoded(docs, tokenizer_path)
+    lengths, kind = code_lengths(counts), _kind(len(counts))
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}/header")
     shared = spark.sparkContext.broadcast(lengths)
 
@@ -171,7 +180,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str) -> None:
 
         for batch in batches:
             part = int(batch["part"].iloc[0]) if len(batch) else 0
-            for doc, ids in zip(batch["doc_id"], _ids(batch["text"].tolist(), tokenizer_path)):
+            for doc, ids in zip(batch["doc_id"], [np.frombuffer(x, kind) for x in batch["ids"]]):
                 names.append(None if pd.isna(doc) else int(doc))
                 parts.append(ids)
                 size += len(ids)
@@ -181,7 +190,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str) -> None:
         if parts:
             yield block()
 
-    ordered = texts.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    ordered = coded.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids").withColumn("part", F.spark_partition_id())
     ordered.mapInPandas(blocks, "part int, block int, doc_ids array<long>, sizes array<int>, checkpoints array<long>, payload binary").write.parquet(f"{path}/blocks")
 
 
