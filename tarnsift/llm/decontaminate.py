@@ -54,20 +54,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (_id, _sum, doc_id, item_id, n_matched, n_item): documents that hold a benchmark item."""
     items = materialize(
         benchmark.select("item_id", _hashes(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
-        .withColumn("item", F.xxhash64("item_id", "tokens")).distinct(), "items")
-    seeds = materialize(_seed_rows(items, "item").distinct().withColumnsRenamed({"place": "item_place"}), "seeds")
+        .withColumns({"item": F.xxhash64("item_id", "tokens"), "n_item": F.size("tokens")}).distinct(), "items")
+    seeds = materialize(_seed_rows(items, "item", "n_item").distinct().withColumnsRenamed({"place": "item_place"}), "seeds")
     keyed = docs.select(*row_key(docs["doc_id"], docs["text"]), "doc_id", "text")
     rows = _seed_rows(keyed.select("_id", "_sum", _hashes(F.col("text")).alias("tokens")), "_id", "_sum")
-    hits = rows.join(small_side(seeds), "seed").select("_id", "_sum", "item", (F.col("place") - F.col("item_place")).alias("shift"))
+    hits = rows.join(small_side(seeds), "seed").select("_id", "_sum", "item", "n_item", (F.col("place") - F.col("item_place")).alias("shift"))
     # the hits of one document are bounded by its length
-    by_doc = materialize(hits.groupBy("_id", "_sum").agg(F.collect_set(F.struct("item", "shift")).alias("hits")), "hits")
+    by_doc = materialize(hits.groupBy("_id", "_sum").agg(F.collect_set(F.struct("item", "n_item", "shift")).alias("hits")), "hits")
     found = keyed.join(small_side(by_doc), ["_id", "_sum"]).select("_id", "_sum", "doc_id", _hashes(F.col("text")).alias("d"), "hits")
-    found = found.select("_id", "_sum", "doc_id", "d", F.explode("hits").alias("hit"))
-    found = found.select("_id", "_sum", "doc_id", F.col("hit.item").alias("item"), "hit.shift", F.slice("d", F.greatest(F.col("hit.shift") + 1, F.lit(1)), F.lit(100_000)).alias("d"))
+    # only the words under the item move on; in place of the item's words before the document there are none
+    under = F.transform("hits", lambda h: F.struct(h["item"].alias("item"), h["shift"].alias("shift"), F.slice("d", F.greatest(h["shift"] + 1, F.lit(1)), h["n_item"]).alias("d")))
+    found = found.select("_id", "_sum", "doc_id", F.explode(under).alias("hit")).select("_id", "_sum", "doc_id", "hit.*")
     laid = found.join(small_side(items), "item")
     skip = F.greatest(-F.col("shift"), F.lit(0))
     equal = F.size(F.filter(F.arrays_zip(F.slice("tokens", skip + 1, F.size("tokens")).alias("t"), F.slice("d", F.lit(1), F.size("tokens")).alias("d")), lambda x: x["t"] == x["d"]))
-    laid = laid.select("_id", "_sum", "doc_id", "item_id", "item", F.size("tokens").alias("n_item"), equal.alias("n"))
+    laid = laid.select("_id", "_sum", "doc_id", "item_id", "item", "n_item", equal.alias("n"))
     total = laid.groupBy("_id", "_sum", "doc_id", "item_id", "item", "n_item").agg(F.least(F.sum("n"), F.first("n_item")).cast("long").alias("n_matched"))
     return total.filter((F.col("n_matched") >= MIN_SHARE * F.col("n_item")) | (F.col("n_matched") >= MIN_MATCHED)).drop("item")
 
