@@ -15,6 +15,7 @@ or null: rows stand next to each other in order of the bytes of their ids, nulls
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ from .common import materialize, scratch_dir
 
 #: Longest code, ids between bit offsets, ids after which a block ends, the id that ends a document.
 MAX_BITS, STRIDE, BLOCK_IDS, END_ID = 16, 256, 65_536, 0
+#: Distinct pieces of texts remembered with their ids, and characters of texts encoded at once.
+MOST_PIECES, SLICE_CHARS = 500_000, 1_000_000
 _LOADED: dict[str, object] = {}
 
 
@@ -41,12 +44,97 @@ def _tokenizer(path: str):
     return _LOADED[path]
 
 
-def _ids(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
-    """Ids of each text with the end id, a few texts at a time."""
-    tokenizer = _tokenizer(path)
-    for k in range(0, len(texts), 64):
-        for e in tokenizer.encode_batch_fast([t or "" for t in texts[k : k + 64]], add_special_tokens=False):
-            yield np.array([*e.ids, END_ID], np.uint32)
+#: A blank beside other white space, or a line end beside white space; a blank between two other characters.
+_ADJACENT = (re.compile(r" (?:(?<=\s\s)|(?=\s))"), re.compile(r"\n(?:(?<=\s\s)|(?=\s))"))
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+class Pieces:
+    """Encodes texts by their distinct pieces, each given to the library once while it is remembered.
+
+    The byte-level pre-tokeniser begins a new token at every single blank, and before and after every single line
+    end, that has no white space beside it, and looks no further than that. So a text's ids are those of its
+    parts. A text with white space side by side is cut at lone blanks only. Parts that begin with a blank are
+    known by what follows it; parts that do not (of line starts, line ends) by a tuple."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.line_end = self._encode("\n")
+        self._clear()
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _clear(self) -> None:
+        self.known: dict[str | tuple[str], int] = {}
+        self.flat, self.begin, self.size = np.empty(1 << 20, np.uint32), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+        self.n = self.used = 0
+
+    def _add(self, keys: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.n + len(keys) > len(self.begin):
+            self.begin, self.size = (np.concatenate((x, np.empty_like(x))) for x in (self.begin, self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[self.n : self.n + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + len(keys)] = sizes
+        self.known.update(zip(keys, range(self.n, self.n + len(keys))))
+        self.n, self.used = self.n + len(keys), self.used + len(ids)
+
+    def _learn(self, keys: list) -> None:
+        """Parts without white space inside go to the library many to a text, one to a line."""
+        plain, other = [], []
+        for key in keys:
+            words = (key[0] if type(key) is tuple else key).split()
+            (plain if len(words) == 1 and words[0] == (key[0] if type(key) is tuple else key) else other).append(key)
+        for k in range(0, len(plain), 2048):
+            some = plain[k : k + 2048]
+            ids = np.array(self._encode("".join([f"\n{p[0]}" if type(p) is tuple else f"\n {p}" for p in some]) + "\n"), np.uint32)
+            at = np.flatnonzero(ids == self.line_end[0])
+            if len(self.line_end) == 1 and len(at) == len(some) + 1:
+                self._add(some, ids[ids != self.line_end[0]], np.diff(at) - 1)
+            else:
+                other += some
+        for key in other:
+            ids = self._encode(key[0] if type(key) is tuple else f" {key}")
+            self._add([key], np.array(ids, np.uint32), np.array([len(ids)]))
+
+    @staticmethod
+    def cut(text: str) -> list[str | tuple[str]]:
+        if any(p.search(text) for p in _ADJACENT):
+            parts = _CUT.split(text)
+            return [(parts[0],), *parts[1:]]
+        out: list[str | tuple[str]] = []
+        for line in text.split("\n"):
+            parts = line.split(" ")
+            parts[0] = (parts[0],)
+            if out:
+                out.append(("\n",))
+            out += parts
+        return out
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text with the end id."""
+        if self.n > MOST_PIECES:
+            self._clear()
+        parts, ends = [], []
+        for text in texts:
+            parts += self.cut(text)
+            ends.append(len(parts))
+        self._learn([p for p in set(parts) if p not in self.known])
+        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        size = self.size[at]
+        last = np.cumsum(size)
+        flat = self.flat[np.arange(last[-1] if len(last) else 0) + np.repeat(self.begin[at] - last + size, size)]
+        stops = last[np.array(ends, np.int64) - 1].tolist() if ends else []
+        return [np.append(flat[a:b], np.uint32(END_ID)) for a, b in zip([0, *stops], stops)]
+
+
+def _pieces(path: str) -> Pieces:
+    """One memory per Python worker, kept from task to task."""
+    if (key := f"pieces {path}") not in _LOADED:
+        _LOADED[key] = Pieces(_tokenizer(path))
+    return _LOADED[key]
 
 
 def encoded(docs: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
@@ -56,11 +144,11 @@ def encoded(docs: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
     kind = _kind(size)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size, np.int64)
+        total, pieces = np.zeros(size, np.int64), _pieces(path)
         for batch in batches:
-            for k in range(0, len(batch), 64):
-                some = batch.iloc[k : k + 64]
-                ids = list(_ids(some["text"].tolist(), path))
+            chars = batch["text"].str.len().fillna(0).cumsum() // SLICE_CHARS
+            for _, some in batch.groupby(chars):
+                ids = pieces.ids([t or "" for t in some["text"]])
                 total += np.bincount(np.concatenate(ids), minlength=size)
                 yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "ids": [x.astype(kind).tobytes() for x in ids], "counts": None})
         yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "ids": [None], "counts": [zlib.compress(total.tobytes(), 1)]})

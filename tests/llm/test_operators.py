@@ -261,3 +261,14 @@ def test_pipeline_stages_keep_columns(spark):
         rows = corpus_pipeline.materialize(stage(spark, rows, SF), f"test-{name}")
         assert rows.columns == docs.columns and 0 < rows.count() <= docs.count()
     assert corpus_pipeline.run(spark, SF).count() == rows.count()
+
+
+def test_pieces_encode_as_whole_texts_do():
+    tokenizer = huffman_ids._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    signs = [" ", "\n", "\t", "\x1c", "\x85", "\u180e", "\u200b", "\u3000", "a", "b", "1", ".", "'s", "é", "字", "<|endoftext|>"]
+    rng = np.random.default_rng(5)
+    texts = ["", " ", "\n", "a  b", "a \n b", " a\nb ", "a\n\nb"] + ["".join(rng.choice(signs, rng.integers(0, 25))) for _ in range(2000)]
+    pieces = huffman_ids.Pieces(tokenizer)
+    for _ in range(2):
+        got = pieces.ids(texts)
+        assert all(tokenizer.encode(t, add_special_tokens=False).ids + [0] == g.tolist() for t, g in zip(texts, got))
