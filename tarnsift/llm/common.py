@@ -41,6 +41,13 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def sampled(docs: DataFrame, rows: int) -> DataFrame:
+    """About rows rows of docs, chosen by the hash of doc_id before anything moves; all rows of a smaller table.
+    Rows of one doc_id come together, so what needs a bound sets a limit on top."""
+    share = min(1.0, rows / max(1, docs.count()))
+    return docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate value once per row and give it to body by name."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,8 +1,8 @@
 """Personal data: fixed base forms, and a character model that adds spans.
 
 The model is a bidirectional LSTM over character classes with CRF transitions between the tags, written and
-trained in numpy. Its labelled spans are the base spans of a bounded sample of documents (TRAIN_DOCS rows with
-the least hash of their id), plus spellings of them that the base forms miss (doubled blanks, spelled-out
+trained in numpy. Its labelled spans are the base spans of a bounded sample of documents (at most TRAIN_DOCS
+rows, chosen by the hash of their id), plus spellings of them that the base forms miss (doubled blanks, spelled-out
 separators, blanks around signs). Every kind holds a digit or an @, so windows are laid over all places of
 the whole text that are near one, at half their length apart. Overlapping windows are decoded and reconciled
 globally: each position takes both windows' emissions, weighted by the distance from the window's edge, and
@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 KINDS = ("email", "ip", "card", "phone")
 #: Training: documents sampled, windows at most, steps, batch. Model: window, hidden units, embedding.
 TRAIN_DOCS, TRAIN_WINDOWS, STEPS, BATCH = 4000, 1600, 160, 64
@@ -284,9 +286,10 @@ def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame) -> Tagger:
     """Fit on the base spans of a bounded sample; only texts' stretches around digits come to the driver."""
-    sample = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_DOCS)
     near = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"(?s).{0,50}[0-9@].{0,80}"), F.lit(0)), 1, 8), "\n")
-    texts = [r[0] for r in sample.select(near).collect()]
+    some = sampled(docs.select("doc_id", "text"), 4 * TRAIN_DOCS).filter(F.col("text").rlike("[0-9@]"))
+    sample = some.select("doc_id", near.alias("near")).orderBy(F.xxhash64("doc_id"), "doc_id", "near").limit(TRAIN_DOCS)
+    texts = [r["near"] for r in sample.collect()]
     tagger = Tagger()
     x, y = examples(texts)
     if len(x):
