@@ -4,7 +4,7 @@ Overlapping heuristic labellers vote good (1), bad (-1) or nothing (0) on every
 pattern of votes occurs is counted over the corpus: at most 3 to the number of labellers rows, whatever its
 size. Expectation-maximisation over the patterns estimates each labeller's accuracy without any true label,
 and each pattern's posterior. A hashed linear scorer then learns the posteriors from byte trigrams of a
-bounded sample of documents (TRAIN_ROWS, those with the least hash of their id) and scores every whole text.
+bounded sample of documents (TRAIN_ROWS, chosen by the hash of their id) and scores every whole text.
 
 Defined cases: null text is empty and scores by the scorer's bias; equal rows score alike; an empty table
 gives an empty result; columns besides doc_id and text are ignored.
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, words
+from .common import materialize, sampled, words
 
 #: Rows that the scorer is fitted on, hashed trigram buckets, steps of each fit, score from which text is kept.
 TRAIN_ROWS, BUCKETS, EM_STEPS, FIT_STEPS, KEEP_FROM = 4000, 2048, 60, 300, 0.35
@@ -109,7 +109,7 @@ def classify(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"pattern": batch["votes"], "x": [features(t).tobytes() for t in batch["text"]]})
 
-    bound = voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).select("doc_id").distinct()
+    bound = sampled(voted, 3 * TRAIN_ROWS // 2).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).select("doc_id").distinct()
     sample = docs.select("doc_id", "text").join(F.broadcast(bound), "doc_id", "left_semi")
     rows = votes(sample).mapInPandas(vectors, "pattern string, x binary").limit(2 * TRAIN_ROWS).collect()
     if rows:
