@@ -3,7 +3,9 @@
 Texts become arrays of word hashes. Fixed masks pick some of the words of every window and ignore the
 others, so a window still matches where an ignored word was replaced. Hashes of the picked words join test
 items and documents; each hit names a diagonal (place in the document less place in the item), and on the
-hit diagonals the whole item is laid over the document and its equal words are counted.
+hit diagonals the whole item is laid over the document. A neighbourhood is all diagonals that lie less than two
+item lengths apart; in it each word of the item and each word of the document counts once, and an item's
+match is that of its best neighbourhood.
 
 Defined cases: null texts are empty and match nothing; items shorter than the shortest mask give no seeds;
 case and trailing punctuation of words are ignored; a document row repeated is reported for each row;
@@ -67,9 +69,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = found.select("_id", "_sum", "doc_id", F.explode(under).alias("hit")).select("_id", "_sum", "doc_id", "hit.*")
     laid = found.join(small_side(items), "item")
     skip = F.greatest(-F.col("shift"), F.lit(0))
-    equal = F.size(F.filter(F.arrays_zip(F.slice("tokens", skip + 1, F.size("tokens")).alias("t"), F.slice("d", F.lit(1), F.size("tokens")).alias("d")), lambda x: x["t"] == x["d"]))
-    laid = laid.select("_id", "_sum", "doc_id", "item_id", "item", "n_item", equal.alias("n"))
-    total = laid.groupBy("_id", "_sum", "doc_id", "item_id", "item", "n_item").agg(F.least(F.sum("n"), F.first("n_item")).cast("long").alias("n_matched"))
+    both = F.arrays_zip(F.slice("tokens", skip + 1, F.size("tokens")).alias("t"), F.slice("d", F.lit(1), F.size("tokens")).alias("d"))
+    at = F.filter(F.transform(both, lambda x, i: F.when(x["t"] == x["d"], skip + i)), lambda i: i.isNotNull())
+    laid = laid.select("_id", "_sum", "doc_id", "item_id", "item", "n_item", "shift", F.explode(at).alias("at"))
+    cell = F.floor(F.col("shift") / F.col("n_item"))
+    laid = laid.withColumn("cell", F.explode(F.array(cell - 1, cell)))
+    # at most n_item places of the item and three times as many of the document in a neighbourhood
+    of_item, of_doc = F.size(F.collect_set("at")), F.size(F.collect_set(F.col("at") + F.col("shift")))
+    near = laid.groupBy("_id", "_sum", "doc_id", "item_id", "item", "n_item", "cell").agg(F.least(of_item, of_doc).alias("n"))
+    total = near.groupBy("_id", "_sum", "doc_id", "item_id", "item", "n_item").agg(F.max("n").cast("long").alias("n_matched"))
     return total.filter((F.col("n_matched") >= MIN_SHARE * F.col("n_item")) | (F.col("n_matched") >= MIN_MATCHED)).drop("item")
 
 

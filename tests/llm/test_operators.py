@@ -272,3 +272,13 @@ def test_pieces_encode_as_whole_texts_do():
     for _ in range(2):
         got = pieces.ids(texts)
         assert all(tokenizer.encode(t, add_special_tokens=False).ids + [0] == g.tolist() for t, g in zip(texts, got))
+
+
+def test_decontamination_counts_each_word_once(spark):
+    words = [f"tok{k}" for k in range(50)]
+    again = " ".join(f"{' '.join(words[:10])} other{k} words{k}" for k in range(5))
+    split = " ".join(words[:20] + ["put", "in"] + words[20:40])
+    docs = spark.createDataFrame([(1, again), (2, "run " * 60), (3, split)], "doc_id long, text string")
+    items = spark.createDataFrame([(8, " ".join(words)), (9, " ".join(["run"] * 9 + [f"far{k}" for k in range(31)]))], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["n_matched"] for r in decontaminate.contaminated(docs, items).collect()}
+    assert found == {(3, 8): 40}
