@@ -282,3 +282,29 @@ def test_decontamination_counts_each_word_once(spark):
     items = spark.createDataFrame([(8, " ".join(words)), (9, " ".join(["run"] * 9 + [f"far{k}" for k in range(31)]))], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]): r["n_matched"] for r in decontaminate.contaminated(docs, items).collect()}
     assert found == {(3, 8): 40}
+
+
+def test_decontamination_masks_find_what_the_share_accepts(spark):
+    def free(n):
+        """The most words of n that can be equal without a seed, over all patterns, by their last four words."""
+        best = {(): 0}
+        for _ in range(n):
+            after = {}
+            for tail, equal in best.items():
+                for bit in (0, 1):
+                    window = (*tail, bit)
+                    if not any(len(m) <= len(window) and all(b == "0" or w for b, w in zip(m, window[-len(m) :])) for m in masks):
+                        after[window[-4:]] = max(after.get(window[-4:], 0), equal + bit)
+            best = after
+        return max(best.values())
+
+    for n in range(1, 200):
+        masks = [decontaminate.MASKS[k] for k in decontaminate.masks_of(n)]
+        assert free(n) < decontaminate.MIN_SHARE * n
+    rows, items = [], []
+    for n, gone in ((1, ()), (2, ()), (3, (1,)), (5, (1, 3)), (6, (1, 4)), (9, (4,)), (10, (0, 3, 6, 9)), (15, (3, 7, 11)), (40, range(2, 40, 5))):
+        words = [f"item{n}word{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        rows.append((n, "lead in " + " ".join("x" if k in gone else w for k, w in enumerate(words)) + " end"))
+    frames = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(*frames).collect()) == [(n, n) for n, _ in items]
