@@ -40,7 +40,6 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         _LOADED[path] = Tokenizer.from_file(path)
-        _LOADED[path].encode_special_tokens = True
     return _LOADED[path]
 
 
@@ -53,7 +52,7 @@ class Pieces:
     """Encodes texts by their distinct pieces, each given to the library once while it is remembered.
 
     The byte-level pre-tokeniser begins a new token at every single blank, and before and after every single line
-    end, that has no white space beside it, and looks no further than that. So a text's ids are those of its
+    end, that has no white space beside it, and looks no further than that; special tokens hold no white space. So a text's ids are those of its
     parts. A text with white space side by side is cut at lone blanks only. Parts that begin with a blank are
     known by what follows it; parts that do not (of line starts, line ends) by a tuple."""
 

@@ -308,3 +308,18 @@ def test_decontamination_masks_find_what_the_share_accepts(spark):
         rows.append((n, "lead in " + " ".join("x" if k in gone else w for k, w in enumerate(words)) + " end"))
     frames = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(*frames).collect()) == [(n, n) for n, _ in items]
+
+
+def test_huffman_ids_are_those_of_the_file(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, pieces = Tokenizer.from_file(path), huffman_ids.Pieces(huffman_ids._tokenizer(path))
+    rng, mark = np.random.default_rng(6), "<|endoftext|>"
+    texts = [f"a{mark}b", mark, f" {mark} ", f"x\n{mark}\ny {mark}{mark} 's"]
+    texts += ["".join(rng.choice([" ", "\n", "\t", "a", "1", ".", "'s", "é", mark], rng.integers(0, 25))) for _ in range(2000)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert want[0] == [64, 50256, 65, 0]
+    assert [g.tolist() for g in pieces.ids(texts)] == want
+    got = huffman_ids.write_and_read(spark.createDataFrame([(k, t) for k, t in enumerate(texts[:4])], "doc_id long, text string"), path).collect()
+    assert sorted((r["doc_id"], r["ids_crc32"]) for r in got) == [(k, zlib.crc32(np.array(ids, "<u4").tobytes())) for k, ids in enumerate(want[:4])]
