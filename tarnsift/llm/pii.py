@@ -8,8 +8,9 @@ the whole text that are near one, at half their length apart. Overlapping window
 globally: each position takes both windows' emissions, weighted by the distance from the window's edge, and
 one Viterbi pass runs over the whole covered stretch. Spans that touch no base span are added.
 
-Defined cases: null text is empty and has no spans; texts may be of any length (windows are decoded a bounded
-number at a time); equal rows get equal spans; an empty table gives an empty result; other columns are ignored.
+Defined cases: null text is empty and has no spans; texts may be of any length (the network runs over a bounded
+number of windows at a time; their blended emissions and the back pointers, some 30 bytes a character, are held
+for one stretch); equal rows get equal spans; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Training: documents sampled, windows at most, steps, batch. Model: window, hidden units, embedding.
 TRAIN_DOCS, TRAIN_WINDOWS, STEPS, BATCH = 4000, 1600, 160, 64
 WINDOW, HIDDEN, EMBED = 64, 12, 8
-#: Windows decoded at once; a span is added if its mean margin over "no data" is at least MARGIN.
+#: Windows given to the network at once; a span is added if its mean margin over "no data" is at least MARGIN.
 DECODE_WINDOWS, MARGIN = 512, 2.0
 LEAST = {"email": 6, "ip": 7, "card": 12, "phone": 8}
 
@@ -211,23 +212,21 @@ class Tagger:
         ramp = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)[:, None]
         out: list[tuple[int, int, int]] = []
         breaks = np.flatnonzero(np.diff(starts) > WINDOW // 2) + 1
-        pending: list[np.ndarray] = []
         for stretch in np.split(starts, breaks):
-            pending += [stretch[k : k + DECODE_WINDOWS] for k in range(0, len(stretch), DECODE_WINDOWS)]
-        for begin in range(0, len(pending)):
-            stretch = pending[begin]
-            emit = self.emissions(codes[stretch[:, None] + WINDOW + np.arange(WINDOW)])
             low, length = int(stretch[0]), int(stretch[-1] - stretch[0]) + WINDOW
-            total, weight = np.zeros((length, emit.shape[2]), np.float32), np.zeros((length, 1), np.float32)
-            for s, e in zip(stretch, emit):
-                total[s - low : s - low + WINDOW] += e * ramp
-                weight[s - low : s - low + WINDOW] += ramp
-            out += self._decoded(total / weight, low, len(text))
+            total, weight = np.zeros((length, len(KINDS) + 1), np.float32), np.zeros((length, 1), np.float32)
+            for k in range(0, len(stretch), DECODE_WINDOWS):
+                some = stretch[k : k + DECODE_WINDOWS]
+                for s, e in zip(some, self.emissions(codes[some[:, None] + WINDOW + np.arange(WINDOW)])):
+                    total[s - low : s - low + WINDOW] += e * ramp
+                    weight[s - low : s - low + WINDOW] += ramp
+            total /= weight
+            out += self._decoded(total, low, len(text))
         return out
 
     def _decoded(self, emit: np.ndarray, low: int, size: int) -> list[tuple[int, int, int]]:
         trans, steps = self.p["trans"], len(emit)
-        back = np.zeros(emit.shape, np.int64)
+        back = np.zeros(emit.shape, np.int8)
         score = emit[0]
         for t in range(1, steps):
             ways = score[:, None] + trans

@@ -323,3 +323,21 @@ def test_huffman_ids_are_those_of_the_file(spark):
     assert [g.tolist() for g in pieces.ids(texts)] == want
     got = huffman_ids.write_and_read(spark.createDataFrame([(k, t) for k, t in enumerate(texts[:4])], "doc_id long, text string"), path).collect()
     assert sorted((r["doc_id"], r["ids_crc32"]) for r in got) == [(k, zlib.crc32(np.array(ids, "<u4").tobytes())) for k, ids in enumerate(want[:4])]
+
+
+def test_long_stretches_are_decoded_as_one(monkeypatch):
+    rng, tagger = random.Random(8), pii.Tagger()
+    lines = [f"row {k} {rng.randrange(10**9)} from 10 . {k % 250} . 7 . {k % 99} or 00{rng.randrange(10**9)} (555)  {rng.randrange(1000)}" for k in range(700)]
+    text = "\n".join(lines)
+    assert len(text) > 40_000
+    decoded = []
+    whole = lambda emit, low, size: decoded.append((low, emit.copy())) or []
+    monkeypatch.setattr(tagger, "_decoded", whole)
+    tagger.spans(text)
+    monkeypatch.setattr(pii, "DECODE_WINDOWS", 1 << 30)
+    tagger.spans(text)
+    assert len(decoded) == 2 and decoded[0][0] == decoded[1][0] and np.allclose(decoded[0][1], decoded[1][1], atol=1e-4)
+    monkeypatch.undo()
+    pii_spans = tagger.spans(text)
+    monkeypatch.setattr(pii, "DECODE_WINDOWS", 1 << 30)
+    assert pii_spans == tagger.spans(text)
