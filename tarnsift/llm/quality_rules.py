@@ -2,12 +2,12 @@
 
 Each document gets a vector of transformed statistics. Per language and source a minimum covariance
 determinant estimate of centre and scatter is found by concentration steps: the three quarters of the
-group's documents that lie closest to the estimate give the next one. Documents far from it by
+group's documents that lie closest to the estimate give the next one. Groups under MIN_GROUP documents take the
+estimate of their language, or that of all documents if the language has too few as well. Documents far from it by
 Mahalanobis distance are rejected. All of it is DataFrame work: a step is one aggregation by group.
 
 Defined cases: null text counts as empty; a document without words fails the base rule; null language
-or source is a group of its own; groups under MIN_GROUP documents have no estimate and keep what passes
-the base rules; equal rows get equal verdicts; columns besides doc_id, text, lang and source are ignored.
+or source is a group of its own; tables of under MIN_GROUP documents that pass the base rules keep all of those; equal rows get equal verdicts; columns besides doc_id, text, lang and source are ignored.
 """
 
 from __future__ import annotations
@@ -124,9 +124,9 @@ def _cut() -> list[Column]:
     return [q[0].alias("mid"), q[1].alias("core"), F.count("*").alias("n_group")]
 
 
-def estimates(vectors: DataFrame) -> DataFrame:
-    """Per language and source: mean, covariance, and the median level of the squared distance."""
-    k, by = len(FEATURES), ["lang", "source"]
+def estimates(vectors: DataFrame, by: list[str]) -> DataFrame:
+    """Per group: mean, covariance, and the median level of the squared distance."""
+    k = len(FEATURES)
     floors = list(FEATURES.values())
     quartiles = [F.percentile(F.round(F.col(f"x{i}") * 1024) / 1024, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(k)]
     start = vectors.groupBy(by).agg(*quartiles)
@@ -147,12 +147,30 @@ def estimates(vectors: DataFrame) -> DataFrame:
         now = materialize(_factored(core.groupBy(by).agg(*means, *covs)), "mcd")
 
 
+def models(vectors: DataFrame) -> DataFrame:
+    """Per language and source the estimate of the group; of its language or of all documents if it is small."""
+    own = estimates(vectors, ["lang", "source"])
+    small = own.filter(F.col("n_group") < MIN_GROUP).select("lang", "source")
+    if small.isEmpty():
+        return own
+    langs = materialize(own.groupBy("lang").agg(F.sum("n_group").alias("n"), F.min("n_group").alias("least")).filter(F.col("least") < MIN_GROUP), "quality-languages")
+    enough = langs.filter(F.col("n") >= MIN_GROUP).select("lang")
+    found = [own.filter(F.col("n_group") >= MIN_GROUP)]
+    if not enough.isEmpty():
+        found.append(small.join(estimates(vectors.join(small_side(enough), "lang", "left_semi"), ["lang"]), "lang"))
+    rare = small.join(langs.filter(F.col("n") < MIN_GROUP).select("lang"), "lang")
+    if not rare.isEmpty():
+        whole = estimates(vectors.drop("lang", "source").withColumn("all", F.lit(0)), ["all"])
+        found.append(rare.crossJoin(F.broadcast(whole.drop("all"))))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 def verdicts(docs: DataFrame) -> DataFrame:
     """The statistics of every document, base_failed, distance and kept."""
     stats = materialize(text_statistics(docs), "quality-statistics")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     vectors = _vector(stats.withColumn("base_failed", failed))
-    model = estimates(vectors.filter(~F.col("base_failed")))
+    model = models(vectors.filter(~F.col("base_failed")))
     scaled = F.col("d") / (F.exp(F.col("mid") / 64) / CHI2_MEDIAN)
     out = vectors.join(model, ["lang", "source"], "left").withColumn("d", _distance())
     # a group whose core is tight is not stretched: the scale never falls under that of the floors

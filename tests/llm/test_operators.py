@@ -341,3 +341,15 @@ def test_long_stretches_are_decoded_as_one(monkeypatch):
     pii_spans = tagger.spans(text)
     monkeypatch.setattr(pii, "DECODE_WINDOWS", 1 << 30)
     assert pii_spans == tagger.spans(text)
+
+
+def test_outliers_of_small_groups_are_found(spark):
+    rng = random.Random(1)
+    plain = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(3, 8))) for _ in range(80))
+    soup = lambda: " ".join("".join(rng.choices("abcdefgh", k=4)) + "###" for _ in range(80))
+    rows = [(k, plain(), "en", f"host{k % 30}") for k in range(240)] + [(1000 + k, soup(), "en", f"host{k}") for k in range(6)]
+    rows += [(k, plain(), "is", f"host{k % 3}") for k in range(2000, 2009)] + [(3000, soup(), "is", "host1")]
+    rows += [(k, plain(), "en", "large") for k in range(4000, 4060)] + [(5000, soup(), "en", "large")]
+    out = quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(out) == len(rows) and all(r["distance"] is not None for r in out)
+    assert {r["doc_id"] for r in out if not r["kept"]} == {*range(1000, 1006), 3000, 5000}
