@@ -1,19 +1,23 @@
 """Byte-level BPE: encoding of whole texts to ids and back.
 
-Pre-tokenisation works on arrays of code points, without regular expressions. Every code point has a class:
-letter, number, white space, other. A character's effect on "where did the current text begin" is a transition
-function, either keep or set-to-here; composing such functions is associative, so one scan (a running
-maximum) over a block of many documents gives each character its text. Token starts follow from the classes
-of neighbours within a text. The slices go through a cache of merged pieces; their
+Pre-tokenisation works on arrays of code points, without regular expressions. Every code point has a class
+(letter, number, blank, other) and, from its neighbours, a symbol: blanks by what follows them, quotes by the
+contraction they open. A symbol is a transition function over the states of a small automaton that says where
+tokens begin. Composing such functions is associative, so the states of a block of many texts come from a
+scan: functions are composed within equal stretches side by side, then over the stretches, and one lookup per
+character gives its state and whether it starts a token. The slices go through a cache of merged pieces; their
 code-point offsets come along for decoding back to places in the text.
 
-Defined cases: null text is empty and has no ids; every text round-trips byte by byte; long runs without a
-boundary are merged with a heap. Repeated rows are encoded each; other columns are not read.
+Defined cases: null text is empty and has no ids; every text round-trips byte by byte; very long texts are
+taken in parts that end before a lone space, where a token always starts, so memory is bounded by the longest
+stretch without one; runs without a boundary are merged with a heap; an empty table gives an empty result.
+Repeated rows are encoded each; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from array import array
 from collections.abc import Iterator
@@ -25,8 +29,34 @@ from pyspark.sql import functions as F
 
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: Characters of one block of documents, pieces kept in the cache, length from which merging takes a heap.
-BLOCK_CHARS, CACHE_PIECES, LONG_PIECE = 500_000, 400_000, 96
+#: Characters of one block of documents, bytes of the cache of pieces, longest piece that it keeps, length
+#: from which merging takes a heap.
+BLOCK_CHARS, CACHE_BYTES, KEPT_PIECE, LONG_PIECE = 500_000, 48_000_000, 64, 96
+
+#: States: nothing open, in a run of letters, numbers, others or blanks, after a space that goes with what
+#: follows, one or two letters of a contraction to come.
+FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_BLANKS, LED, ONE_MORE, TWO_MORE = range(8)
+#: Symbols besides the classes: a space or another blank right before a word, a quote that opens 's or 'll.
+#: One more bit marks the first character of a text.
+LEADING_SPACE, LAST_BLANK, QUOTE_1, QUOTE_2, BEGINS = 4, 5, 6, 7, 8
+
+
+def _automaton() -> tuple[np.ndarray, np.ndarray]:
+    """(symbol, state before) -> state after, and whether the character starts a token."""
+    after, starts = np.zeros((16, 8), np.uint8), np.ones((16, 8), bool)
+    run = {LETTER: IN_LETTERS, NUMBER: IN_NUMBERS, OTHER: IN_OTHERS, BLANK: IN_BLANKS, LEADING_SPACE: LED, LAST_BLANK: FRESH, QUOTE_1: ONE_MORE, QUOTE_2: TWO_MORE}
+    for symbol, opened in run.items():
+        after[symbol], after[symbol + BEGINS] = opened, opened
+        for state in (IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_BLANKS):
+            starts[symbol, state] = opened != state
+        if symbol in (QUOTE_1, QUOTE_2):  # inside a run of others, or after its space, a quote is one of them
+            after[symbol, [IN_OTHERS, LED]], starts[symbol, IN_OTHERS] = IN_OTHERS, False
+        starts[symbol, [LED, ONE_MORE, TWO_MORE]] = False
+        after[symbol, ONE_MORE], after[symbol, TWO_MORE] = FRESH, ONE_MORE
+    return after, starts
+
+
+AFTER, STARTS = _automaton()
 
 
 def code_point_classes() -> np.ndarray:
@@ -40,35 +70,47 @@ def code_point_classes() -> np.ndarray:
     return table
 
 
-def token_starts(cp: np.ndarray, cls: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Marks token starts in a block of texts; begins: marks each text's first character."""
+def symbols_of(cp: np.ndarray, cls: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The symbol of every character of a block of texts; begins: marks each text's first character."""
     n = len(cp)
-    at = np.arange(n)
-    change = begins.copy()
-    change[1:] |= cls[1:] != cls[:-1]
-    text = np.maximum.accumulate(np.where(begins, at, 0))  # the scan of set-to-here and keep: the text's place
-    last = np.empty(n, bool)
-    last[:-1], last[-1] = change[1:], True
-    ends_text = np.empty(n, bool)
-    ends_text[:-1], ends_text[-1] = begins[1:], True
-    blank = cls == BLANK
-    hands_on = blank & last & ~ends_text  # the last blank before a word stands apart from its run
-    joins = hands_on & (cp == 32)  # and a space goes to the word
-    after_space = np.zeros(n, bool)
-    after_space[1:] = joins[:-1]
-    starts = (change & ~after_space) | hands_on
-    quote = np.flatnonzero((cp == 39) & change & ~after_space)
+    out = cls.copy()
+    leads = np.zeros(n, bool)
+    leads[:-1] = (cls[:-1] == BLANK) & (cls[1:] != BLANK) & ~begins[1:]
+    out[leads] = LAST_BLANK
+    out[leads & (cp == 32)] = LEADING_SPACE
+    quote = np.flatnonzero(cp == 39)
     if len(quote):
-        same = lambda q, k: (q + k < n) & (text[np.minimum(q + k, n - 1)] == text[q])
-        c1 = np.where(same(quote, 1), cp[np.minimum(quote + 1, n - 1)], 0)
-        c2 = np.where(same(quote, 2), cp[np.minimum(quote + 2, n - 1)], 0)
-        one = np.isin(c1, [ord(c) for c in "stmd"])
-        two = ((c1 == ord("r")) & (c2 == ord("e"))) | ((c1 == ord("v")) & (c2 == ord("e"))) | ((c1 == ord("l")) & (c2 == ord("l")))
-        # "'s": the letters stay with the quote, what follows starts anew
-        starts[quote[one | two] + 1] = False
-        for place in (quote[one] + 2, quote[two] + 3):
-            starts[place[place < n]] = True
-    return starts
+        wide, fresh = np.concatenate((cp, [0, 0])), np.concatenate((begins, [True, True]))
+        one, two = wide[quote + 1], wide[quote + 2]
+        one = np.where(fresh[quote + 1], 0, one)
+        two = np.where(fresh[quote + 1] | fresh[quote + 2], 0, two)
+        out[quote[np.isin(one, [ord(c) for c in "stmd"])]] = QUOTE_1
+        pair = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        out[quote[pair]] = QUOTE_2
+    out[begins] |= BEGINS
+    return out
+
+
+def token_starts(cp: np.ndarray, cls: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Marks token starts in a block of texts, by a scan over the characters' transition functions."""
+    n = len(cp)
+    length = max(1, int(np.sqrt(n)))
+    rows = -(-n // length)
+    symbol = np.full(rows * length, BLANK, np.uint8)
+    symbol[:n] = symbols_of(cp, cls, begins)
+    side = np.ascontiguousarray(symbol.reshape(rows, length).T).astype(np.int64) * 8  # place in the stretch x stretch
+    flat = AFTER.ravel()
+    # before[t, r, s]: the state at place t of stretch r if the stretch was entered in state s
+    before = np.empty((length + 1, rows, 8), np.uint8)
+    before[0] = np.arange(8)
+    for t in range(length):
+        np.take(flat, side[t][:, None] + before[t], out=before[t + 1])
+    entered, state = np.zeros(rows, np.int64), FRESH
+    for r, whole in enumerate(before[length].tolist()):
+        entered[r] = state
+        state = whole[state]
+    states = np.take_along_axis(before[:length], entered[None, :, None], 2)[:, :, 0]
+    return STARTS.ravel()[side + states].T.ravel()[:n]
 
 
 class BytePairs:
@@ -86,6 +128,7 @@ class BytePairs:
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.first, self.count = array("I"), array("q"), array("q")
+        self.held = 0  # bytes, about
 
     def merged(self, piece: bytes) -> list[int]:
         ranks = self.ranks
@@ -127,8 +170,13 @@ class BytePairs:
         return [ranks[p] for p in parts if p is not None]
 
     def _learn(self, piece: bytes) -> int:
+        """The number of a piece in the cache; one too long to keep is only there for its block."""
         ids = self.merged(piece)
-        self.known[piece] = number = len(self.first)
+        number = len(self.first)
+        if len(piece) <= KEPT_PIECE:
+            self.known[piece] = number
+            self.held += 150 + len(piece)
+        self.held += 4 * len(ids)
         self.first.append(len(self.flat))
         self.count.append(len(ids))
         self.flat.extend(ids)
@@ -136,9 +184,10 @@ class BytePairs:
 
     def encode_block(self, texts: list[str], offsets: bool = False) -> list:
         """ids (uint32) per text; with offsets, pairs of ids and each id's piece's first code point."""
-        if len(self.known) > CACHE_PIECES:
+        if self.held > CACHE_BYTES:
             self._forget()
-        cp = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        whole = "".join(texts)
+        cp = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         sizes = np.array([len(t) for t in texts])
         edges = np.concatenate(([0], np.cumsum(sizes)))
         if not len(cp):
@@ -147,16 +196,15 @@ class BytePairs:
         begins = np.zeros(len(cp), bool)
         begins[edges[:-1][sizes > 0]] = True
         starts = np.flatnonzero(token_starts(cp, self.classes[cp], begins))
-        width = np.ones(len(cp), np.int64)
+        width = np.ones(len(cp), np.uint8)
         for least in (0x80, 0x800, 0x10000):
             width += cp >= least
-        byte_at = np.concatenate(([0], np.cumsum(width)))
-        data = "".join(texts).encode()
+        byte_at = np.cumsum(width, dtype=np.int64) - width
+        data = whole.encode()
         cuts = [*byte_at[starts].tolist(), len(data)]
         known, learn = self.known, self._learn
         get = known.get
-        numbers = [k if (k := get(p)) is not None else learn(p) for p in [data[a:b] for a, b in zip(cuts, cuts[1:])]]
-        number = np.array(numbers)
+        number = np.array([k if (k := get(p)) is not None else learn(p) for p in [data[a:b] for a, b in zip(cuts, cuts[1:])]])
         count = np.array(np.frombuffer(self.count, np.int64)[number])
         first = np.frombuffer(self.first, np.int64)[number]
         ends = np.cumsum(count)
@@ -169,19 +217,48 @@ class BytePairs:
             return [(ids, places[a:b] - e) for ids, a, b, e in zip(out, id_edges[:-1], id_edges[1:], edges)]
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        block, chars = [], 0
+    def parts(self, text: str) -> Iterator[str]:
+        """A long text in parts of little more than BLOCK_CHARS, cut before spaces that lead a word."""
+        begin = 0
+        while len(text) - begin > BLOCK_CHARS:
+            at = text.find(" ", begin + BLOCK_CHARS)
+            while 0 <= at < len(text) - 1 and self.classes[ord(text[at + 1])] == BLANK:
+                at = text.find(" ", at + 1)
+            if not 0 <= at < len(text) - 1:
+                break
+            yield text[begin:at]
+            begin = at
+        yield text[begin:]
+
+    def encode_parts(self, texts: list[str | None]) -> Iterator[tuple[bool, np.ndarray]]:
+        """(first part of a text, its ids), a bounded number of characters at a time."""
+        block, firsts, chars = [], [], 0
         for text in texts:
-            block.append(text or "")
-            chars += len(block[-1])
-            if chars >= BLOCK_CHARS:
-                yield from self.encode_block(block)
-                block, chars = [], 0
-        if block:
-            yield from self.encode_block(block)
+            for k, part in enumerate(self.parts(text or "")):
+                block.append(part)
+                firsts.append(k == 0)
+                chars += len(part)
+                if chars >= BLOCK_CHARS:
+                    yield from zip(firsts, self.encode_block(block))
+                    block, firsts, chars = [], [], 0
+        yield from zip(firsts, self.encode_block(block) if block else ())
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        held: list[np.ndarray] = []
+        for is_first, ids in self.encode_parts(texts):
+            if is_first and held:
+                yield held[0] if len(held) == 1 else np.concatenate(held)
+                held = []
+            held.append(ids)
+        if held:
+            yield held[0] if len(held) == 1 else np.concatenate(held)
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.decoded(np.frombuffer(ids, "<u4"))
 
 
 _LOADED: dict[str, BytePairs] = {}
@@ -224,10 +301,21 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: number of ids, digest of the ids, digest of what they decode to."""
-    ids = encode_documents(docs, path)
-    both = ids.select("doc_id", "ids", decoded(F.col("ids"), path).alias("back"))
-    return both.select(
-        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("back", 256).alias("decoded_sha256"),
-    )
+    """Per document: number of ids, digest of the ids, digest of what they decode to. One worker encodes and
+    decodes a text part by part, so only digests leave it."""
+
+    @F.pandas_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        pairs = loaded(path)
+        for batch in batches:
+            rows: list[list] = []
+            for is_first, ids in pairs.encode_parts(batch.tolist()):
+                if is_first:
+                    rows.append([0, hashlib.sha256(), hashlib.sha256()])
+                row = rows[-1]
+                row[0] += len(ids)
+                row[1].update(ids.astype("<u4").tobytes())
+                row[2].update(pairs.decoded(ids))
+            yield pd.DataFrame([(n, a.hexdigest(), b.hexdigest()) for n, a, b in rows], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", both.asNondeterministic()("text").alias("r")).select("doc_id", "r.*")

@@ -85,7 +85,7 @@ def test_jaccard_join_on_real_and_odd_rows(spark, real, odd, none):
     assert jaccard_join.keep_one(odd).columns == odd.columns
 
 
-def test_byte_bpe_equals_the_library(spark, odd, none):
+def test_byte_bpe_equals_the_library(spark, odd, none, monkeypatch):
     import tiktoken
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -97,8 +97,18 @@ def test_byte_bpe_equals_the_library(spark, odd, none):
     for text, ids in zip(texts, pairs.encode(texts)):
         assert ids.tolist() == library.encode_ordinary(text)
         assert pairs.decode(ids.astype("<u4").tobytes()) == text.encode()
-    for got in byte_bpe.round_trip(odd, path).collect():
-        assert got["decoded_sha256"] in {hashlib.sha256((r[1] or "").encode()).hexdigest() for r in ODD}
+    want = sorted((str(r[0]), len(library.encode_ordinary(r[1] or "")), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in ODD)
+    for size in (byte_bpe.BLOCK_CHARS, 7):  # with 7, texts and batches cross block edges everywhere
+        monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", size)
+        assert all(ids.tolist() == library.encode_ordinary(text) for text, ids in zip(texts, pairs.encode(texts)))
+    monkeypatch.undo()
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 1000)
+    assert all(ids.tolist() == library.encode_ordinary(text) for text, ids in zip(texts[:500], pairs.encode(texts[:500])))
+    monkeypatch.undo()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["decoded_sha256"]) for r in byte_bpe.round_trip(odd, path).collect()) == want
+    long = "one two  three'll \n four " * 60_000
+    assert next(pairs.encode([long])).tolist() == library.encode_ordinary(long)
+    assert [r["n"] for r in byte_bpe.encode_documents(odd, path).selectExpr("doc_id", "length(ids) / 4 AS n").collect()] == [len(library.encode_ordinary(r[1] or "")) for r in ODD]
     assert byte_bpe.round_trip(none, path).collect() == []
 
 
