@@ -9,7 +9,8 @@ Files: <path>/header (one row: code lengths by id) and <path>/blocks (part, bloc
 payload), both Parquet.
 
 Defined cases: null text is empty and has only the end id; an empty table gives an empty file; doc_id repeated
-or null: rows stand next to each other in order of the bytes of their ids, nulls first; other columns are not read.
+or null: rows stand next to each other in order of a hash of their ids, nulls first; very long texts are encoded
+whole, in memory bounded by the longest text and SLICE_CHARS; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from __future__ import annotations
 import os
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +29,9 @@ from .common import materialize, scratch_dir
 
 #: Longest code, ids between bit offsets, ids after which a block ends, the id that ends a document.
 MAX_BITS, STRIDE, BLOCK_IDS, END_ID = 16, 256, 65_536, 0
-#: Distinct pieces of texts remembered with their ids, and characters of texts encoded at once.
-MOST_PIECES, SLICE_CHARS = 500_000, 1_000_000
+#: Distinct pieces of texts remembered with their ids, slots of their table, longest piece kept in it, longest
+#: one remembered at all, and characters of texts encoded at once.
+MOST_PIECES, SLOTS, KEY_BYTES, LONGEST_KEPT, SLICE_CHARS = 1_000_000, 1 << 21, 24, 200, 1_000_000
 _LOADED: dict[str, object] = {}
 
 
@@ -43,21 +44,32 @@ def _tokenizer(path: str):
     return _LOADED[path]
 
 
-#: A blank beside other white space, or a line end beside white space; a blank between two other characters.
-_ADJACENT = (re.compile(r" (?:(?<=\s\s)|(?=\s))"), re.compile(r"\n(?:(?<=\s\s)|(?=\s))"))
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Texts with white space beyond ASCII, or with signs that versions of Unicode class differently, go to the library whole.
+_ODD = re.compile("[\0\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+_WHITE, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(3))
+_WHITE[[0, *range(9, 14), 32]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[ord(c) for c in ",.;:!?"]] = True
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+    return x ^ (x >> np.uint64(29))
 
 
 class Pieces:
     """Encodes texts by their distinct pieces, each given to the library once while it is remembered.
 
-    The byte-level pre-tokeniser begins a new token at every single blank, and before and after every single line
-    end, that has no white space beside it, and looks no further than that; special tokens hold no white space. So a text's ids are those of its
-    parts. A text with white space side by side is cut at lone blanks only. Parts that begin with a blank are
-    known by what follows it; parts that do not (of line starts, line ends) by a tuple."""
+    The byte-level pre-tokeniser always begins a token at the first blank after a word, at the last blank before
+    a word, at a word after a blank that is not a space, and at one of , . ; : ! ? after an ASCII letter. Cut there,
+    a text's ids are those of its parts. Texts with special tokens or odd white space go to the library whole. The
+    others are joined by zero bytes, whose piece is the end id. Pieces of up to KEY_BYTES bytes are looked up all at once: their bytes are
+    three integers, which a table of slots finds and compares whole, so no two pieces are ever taken for one."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.line_end = self._encode("\n")
         self._clear()
 
@@ -65,68 +77,126 @@ class Pieces:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _clear(self) -> None:
-        self.known: dict[str | tuple[str], int] = {}
-        self.flat, self.begin, self.size = np.empty(1 << 20, np.uint32), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+        self.slots = np.full(SLOTS, -1, np.int32)
+        self.keys = np.zeros((1 << 16, 3), np.uint64)
+        self.begin, self.size, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self.long: dict[bytes, int] = {}
         self.n = self.used = 0
+        self._add(np.zeros((1, 3), np.uint64), [np.array([END_ID], np.uint32)])
+
+    def _room(self, pieces: int, ids: int) -> None:
+        while self.n + pieces > len(self.begin):
+            self.keys, self.begin, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.keys, self.begin, self.size))
+        while self.used + ids > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+
+    def _store(self, ids: list[np.ndarray]) -> np.ndarray:
+        """Numbers of new pieces with these ids."""
+        sizes = np.array([len(x) for x in ids], np.int64)
+        self._room(len(ids), int(sizes.sum()))
+        numbers = np.arange(self.n, self.n + len(ids))
+        self.flat[self.used : self.used + int(sizes.sum())] = np.concatenate(ids)
+        self.begin[numbers], self.size[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.n, self.used = self.n + len(ids), self.used + int(sizes.sum())
+        return numbers
+
+    def _add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
+        """New pieces, all different, take the first free slot from that of their hash on."""
+        numbers = self._store(ids)
+        self.keys[numbers] = keys
+        slot = self._slot(keys)
+        while len(numbers):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            taken = free[first]
+            self.slots[slot[taken]] = numbers[taken]
+            rest = np.ones(len(numbers), bool)
+            rest[taken] = False
+            numbers, slot = numbers[rest], (slot[rest] + 1) % SLOTS
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        h = _mixed(keys[:, 0])
+        h = _mixed(h + keys[:, 1])
+        return (_mixed(h + keys[:, 2]) % np.uint64(SLOTS)).astype(np.int64)
+
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of pieces by their keys; -1 where unknown."""
+        out, at, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), self._slot(keys)
+        while len(at):
+            number = self.slots[slot]
+            same = (self.keys[number] == keys[at]).all(1) & (number >= 0)
+            out[at[same]] = number[same]
+            on = ~same & (number >= 0)
+            at, slot = at[on], (slot[on] + 1) % SLOTS
+        return out
 
-    def _add(self, keys: list, ids: np.ndarray, sizes: np.ndarray) -> None:
-        while self.n + len(keys) > len(self.begin):
-            self.begin, self.size = (np.concatenate((x, np.empty_like(x))) for x in (self.begin, self.size))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.begin[self.n : self.n + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.n : self.n + len(keys)] = sizes
-        self.known.update(zip(keys, range(self.n, self.n + len(keys))))
-        self.n, self.used = self.n + len(keys), self.used + len(ids)
-
-    def _learn(self, keys: list) -> None:
-        """Parts without white space inside go to the library many to a text, one to a line."""
-        plain, other = [], []
-        for key in keys:
-            words = (key[0] if type(key) is tuple else key).split()
-            (plain if len(words) == 1 and words[0] == (key[0] if type(key) is tuple else key) else other).append(key)
+    def _ids_of(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Pieces without line ends go to the library many to a text, one to a line."""
+        out: list[np.ndarray | None] = [None] * len(pieces)
+        plain = [k for k, p in enumerate(pieces) if b"\n" not in p and p.strip()]
         for k in range(0, len(plain), 2048):
             some = plain[k : k + 2048]
-            ids = np.array(self._encode("".join([f"\n{p[0]}" if type(p) is tuple else f"\n {p}" for p in some]) + "\n"), np.uint32)
+            ids = np.array(self._encode("\n" + "\n".join([pieces[x].decode() for x in some]) + "\n"), np.uint32)
             at = np.flatnonzero(ids == self.line_end[0])
             if len(self.line_end) == 1 and len(at) == len(some) + 1:
-                self._add(some, ids[ids != self.line_end[0]], np.diff(at) - 1)
-            else:
-                other += some
-        for key in other:
-            ids = self._encode(key[0] if type(key) is tuple else f" {key}")
-            self._add([key], np.array(ids, np.uint32), np.array([len(ids)]))
+                for x, a, b in zip(some, at[:-1].tolist(), at[1:].tolist()):
+                    out[x] = ids[a + 1 : b]
+        return [np.array(self._encode(p.decode()), np.uint32) if x is None else x for p, x in zip(pieces, out)]
 
     @staticmethod
-    def cut(text: str) -> list[str | tuple[str]]:
-        if any(p.search(text) for p in _ADJACENT):
-            parts = _CUT.split(text)
-            return [(parts[0],), *parts[1:]]
-        out: list[str | tuple[str]] = []
-        for line in text.split("\n"):
-            parts = line.split(" ")
-            parts[0] = (parts[0],)
-            if out:
-                out.append(("\n",))
-            out += parts
+    def cuts(data: np.ndarray) -> np.ndarray:
+        """Where pieces begin in joined texts."""
+        white = _WHITE[data]
+        starts = np.zeros(len(data), bool)
+        starts[:1] = True
+        starts[1:] = white[1:] & ~white[:-1]
+        starts[:-1] |= white[:-1] & ~white[1:]
+        starts[1:] |= white[:-1] & ~white[1:] & (data[:-1] != 32)
+        starts[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+        ends = data == 0
+        starts |= ends
+        starts[1:] |= ends[:-1]
+        return np.flatnonzero(starts)
+
+    def _numbers(self, raw: bytes, begin: np.ndarray) -> np.ndarray:
+        size = np.diff(np.append(begin, len(raw)))
+        eight = np.lib.stride_tricks.as_strided(np.frombuffer(raw + bytes(KEY_BYTES + 8), np.uint64, 1), (len(raw) + KEY_BYTES,), (1,))
+        keys = np.empty((len(begin), 3), np.uint64)
+        for k in range(3):
+            keys[:, k] = eight[begin + 8 * k] & _LOW_BYTES[np.clip(size - 8 * k, 0, 8)]
+        short = size <= KEY_BYTES
+        out = np.full(len(begin), -1, np.int64)
+        out[short] = self._found(keys[short])
+        new = np.flatnonzero(short & (out < 0))
+        if len(new):
+            distinct, first, which = np.unique(keys[new], axis=0, return_index=True, return_inverse=True)
+            at, base = new[first], self.n
+            self._add(distinct, self._ids_of([raw[b : b + s] for b, s in zip(begin[at].tolist(), size[at].tolist())]))
+            out[new] = base + which.reshape(-1)
+        long = [(k, raw[begin[k] : begin[k] + size[k]]) for k in np.flatnonzero(~short).tolist()]
+        fresh = list({p for _, p in long if p not in self.long})
+        now = self.long | dict(zip(fresh, self._store(self._ids_of(fresh)).tolist())) if fresh else self.long
+        for k, piece in long:
+            out[k] = now[piece]
+        self.long.update((p, now[p]) for p in fresh if len(p) <= LONGEST_KEPT)
         return out
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text with the end id."""
         if self.n > MOST_PIECES:
             self._clear()
-        parts, ends = [], []
-        for text in texts:
-            parts += self.cut(text)
-            ends.append(len(parts))
-        self._learn([p for p in set(parts) if p not in self.known])
-        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-        size = self.size[at]
+        odd = [_ODD.search(t) is not None or any(s in t for s in self.special) for t in texts]
+        raw = b"".join([b"" if o else t.encode() + b"\0" for o, t in zip(odd, texts)])
+        data = np.frombuffer(raw, np.uint8)
+        begin = self.cuts(data)
+        number = self._numbers(raw, begin) if len(raw) else np.empty(0, np.int64)
+        size = self.size[number].astype(np.int64)
         last = np.cumsum(size)
-        flat = self.flat[np.arange(last[-1] if len(last) else 0) + np.repeat(self.begin[at] - last + size, size)]
-        stops = last[np.array(ends, np.int64) - 1].tolist() if ends else []
-        return [np.append(flat[a:b], np.uint32(END_ID)) for a, b in zip([0, *stops], stops)]
+        flat = self.flat[np.arange(last[-1] if len(last) else 0) + np.repeat(self.begin[number] - last + size, size)]
+        stops = [0, *last[data[begin] == 0].tolist()]
+        plain = zip(stops[:-1], stops[1:])
+        return [np.array([*self._encode(t), END_ID], np.uint32) if o else flat[slice(*next(plain))] for o, t in zip(odd, texts)]
 
 
 def _pieces(path: str) -> Pieces:
@@ -137,8 +207,8 @@ def _pieces(path: str) -> Pieces:
 
 
 def encoded(docs: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
-    """A written table (doc_id, ids) of all documents, and how often each id occurs: one bounded vector per
-    task, added in a tree."""
+    """A written table (doc_id, ids) of all documents, and how often each id occurs: tasks count for themselves,
+    their counts are added by id, so at most the vocabulary comes to the driver."""
     size = _tokenizer(path).get_vocab_size(True)
     kind = _kind(size)
 
@@ -150,12 +220,14 @@ def encoded(docs: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
                 ids = pieces.ids([t or "" for t in some["text"]])
                 total += np.bincount(np.concatenate(ids), minlength=size)
                 yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "ids": [x.astype(kind).tobytes() for x in ids], "counts": None})
-        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "ids": [None], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    table = materialize(docs.select("doc_id", "text").mapInPandas(coded, "doc_id long, ids binary, counts binary"), "encoded")
-    rows = table.filter(F.col("counts").isNotNull()).select("counts").rdd
-    read = rows.map(lambda r: np.frombuffer(zlib.decompress(r["counts"]), np.int64))
-    counts = read.treeReduce(lambda a, b: a + b) if not rows.isEmpty() else np.zeros(size, np.int64)
+        if total.any():
+            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "ids": [None], "counts": [total]})
+
+    table = materialize(docs.select("doc_id", "text").mapInPandas(coded, "doc_id long, ids binary, counts array<long>"), "encoded")
+    counted = table.filter(F.col("counts").isNotNull()).select(F.posexplode("counts").alias("id", "n")).filter(F.col("n") > 0)
+    counts = np.zeros(size, np.int64)
+    for r in counted.groupBy("id").agg(F.sum("n").alias("n")).collect():
+        counts[r["id"]] = r["n"]
     return table.filter(F.col("counts").isNull()).select("doc_id", "ids"), counts
 
 
@@ -277,7 +349,9 @@ def write(docs: DataFrame, tokenizer_path: str, path: str) -> None:
         if parts:
             yield block()
 
-    ordered = coded.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids").withColumn("part", F.spark_partition_id())
+    # the ids themselves stay out of the range key, whose sample goes to the driver
+    ordered = coded.withColumn("_h", F.xxhash64("ids")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "ids")
+    ordered = ordered.select("doc_id", "ids", F.spark_partition_id().alias("part"))
     ordered.mapInPandas(blocks, "part int, block int, doc_ids array<long>, sizes array<int>, checkpoints array<long>, payload binary").write.parquet(f"{path}/blocks")
 
 
