@@ -47,8 +47,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.withColumnsRenamed({"_n_lines": "n_lines", "_n_dropped": "n_dropped"})
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), counts=True)
 
 
 def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,19 +73,41 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": r"""
     WITH lines AS (
-        SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
         FROM documents),
-    shaped AS (
-        SELECT doc_id, text, line, pos, regexp_replace(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS t
+    masked AS (
+        SELECT doc_id, line, pos, regexp_replace(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS t
         FROM lines),
-    met AS (
-        SELECT t, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM shaped
-        WHERE length(t) - length(replace(t, ' ', '')) + 1 >= 4 AND regexp_matches(replace(t, '<*>', ''), '[^\x20\x09-\x0D]')
-        GROUP BY t HAVING count(DISTINCT doc_id) >= 3),
-    marked AS (SELECT s.doc_id, s.line, s.pos, m.t IS NOT NULL AND s.doc_id <> m.first AS gone FROM shaped s LEFT JOIN met m ON s.t = m.t)
-    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
-           count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped
-    FROM marked GROUP BY doc_id""",
+    cut AS (SELECT *, string_split_regex(t, '[\x20\x09-\x0D]+') AS w FROM masked WHERE regexp_matches(replace(t, '<*>', ''), '[^\x20\x09-\x0D]')),
+    shaped AS (
+        SELECT doc_id, pos, t, w, len(w) AS n, ceil((len(w) - 3) / 8)::BIGINT AS step,
+               CASE WHEN len(w) >= 50 OR length(t) >= 300 THEN 2 WHEN len(w) >= 4 OR length(t) >= 24 THEN 3 ELSE 6 END AS need
+        FROM cut),
+    leaves AS (SELECT t, min(doc_id) AS first FROM shaped GROUP BY t HAVING count(DISTINCT doc_id) >= min(need)),
+    paths AS (
+        SELECT doc_id, pos, n, step, need, w, unnest([0, 1, 2, 3]) AS k, unnest([
+            [n::VARCHAR, w[1], w[2], w[3]], [n::VARCHAR, w[1], w[2], NULL], [n::VARCHAR, w[1], NULL, w[3]], [n::VARCHAR, NULL, w[2], w[3]]]) AS path
+        FROM shaped WHERE n >= 8),
+    shared AS (SELECT k, path FROM paths GROUP BY k, path HAVING count(*) >= 3),
+    routed AS (
+        SELECT doc_id, pos, n, step, need, w, k, path FROM paths JOIN shared USING (k, path)
+        QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY k) = 1),
+    cells AS (
+        SELECT doc_id, pos, n, step, need, k, path, unnest(range(0, (n - 4) // step + 1)) AS nth,
+               unnest([w[4 + a * step : 3 + (a + 1) * step] for a in range(0, (n - 4) // step + 1)]) AS segment
+        FROM routed),
+    fixed AS (SELECT k, path, nth, segment FROM cells GROUP BY k, path, nth, segment HAVING count(*) >= 3),
+    kept AS (
+        SELECT doc_id, pos, n, need, k, path, list(struct_pack(nth := nth, segment := segment) ORDER BY nth) AS kept, sum(least(step, n - 3 - nth * step)) AS size
+        FROM cells JOIN fixed USING (k, path, nth, segment) GROUP BY doc_id, pos, n, need, k, path),
+    alike AS (SELECT * FROM kept WHERE size + 3 - least(k, 1) >= 0.75 * n),
+    recurring AS (SELECT k, path, kept, min(doc_id) AS first FROM alike GROUP BY k, path, kept HAVING count(DISTINCT doc_id) >= min(need)),
+    gone AS (
+        SELECT doc_id, pos FROM shaped JOIN leaves USING (t) WHERE doc_id <> first
+        UNION SELECT doc_id, pos FROM alike JOIN recurring USING (k, path, kept) WHERE doc_id <> first)
+    SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS text,
+           count(*) AS n_lines, count(g.pos) AS n_dropped
+    FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id""",
     "op10_chat_format": r"""
     WITH turns AS (
         SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tarnsift.llm import byte_bpe, chat_format, decontaminate, huffman_ids, jaccard_join, line_dedup, pii, quality_rules, token_counts, weak_quality
 
@@ -152,13 +153,56 @@ def test_decontamination(spark, real, odd, none):
     assert decontaminate.decontaminate(odd, test).count() == len(ODD) and decontaminate.contaminated(none, test).count() == 0
 
 
-def test_line_dedup(spark, odd, none):
-    rows = [(k, f"own text of number {'abcdefg'[k]}\nJob {k} took {k * 7} seconds in all\nshort one") for k in range(5)] + [(9, None)]
+def brute_line_dedup(rows):
+    """(text, dropped) by doc_id of distinct documents, by the rules of line_dedup."""
+    d, m = line_dedup.DEPTH, line_dedup.SEGMENTS
+    lines = []
+    for doc, text in rows:
+        for place, line in enumerate(text.split("\n") if text is not None else []):
+            w = [("<*>" if re.search("[0-9]", x) else x) for x in re.findall(r"[^\x20\x09-\x0D]+", line)]
+            masked = re.sub(line_dedup.FIELD, "<*>", line.strip(" \t\n\x0b\x0c\r"))
+            if set(w) - {"<*>"}:
+                need = 2 if len(w) >= 50 or len(masked) >= 300 else 3 if len(w) >= 4 or len(masked) >= 24 else 6
+                lines.append((doc, place, masked, w, need))
+    paths = lambda w: [(k, len(w), *[None if j == d - k else w[j] for j in range(d)]) for k in range(d + 1)] if len(w) >= line_dedup.GENERAL_WORDS else []
+    shared = Counter(p for x in lines for p in paths(x[3]))
+
+    def cells(w):
+        node = next((p for p in paths(w) if shared[p] >= 3), None)
+        step = -(-(len(w) - d) // m)
+        return [(node, k, tuple(w[d + k * step : d + (k + 1) * step])) for k in range(-(-(len(w) - d) // step))] if node else []
+
+    fixed = Counter(c for x in lines for c in cells(x[3]))
+    groups = {}
+    for doc, place, masked, w, need in lines:
+        groups.setdefault(masked, []).append((doc, place, need))
+        kept = [c for c in cells(w) if fixed[c] >= 3]
+        if kept and sum(len(c[2]) for c in kept) + d - (kept[0][0][0] > 0) >= 0.75 * len(w):
+            groups.setdefault(tuple(kept), []).append((doc, place, need))
+    gone = {(doc, place) for g in groups.values() if len({x[0] for x in g}) >= min(x[2] for x in g) for doc, place, _ in g if doc != min(x[0] for x in g)}
+    out = {}
+    for doc, text in rows:
+        left = [x for k, x in enumerate(text.split("\n")) if (doc, k) not in gone] if text is not None else None
+        out[doc] = (None if left is None else "\n".join(left), sum(x == doc for x, _ in gone))
+    return out
+
+
+def test_line_dedup(spark, real, odd, none):
+    names, rng = ["anna", "bert", "carl", "dora", "emil", "fred"], random.Random(3)
+    passage = " ".join(f"passage{'abcdefghij'[k % 10]}{'klmnop'[k // 10]}" for k in range(60))
+    rows = [(k, f"own text of letter {'abcdef'[k]}\nJob {k} took {k * 7} seconds in all\nuser {names[k]} logged in from the office today\nhome page") for k in range(6)]
+    rows += [(9, None), (10, ""), (11, f"first\n{passage}"), (12, f"second\n{passage} \n7 8 9 10"), (13, "7 8 9 10\n\n"), (14, "7 8 9 10")]
+    rows += [(20 + k, "\n".join(" ".join(rng.choices("red blue green one two".split(), k=rng.choice((3, 8, 9, 13, 30)))) for _ in range(30))) for k in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
-    assert out[0]["text"] == rows[0][1] and out[9]["text"] is None
-    assert all(out[k]["text"] == f"own text of number {'abcdefg'[k]}\nshort one" and out[k]["_n_dropped"] == 1 for k in range(1, 5))
-    assert line_dedup.dedup_lines(odd).count() == len(ODD) and line_dedup.dedup_lines(none).count() == 0
+    out = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs, counts=True).collect()}
+    assert out == brute_line_dedup(rows)
+    assert out[0] == (rows[0][1], 0) and out[9] == (None, 0) and out[12] == ("second\n7 8 9 10", 1) and out[13][1] == 0
+    assert all(out[k] == (f"own text of letter {'abcdef'[k]}", 3) for k in range(1, 6))
+    plain = [(r["doc_id"], r["text"]) for r in real.collect()]
+    assert {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.dedup_lines(real, counts=True).collect()} == brute_line_dedup(plain)
+    clash = odd.withColumnsRenamed({"lang": "places", "source": "lines", "n_words": "_sum"}).withColumn("row", F.lit(1))
+    assert line_dedup.dedup_lines(clash).columns == clash.columns and line_dedup.dedup_lines(clash).count() == len(ODD)
+    assert line_dedup.dedup_lines(none).count() == 0
 
 
 def test_personal_data(spark, odd, none):
