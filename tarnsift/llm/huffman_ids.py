@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch_dir
+from .token_counts import byte_of_letter
 
 #: Longest code, ids between bit offsets, ids after which a block ends, the id that ends a document.
-MAX_BITS, STRIDE, BLOCK_IDS, END_ID = 16, 256, 65_536, 0
+MAX_BITS, STRIDE, BLOCK_IDS, END_ID = 16, 256, 262_144, 0
 #: Distinct pieces of texts remembered with their ids, slots of their table, longest piece kept in it, longest
 #: one remembered at all, and characters of texts encoded at once.
-MOST_PIECES, SLOTS, KEY_BYTES, LONGEST_KEPT, SLICE_CHARS = 1_000_000, 1 << 21, 24, 200, 1_000_000
+MOST_PIECES, SLOTS, KEY_BYTES, LONGEST_KEPT, SLICE_CHARS = 1_000_000, 1 << 21, 24, 200, 250_000
 _LOADED: dict[str, object] = {}
 
 
@@ -46,13 +47,25 @@ def _tokenizer(path: str):
 
 #: Texts with white space beyond ASCII, or with signs that versions of Unicode class differently, go to the library whole.
 _ODD = re.compile("[\0\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
-_WHITE, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(3))
+#: Kinds of bytes: white space and ends of texts, then letters, digits and other signs of ASCII; 0 is all else, with
+#: the quote, which may open a contraction.
+_WHITE, _KIND = np.zeros(256, bool), np.zeros(256, np.uint8)
 _WHITE[[0, *range(9, 14), 32]] = True
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
-_MARK[[ord(c) for c in ",.;:!?"]] = True
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[39] = 0
 _LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
+def _kinds(data: np.ndarray) -> np.ndarray:
+    kind = _KIND[data]
+    two = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC5))  # letters of two bytes up to U+017F, but for two signs
+    two = two[(data[two] != 0xC3) | ((data[two + 1] != 0x97) & (data[two + 1] != 0xB7))]
+    kind[two] = kind[two + 1] = 1
+    return kind
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
     return x ^ (x >> np.uint64(29))
@@ -62,15 +75,16 @@ class Pieces:
     """Encodes texts by their distinct pieces, each given to the library once while it is remembered.
 
     The byte-level pre-tokeniser always begins a token at the first blank after a word, at the last blank before
-    a word, at a word after a blank that is not a space, and at one of , . ; : ! ? after an ASCII letter. Cut there,
-    a text's ids are those of its parts. Texts with special tokens or odd white space go to the library whole. The
+    a word, at a word after a blank that is not a space, and where letters, digits and other signs meet. Cut there,
+    a text's ids are those of its parts; a part of one kind goes straight to the library's model. Texts with special tokens or odd white space go to the library whole. The
     others are joined by zero bytes, whose piece is the end id. Pieces of up to KEY_BYTES bytes are looked up all at once: their bytes are
     three integers, which a table of slots finds and compares whole, so no two pieces are ever taken for one."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.line_end = self._encode("\n")
+        self.model = tokenizer.model.tokenize
+        self.letters = {b: ord(c) for c, b in byte_of_letter().items()}
         self._clear()
 
     def _encode(self, text: str) -> list[int]:
@@ -82,7 +96,7 @@ class Pieces:
         self.begin, self.size, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
         self.long: dict[bytes, int] = {}
         self.n = self.used = 0
-        self._add(np.zeros((1, 3), np.uint64), [np.array([END_ID], np.uint32)])
+        self._enter(np.zeros((1, 3), np.uint64), self._store(np.array([END_ID], np.uint32), np.array([1])))
 
     def _room(self, pieces: int, ids: int) -> None:
         while self.n + pieces > len(self.begin):
@@ -90,19 +104,17 @@ class Pieces:
         while self.used + ids > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
 
-    def _store(self, ids: list[np.ndarray]) -> np.ndarray:
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Numbers of new pieces with these ids."""
-        sizes = np.array([len(x) for x in ids], np.int64)
-        self._room(len(ids), int(sizes.sum()))
-        numbers = np.arange(self.n, self.n + len(ids))
-        self.flat[self.used : self.used + int(sizes.sum())] = np.concatenate(ids)
+        self._room(len(sizes), len(ids))
+        numbers = np.arange(self.n, self.n + len(sizes))
+        self.flat[self.used : self.used + len(ids)] = ids
         self.begin[numbers], self.size[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.n, self.used = self.n + len(ids), self.used + int(sizes.sum())
+        self.n, self.used = self.n + len(sizes), self.used + len(ids)
         return numbers
 
-    def _add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
+    def _enter(self, keys: np.ndarray, numbers: np.ndarray) -> None:
         """New pieces, all different, take the first free slot from that of their hash on."""
-        numbers = self._store(ids)
         self.keys[numbers] = keys
         slot = self._slot(keys)
         while len(numbers):
@@ -131,18 +143,23 @@ class Pieces:
             at, slot = at[on], (slot[on] + 1) % SLOTS
         return out
 
-    def _ids_of(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Pieces without line ends go to the library many to a text, one to a line."""
-        out: list[np.ndarray | None] = [None] * len(pieces)
-        plain = [k for k, p in enumerate(pieces) if b"\n" not in p and p.strip()]
-        for k in range(0, len(plain), 2048):
-            some = plain[k : k + 2048]
-            ids = np.array(self._encode("\n" + "\n".join([pieces[x].decode() for x in some]) + "\n"), np.uint32)
-            at = np.flatnonzero(ids == self.line_end[0])
-            if len(self.line_end) == 1 and len(at) == len(some) + 1:
-                for x, a, b in zip(some, at[:-1].tolist(), at[1:].tolist()):
-                    out[x] = ids[a + 1 : b]
-        return [np.array(self._encode(p.decode()), np.uint32) if x is None else x for p, x in zip(pieces, out)]
+    def _learned(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of new pieces. One of letters, digits or signs only, with or without a space before, is one token
+        of the pre-tokeniser and goes to the model; the others go through the whole library."""
+        raw = b"".join(pieces)
+        data, ends = np.frombuffer(raw, np.uint8), np.cumsum([len(p) for p in pieces])
+        begins = np.concatenate(([0], ends[:-1]))
+        kind = _kinds(data)
+        led = begins[(data[begins] == 32) & (ends - begins > 1)]
+        kind[led] = kind[led + 1]
+        low, high = np.minimum.reduceat(kind, begins), np.maximum.reduceat(kind, begins)
+        letters, model = raw.decode("latin-1").translate(self.letters), self.model
+        ids, sizes = [], []
+        for piece, a, b, one in zip(pieces, begins.tolist(), ends.tolist(), ((low == high) & (low > 0)).tolist()):
+            own = [t.id for t in model(letters[a:b])] if one else self._encode(piece.decode())
+            ids += own
+            sizes.append(len(own))
+        return self._store(np.array(ids, np.uint32), np.array(sizes))
 
     @staticmethod
     def cuts(data: np.ndarray) -> np.ndarray:
@@ -153,7 +170,8 @@ class Pieces:
         starts[1:] = white[1:] & ~white[:-1]
         starts[:-1] |= white[:-1] & ~white[1:]
         starts[1:] |= white[:-1] & ~white[1:] & (data[:-1] != 32)
-        starts[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+        kind = _kinds(data)
+        starts[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
         ends = data == 0
         starts |= ends
         starts[1:] |= ends[:-1]
@@ -171,12 +189,13 @@ class Pieces:
         new = np.flatnonzero(short & (out < 0))
         if len(new):
             distinct, first, which = np.unique(keys[new], axis=0, return_index=True, return_inverse=True)
-            at, base = new[first], self.n
-            self._add(distinct, self._ids_of([raw[b : b + s] for b, s in zip(begin[at].tolist(), size[at].tolist())]))
-            out[new] = base + which.reshape(-1)
+            at = new[first]
+            numbers = self._learned([raw[b : b + s] for b, s in zip(begin[at].tolist(), size[at].tolist())])
+            self._enter(distinct, numbers)
+            out[new] = numbers[which.reshape(-1)]
         long = [(k, raw[begin[k] : begin[k] + size[k]]) for k in np.flatnonzero(~short).tolist()]
         fresh = list({p for _, p in long if p not in self.long})
-        now = self.long | dict(zip(fresh, self._store(self._ids_of(fresh)).tolist())) if fresh else self.long
+        now = self.long | dict(zip(fresh, self._learned(fresh).tolist())) if fresh else self.long
         for k, piece in long:
             out[k] = now[piece]
         self.long.update((p, now[p]) for p in fresh if len(p) <= LONGEST_KEPT)
