@@ -1,21 +1,28 @@
 """Personal data: fixed base forms, and a character model that adds spans.
 
-The model is a bidirectional LSTM over character classes with CRF transitions between the tags, written and
-trained in numpy. Its labelled spans are the base spans of a bounded sample of documents (at most TRAIN_DOCS
-rows, chosen by the hash of their id), plus spellings of them that the base forms miss (doubled blanks, spelled-out
-separators, blanks around signs). Every kind holds a digit or an @, so windows are laid over all places of
-the whole text that are near one, at half their length apart. Overlapping windows are decoded and reconciled
-globally: each position takes both windows' emissions, weighted by the distance from the window's edge, and
-one Viterbi pass runs over the whole covered stretch. Spans that touch no base span are added.
-
-Defined cases: null text is empty and has no spans; texts may be of any length (the network runs over a bounded
-number of windows at a time; their blended emissions and the back pointers, some 30 bytes a character, are held
-for one stretch); equal rows get equal spans; an empty table gives an empty result; other columns are ignored.
+The model is a bidirectional LSTM over characters with CRF transitions between the tags, written and trained in numpy.
+Its labelled spans are made with their texts: addresses, cards and phone numbers in the base forms and in spellings that
+those miss (spelled-out or bracketed signs, blanks around signs, doubled blanks, 00 for +, numbers run together), and
+look-alikes that are none, set into stretches of text of a bounded sample of documents (TRAIN_DOCS rows chosen by the
+hash of their id, TRAIN_CHARS characters of each).
+
+Windows of WINDOW characters are laid over all of every text, STEP apart. Where two overlap, each gives way to the
+other evenly over the overlap. The best tags of a whole text follow from that: a place whose lead for "no data" is
+larger than all that any transitions could win back has that tag in the best path of the whole text for certain, so
+Viterbi passes over the stretches between such places give the tags of one pass over everything. Proposed spans are
+completed to whole words and checked by the form and rules of their kind (signs, digits, Luhn, parts up to 255); those
+that touch no other span are added.
+
+Defined cases: null text is empty and has no spans; texts may be of any length (the network runs over a bounded number
+of windows at a time, and only stretches not yet certain are carried on); equal rows get equal spans; an empty table
+gives an empty result, and documents without any usable text leave the model with made-up texts alone; columns
+besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -27,14 +34,12 @@ from pyspark.sql import functions as F
 from .common import sampled
 
 KINDS = ("email", "ip", "card", "phone")
-#: Training: documents sampled, windows at most, steps, batch. Model: window, hidden units, embedding.
-TRAIN_DOCS, TRAIN_WINDOWS, STEPS, BATCH = 4000, 1600, 160, 64
-WINDOW, HIDDEN, EMBED = 64, 12, 8
-#: Windows given to the network at once; a span is added if its mean margin over "no data" is at least MARGIN.
-DECODE_WINDOWS, MARGIN = 512, 2.0
-LEAST = {"email": 6, "ip": 7, "card": 12, "phone": 8}
-
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+TAGS = len(KINDS) + 1
+#: Training: documents sampled and characters of each, windows and their length, steps, batch.
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_WINDOWS, TRAIN_LENGTH, STEPS, BATCH = 1000, 1200, 9000, 80, 900, 48
+#: Model: hidden units, embedding. Decoding: window, step, windows given to the network at once.
+HIDDEN, EMBED, WINDOW, STEP, BLOCK = 12, 10, 192, 160, 1024
+
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"(?<![0-9])[0-9]([\x20-]?[0-9])+")
@@ -42,6 +47,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
+def _is_byte(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -63,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             after = m.end()
         at = text.find("@", at + 1)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(_is_byte(p) for p in m[0].split(".")):
             out.append((m.start(), m.end(), 1))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -75,29 +85,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-_CLASSES = "@.-+()%_ \n:/#|,\"'="
-N_CLASS = len(_CLASSES) + 6
-_TABLE = np.full(0x3000, len(_CLASSES) + 4, np.int64)  # letters beyond ASCII
-_TABLE[:128] = len(_CLASSES) + 3
-for _k, _c in enumerate(_CLASSES):
-    _TABLE[ord(_c)] = _k
-_TABLE[48:58], _TABLE[97:123], _TABLE[65:91] = len(_CLASSES), len(_CLASSES) + 1, len(_CLASSES) + 2
+_SIGNS = "@.-+()[]{}<>%_ \n:/#|,;\"'=*&!?$"
+#: Classes: the signs, letters without case, zero, other digits, other ASCII, all else, and what is outside of texts.
+N_CLASS = len(_SIGNS) + 26 + 5
 PAD = N_CLASS - 1
+_TABLE = np.full(129, len(_SIGNS) + 28, np.uint8)
+_TABLE[128] += 1
+for _k, _c in enumerate(_SIGNS):
+    _TABLE[ord(_c)] = _k
+_TABLE[97:123] = _TABLE[65:91] = np.arange(26) + len(_SIGNS)
+_TABLE[48], _TABLE[49:58] = len(_SIGNS) + 26, len(_SIGNS) + 27
 
 
 def classes_of(text: str) -> np.ndarray:
-    return _TABLE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x2FFF)]
-
-
-def window_starts(text: str) -> np.ndarray:
-    """Starts of the windows, on a grid of half windows, that hold a digit or an @ in their middle half."""
-    places = np.array([m.start() for m in re.finditer(r"[0-9@]", text)], np.int64)
-    if not len(places):
-        return places
-    half = WINDOW // 2
-    cells = np.unique(np.concatenate((places - half // 2, places + half // 2)) // half)
-    cells = np.unique(np.concatenate((cells - 1, cells)))
-    return cells * half
+    return _TABLE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)]
 
 
 class Tagger:
@@ -105,7 +106,7 @@ class Tagger:
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        tags = len(KINDS) + 1
+        tags = TAGS
         shape = {"embed": (N_CLASS, EMBED), "out": (2 * HIDDEN, tags), "bias": (tags,), "trans": (tags, tags)}
         shape |= {f"{d}_{p}": s for d in "fb" for p, s in (("x", (EMBED, 4 * HIDDEN)), ("h", (HIDDEN, 4 * HIDDEN)), ("c", (4 * HIDDEN,)))}
         self.p = {k: (rng.normal(0, 0.3, s) if len(s) > 1 and k != "trans" else np.zeros(s)).astype(np.float32) for k, s in sorted(shape.items())}
@@ -132,10 +133,32 @@ class Tagger:
         return out
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """x: batch x time classes -> batch x time x tags."""
-        e = self.p["embed"][x.T]
-        h = np.concatenate((self._lstm(e, "f", None), self._lstm(e, "b", None)), 2)
-        return (h @ self.p["out"] + self.p["bias"]).transpose(1, 0, 2)
+        """x: time x batch classes -> time x batch x tags. Both directions run side by side."""
+        p, (steps, size) = self.p, x.shape
+        half = np.concatenate((np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN))).astype(np.float32)  # sigmoids by tanh
+        given = np.stack([(p["embed"] @ p[f"{d}_x"] + p[f"{d}_c"]) * half for d in "fb"])
+        again = np.stack([p[f"{d}_h"] * half for d in "fb"])
+        ways = np.stack((p["out"][:HIDDEN], p["out"][HIDDEN:]))
+        h, c = np.zeros((2, size, HIDDEN), np.float32), np.zeros((2, size, HIDDEN), np.float32)
+        z, wide = np.empty((2, size, 4 * HIDDEN), np.float32), np.empty((2, size, 4 * HIDDEN), np.float32)
+        out = np.zeros((steps, size, TAGS), np.float32) + p["bias"]
+        for t in range(steps):
+            np.matmul(h, again, out=z)
+            np.take(given[0], x[t], axis=0, out=wide[0], mode="clip")
+            np.take(given[1], x[steps - 1 - t], axis=0, out=wide[1], mode="clip")
+            z += wide
+            np.tanh(z, out=z)
+            gate = z[:, :, : 3 * HIDDEN]
+            gate *= 0.5
+            gate += 0.5
+            c *= z[:, :, HIDDEN : 2 * HIDDEN]
+            c += z[:, :, :HIDDEN] * z[:, :, 3 * HIDDEN :]
+            np.tanh(c, out=h)
+            h *= z[:, :, 2 * HIDDEN : 3 * HIDDEN]
+            said = np.matmul(h, ways)
+            out[t] += said[0]
+            out[steps - 1 - t] += said[1]
+        return out
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the tag sequences, and its gradient."""
@@ -195,7 +218,7 @@ class Tagger:
             at = rng.integers(0, len(x), BATCH)
             loss, grad = self.loss(x[at], y[at])
             losses.append(loss)
-            rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
+            rate = 0.02 * min(1.0, step / 20, 2 * (1 - step / (steps + 1)))
             for k, g in grad.items():
                 g = np.clip(g, -1, 1)
                 first[k] = 0.9 * first[k] + 0.1 * g
@@ -203,105 +226,236 @@ class Tagger:
                 self.p[k] = (self.p[k] - rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         return losses
 
-    def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """Spans over the whole text: windows' emissions blended, one Viterbi pass per covered stretch."""
-        starts = window_starts(text)
-        if not len(starts):
-            return []
-        codes = np.concatenate((np.full(WINDOW, PAD), classes_of(text), np.full(2 * WINDOW, PAD)))
-        ramp = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)[:, None]
-        out: list[tuple[int, int, int]] = []
-        breaks = np.flatnonzero(np.diff(starts) > WINDOW // 2) + 1
-        for stretch in np.split(starts, breaks):
-            low, length = int(stretch[0]), int(stretch[-1] - stretch[0]) + WINDOW
-            total, weight = np.zeros((length, len(KINDS) + 1), np.float32), np.zeros((length, 1), np.float32)
-            for k in range(0, len(stretch), DECODE_WINDOWS):
-                some = stretch[k : k + DECODE_WINDOWS]
-                for s, e in zip(some, self.emissions(codes[some[:, None] + WINDOW + np.arange(WINDOW)])):
-                    total[s - low : s - low + WINDOW] += e * ramp
-                    weight[s - low : s - low + WINDOW] += ramp
-            total /= weight
-            out += self._decoded(total, low, len(text))
+    def _blocks(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(place, emissions, is text) of the texts, each led by one step of nothing and filled up to whole steps, so
+        that its windows lie the same way whatever stands beside it."""
+        starts = np.concatenate(([0], np.cumsum([STEP * (1 + -(-len(t) // STEP)) for t in texts]))).astype(np.int64)
+        overlap = WINDOW - STEP
+        rise = ((np.arange(overlap) + 1) / (overlap + 1)).astype(np.float32)[:, None, None]
+        carried = np.zeros((overlap, TAGS), np.float32)
+        steps = int(starts[-1]) // STEP
+        for first in range(0, steps, BLOCK):
+            count = min(BLOCK, steps - first)
+            low, high = first * STEP, (first + count - 1) * STEP + WINDOW
+            codes, real = np.full(high - low, PAD, np.uint8), np.zeros(high - low, bool)
+            for k in range(int(np.searchsorted(starts, low, "right")) - 1, len(texts)):
+                at = int(starts[k]) + STEP
+                if at >= high:
+                    break
+                a, b = max(low, at), min(high, at + len(texts[k]))
+                if a < b:
+                    codes[a - low : b - low], real[a - low : b - low] = classes_of(texts[k][a - at : b - at]), True
+            laid = np.lib.stride_tricks.as_strided(codes, (WINDOW, count), (1, STEP))
+            emit = self.emissions(np.ascontiguousarray(laid))
+            emit[:overlap] *= rise
+            emit[STEP:] *= 1 - rise
+            whole = np.ascontiguousarray(emit[:STEP].transpose(1, 0, 2))
+            whole[0, :overlap] += carried
+            whole[1:, :overlap] += emit[STEP:, :-1].transpose(1, 0, 2)
+            carried = emit[STEP:, -1].copy()
+            yield low, whole.reshape(-1, TAGS), real[: count * STEP]
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """(start, end, kind) in each of the texts."""
+        out = [[] for _ in texts]
+        starts = np.concatenate(([0], np.cumsum([STEP * (1 + -(-len(t) // STEP)) for t in texts])))
+        emit, low = np.zeros((1, TAGS), np.float32), -1
+        for _, block, real in self._blocks(texts):
+            block[~real, 1:] -= 1000
+            emit = np.concatenate((emit, block))
+            final = low + len(emit) >= starts[-1]
+            open_, upto = self._open(emit, final)
+            for a, b, tag in self._decoded(emit[:upto], ~open_[:upto]):
+                k = int(np.searchsorted(starts, low + a, "right")) - 1
+                out[k].append((low + a - int(starts[k]) - STEP, low + b - int(starts[k]) - STEP, tag - 1))
+            emit, low = emit[upto:].copy(), low + upto
         return out
 
-    def _decoded(self, emit: np.ndarray, low: int, size: int) -> list[tuple[int, int, int]]:
-        trans, steps = self.p["trans"], len(emit)
-        back = np.zeros(emit.shape, np.int8)
-        score = emit[0]
-        for t in range(1, steps):
-            ways = score[:, None] + trans
-            back[t] = ways.argmax(0)
-            score = ways.max(0) + emit[t]
-        tags = np.empty(steps, np.int64)
-        tags[-1] = score.argmax()
-        for t in range(steps - 1, 0, -1):
-            tags[t - 1] = back[t, tags[t]]
-        margin = emit[np.arange(steps), tags] - emit[:, 0]
-        out = []
-        cut = np.flatnonzero(np.concatenate(([True], tags[1:] != tags[:-1], [True])))
-        for a, b in zip(cut[:-1], cut[1:]):
-            if tags[a] and margin[a:b].mean() >= MARGIN:
-                start, end = max(0, low + int(a)), min(size, low + int(b))
-                if end > start:
-                    out.append((start, end, int(tags[a]) - 1))
-        return out
-
-
-def _spellings(text: str, kind: int) -> str:
-    """A spelling of a base span that the base forms miss."""
+    def _open(self, emit: np.ndarray, final: bool) -> tuple[np.ndarray, int]:
+        """Places that the best path could tag, and the place up to which that is certain whatever follows.
+
+        A stretch of tags in the best path wins over "no data" what its emissions and inner transitions win at most,
+        less the least cost of entering and leaving; so it lies in a stretch whose sum says that it may."""
+        trans = self.p["trans"].astype(np.float64)
+        gain = emit[:, 1:].max(1).astype(np.float64) - emit[:, 0] + (trans[1:, 1:].max() - trans[0, 0])
+        cost = (trans[1:, 1:].max() + trans[0, 0]) - trans[0, 1:].max() - trans[1:, 0].max()
+        total = np.cumsum(gain)
+        before = np.minimum.accumulate(np.concatenate(([0.0], total[:-1])))
+        after = np.maximum.accumulate(total[::-1])[::-1]
+        open_ = after - before >= cost - 1e-6
+        if final:
+            return open_, len(emit)
+        # one that goes on to what follows would rather start later, if the sum falls far enough from here on
+        later = np.minimum.accumulate(total[::-1])[::-1]
+        certain = np.flatnonzero(~open_ & (before - later > 4 * np.ptp(trans) + 1))
+        return open_, int(certain[-1]) if len(certain) else 0
+
+    def _decoded(self, emit: np.ndarray, sure: np.ndarray) -> list[tuple[int, int, int]]:
+        """(begin, end, tag) of the best path; places that are sure, and both ends, have tag 0. The stretches between
+        them are decoded side by side."""
+        open_ = np.flatnonzero(np.diff(np.concatenate(([True], sure, [True])).astype(np.int8)))
+        begin, end = open_[::2], open_[1::2]
+        if not len(begin):
+            return []
+        order = np.argsort(begin - end, kind="stable")  # the longest first
+        begin, size, trans = begin[order], (end - begin)[order], self.p["trans"].astype(np.float64)
+        live = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # stretches of at least t + 1 places
+        ends = np.cumsum(live)
+        back = np.zeros((int(ends[-1]), TAGS), np.int8)
+        score = emit[begin] + trans[0]
+        for t in range(1, int(size[0])):
+            n = int(live[t])
+            ways = score[:n, :, None] + trans
+            back[ends[t] - n : ends[t]] = ways.argmax(1)
+            score[:n] = ways.max(1) + emit[begin[:n] + t]
+        tags = np.zeros(len(emit), np.int64)
+        now = (score + trans[:, 0]).argmax(1)
+        for t in range(int(size[0]) - 1, -1, -1):
+            n = int(live[t])
+            tags[begin[:n] + t] = now[:n]
+            if t:
+                now[:n] = back[np.arange(ends[t] - n, ends[t]), now[:n]]
+        cut = np.flatnonzero(np.concatenate(([tags[0] > 0], tags[1:] != tags[:-1], [tags[-1] > 0])))
+        return [(int(a), int(b), int(tags[a])) for a, b in zip(cut[:-1], cut[1:]) if tags[a]]
+
+
+_TLD, _NAMES = ("com", "org", "net", "de", "fr", "es", "co", "io", "info"), "abcdefghijklmnopqrstuvwxyz"
+_AT, _DOT = ("@",) * 6 + (" at ", " AT ", " [at] ", "[at]", "(at)", " (at) ", " @ ", "{at}"), (".",) * 5 + (" dot ", " DOT ", " [dot] ", "[dot]", "(dot)", " . ", "[.]")
+
+
+def _word(rng: random.Random, low: int = 2, high: int = 9) -> str:
+    return "".join(rng.choices(_NAMES, k=rng.randint(low, high)))
+
+
+def _digits(rng: random.Random, n: int) -> str:
+    return "".join(rng.choices("0123456789", k=n))
+
+
+def made_span(rng: random.Random, kind: int) -> str:
+    """Personal data of a kind, in a base form or another spelling."""
     if kind == 0:
-        return text.replace("@", " @ ")
+        at = rng.choice(_AT)
+        dot = rng.choice(_DOT if at == "@" else [d for d in _DOT if d != "."] + ["."] * 3)
+        local = rng.choice([_word(rng), f"{_word(rng)}.{_word(rng)}", f"{_word(rng)}{_digits(rng, 2)}", f"{_word(rng)}.{_digits(rng, 2)}", f"{_word(rng)}_{_word(rng)}"])
+        host = rng.choice([[_word(rng)], [_word(rng), _word(rng)], [f"{_word(rng)}{rng.randint(0, 99)}"], ["mail", _word(rng)], [f"mail{rng.randint(0, 9)}", "example"]])
+        return local + at + dot.join([*host, rng.choice(_TLD)])
     if kind == 1:
-        return text.replace(".", " . ")
+        return rng.choice((".",) * 5 + (" . ", "[.]", " [.] ", "(.)", ". ", " dot ", "[dot]")).join(str(rng.randint(0, 255)) for _ in range(4))
     if kind == 2:
-        return "  ".join(text[k : k + 4] for k in range(0, len(text), 4))
-    return text.replace(") ", ")  ").replace("+", "00")
-
-
-def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of classes and tags around digits and @, at most TRAIN_WINDOWS."""
-    xs, ys = [], []
-    for text in texts:
-        if len(xs) >= TRAIN_WINDOWS:
-            break
-        found = base_spans(text)
-        for variant in (False, True) if found else (False,):
-            said, tags, at = [], [], 0
-            for start, end, kind in found:
-                if start < at:
-                    continue
-                part = _spellings(text[start:end], kind) if variant else text[start:end]
-                said += [text[at:start], part]
-                tags += [np.zeros(start - at, np.int64), np.full(len(part), kind + 1)]
-                at = end
-            whole, tag = "".join(said) + text[at:], np.concatenate([*tags, np.zeros(len(text) - at, np.int64)])
-            codes = np.concatenate((np.full(WINDOW, PAD), classes_of(whole), np.full(2 * WINDOW, PAD)))
-            tag = np.concatenate((np.zeros(WINDOW, np.int64), tag, np.zeros(2 * WINDOW, np.int64)))
-            for s in window_starts(whole)[:12]:
-                xs.append(codes[s + WINDOW : s + 2 * WINDOW])
-                ys.append(tag[s + WINDOW : s + 2 * WINDOW])
-    return np.array(xs[:TRAIN_WINDOWS]), np.array(ys[:TRAIN_WINDOWS])
+        body = rng.choice("3456") + _digits(rng, rng.choice((14, 14, 14, 14, 12, 13, 17)))
+        number = next(body + c for c in "0123456789" if luhn(body + c))
+        gap = rng.choice(("", "", " ", "-", "  ", ".", " - ", "/", "--"))
+        return gap.join(number[k : k + 4] for k in range(0, len(number), 4))
+    area, first, last = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
+    lead = rng.choice(("+", "+", "+", "00", "00 ", "+ ")) + str(rng.randint(1, 99))
+    return rng.choice((
+        f"{lead} ({area}) {first}-{last}", f"{lead} ({area})  {first}-{last}", f"{lead} {area} {first} {last}", f"{lead}-{area}-{first}-{last}",
+        f"{lead}{area}{first}{last}", f"({area}) {first}-{last}", f"{lead}.{area}.{first}.{last}", f"{lead} / {area} / {first}{last}",
+    ))
+
+
+def look_alike(rng: random.Random) -> str:
+    """What resembles personal data and is none."""
+    n = lambda k: str(rng.randint(0, 10**k - 1))
+    return rng.choice((
+        f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(0, 23)}:{rng.randint(0, 59):02d}:{rng.randint(0, 59):02d}",
+        f"version {n(1)}.{n(2)}.{n(2)}", f"{n(3)},{_digits(rng, 3)}.{_digits(rng, 2)}", f"chapter {n(1)}.{n(1)}", f"{n(5)}", f"no. {n(4)}", f"{n(2)}.{n(2)}", f"{n(3)} {n(3)}",
+        f"CC BY-NC {n(1)}.0.", f"at {_word(rng)} dot", f"{_word(rng)} at {_word(rng)}", f"the dot {_word(rng)}", f"looked at {_word(rng)} and {_word(rng)}", f"@{_word(rng)}",
+        f"{_word(rng)}.{rng.choice(_TLD)}", f"({_word(rng)})", f'token = "{"".join(rng.choices("0123456789abcdef", k=32))}"', f"{n(6)}-{n(2)}", f"+{n(2)}%", f"{n(2)}/{n(2)}/{n(4)}",
+        f"[{n(1)}]", f"www.{_word(rng)}.{rng.choice(_TLD)}/{_word(rng)}", f"{n(2)} x {n(2)}", f"{n(2)} - {n(2)}",
+    ))
+
+
+def example(rng: random.Random, context: list[str]) -> tuple[str, np.ndarray]:
+    """A made text and the tag of each of its characters."""
+    said, tags = [], []
+
+    def add(part: str, tag: int) -> None:
+        said.append(part)
+        tags.extend([tag] * len(part))
+
+    def prose() -> None:
+        text = rng.choice(context) if context and rng.random() < 0.8 else " ".join(_word(rng) for _ in range(12))
+        at = rng.randrange(max(1, len(text) - 40))
+        piece = text[at : at + rng.randint(2, 40)]
+        for k, part in enumerate(re.split(r"([^\s]*[0-9@][^\s]*)", piece)):
+            add(part if k % 2 == 0 else "", 0)
+
+    prose()
+    for _ in range(rng.randint(1, 4)):
+        add(rng.choice((" ", " ", " ", "\n", ": ", " (", ", ", " | ")), 0)
+        if rng.random() < 0.6:
+            kind = rng.choices(range(4), (5, 2, 2, 3))[0]  # spelled-out addresses are the hardest
+            add(made_span(rng, kind), kind + 1)
+        else:
+            add(look_alike(rng), 0)
+        add(rng.choice((" ", " ", " ", "\n", ". ", ") ", ", ", " | ")), 0)
+        if rng.random() < 0.5:
+            prose()
+    return "".join(said), np.array(tags, np.int64)
+
+
+def examples(context: list[str], count: int = TRAIN_WINDOWS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of classes and tags."""
+    rng = random.Random(seed)
+    xs, ys = np.full((count, TRAIN_LENGTH), PAD, np.int64), np.zeros((count, TRAIN_LENGTH), np.int64)
+    for k in range(count):
+        text, tags = example(rng, context)
+        codes = classes_of(text)
+        room = len(codes) - TRAIN_LENGTH
+        at = rng.randint(0, room) if room > 0 else rng.randint(room, 0)
+        a, b = max(0, at), min(len(codes), at + TRAIN_LENGTH)
+        xs[k, a - at : b - at], ys[k, a - at : b - at] = codes[a:b], tags[a:b]
+    return xs, ys
 
 
 def train(docs: DataFrame) -> Tagger:
-    """Fit on the base spans of a bounded sample; only texts' stretches around digits come to the driver."""
-    near = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"(?s).{0,50}[0-9@].{0,80}"), F.lit(0)), 1, 8), "\n")
-    some = sampled(docs.select("doc_id", "text"), 4 * TRAIN_DOCS).filter(F.col("text").rlike("[0-9@]"))
-    sample = some.select("doc_id", near.alias("near")).orderBy(F.xxhash64("doc_id"), "doc_id", "near").limit(TRAIN_DOCS)
-    texts = [r["near"] for r in sample.collect()]
+    """Fit on made spans in text of a bounded sample of documents."""
+    some = sampled(docs.select("doc_id", "text"), 2 * TRAIN_DOCS).filter(F.length("text") > 0)
+    rows = some.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_DOCS).collect()
     tagger = Tagger()
-    x, y = examples(texts)
-    if len(x):
-        tagger.train(x, y)
+    tagger.train(*examples([r["text"] for r in rows]))
     return tagger
 
 
-def all_spans(text: str | None, tagger: Tagger) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: base ones stay, the model's are added where they touch none."""
-    base = base_spans(text) if text and re.search(r"[0-9@]", text) else []
-    added = [s for s in tagger.spans(text or "") if s[1] - s[0] >= LEAST[KINDS[s[2]]]]
-    added = [s for s in added if all(s[1] <= b[0] or s[0] >= b[1] for b in base)]
-    return base, sorted(base + added)
+_AT_SIGN, _DOT_SIGN = r"(?:\s?@\s?|[\s\[({]+at[\s\])}]+)", r"(?:\.|\s\.\s|[\[(]\.[\])]|[\s\[({]+dot[\s\])}]+)"
+#: What a span of each kind looks like, in any spelling; such places in a proposed stretch are spans.
+_FORMS = (
+    re.compile(rf"[A-Za-z0-9._%+-]+{_AT_SIGN}[A-Za-z0-9-]+(?:{_DOT_SIGN}[A-Za-z0-9-]+)*{_DOT_SIGN}[A-Za-z]{{2,}}", re.I),
+    re.compile(r"[0-9]+(?:(?:\W{1,5}|\W{1,2}dot\W{1,2})[0-9]+){3}", re.I),
+    re.compile(r"[0-9](?:[\s./-]{0,3}[0-9])+"),
+    re.compile(r"(?:\+ ?)?\(?[0-9][0-9\s()./-]+[0-9]"),
+)
+
+
+def _held(text: str, kind: int) -> Iterator[tuple[int, int]]:
+    """The places of data of the kind in a proposed stretch."""
+    for m in _FORMS[kind].finditer(text):
+        digits = re.sub("[^0-9]", "", m[0])
+        if (
+            kind == 0
+            or (kind == 1 and all(map(_is_byte, re.findall("[0-9]+", m[0]))))
+            or (kind == 2 and 12 <= len(digits) <= 19 and luhn(digits))
+            or (kind == 3 and 9 <= len(digits) <= 15)
+        ):
+            yield m.span()
+
+
+def all_spans(texts: list[str | None], tagger: Tagger) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """Per text base spans, and all spans: base ones stay, the model's are added where they touch none."""
+    texts = [t or "" for t in texts]
+    for text, proposed in zip(texts, tagger.spans(texts)):
+        base = base_spans(text) if re.search(r"[0-9@]", text) else []
+        added = []
+        for start, end, kind in proposed:
+            while 0 < start and text[start - 1] in _LOCAL_CHARS and (kind == 0 or text[start - 1].isdigit()):
+                start -= 1
+            while end < len(text) and text[end - 1].isalnum() and text[end].isalnum() and text[end].isascii():
+                end += 1
+            for a, b in _held(text[start:end], kind):
+                if all(start + b <= x or start + a >= y for x, y, _ in base) and (not added or start + a >= added[-1][1]):
+                    added.append((start + a, start + b, kind))
+        yield base, sorted(base + added)
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -309,17 +463,16 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Per document: base counts, digest of the base spans, and all spans."""
+    """Per document: base counts, digest of the base spans, all spans and their number."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
 
-    @F.pandas_udf("struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:string,spans:string>")
+    @F.pandas_udf("struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:string,spans:string,n_spans:long>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text in batch:
-                base, every = all_spans(text, shared.value)
+            for base, every in all_spans(batch.tolist(), shared.value):
                 counts = [sum(k == kind for *_, kind in base) for k in range(len(KINDS))]
-                rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(every)))
-            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(every), len(every)))
+            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
-    return docs.select("doc_id", found("text").alias("p")).select("doc_id", "p.*")
+    return docs.select("doc_id", found.asNondeterministic()("text").alias("p")).select("doc_id", "p.*")

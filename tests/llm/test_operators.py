@@ -216,6 +216,7 @@ def test_personal_data(spark, odd, none):
     for _ in range(4000):
         text = "".join(rng.choices("ab@.-+ ()0123456789", k=rng.randrange(40)))
         assert pii.base_spans(text) == naive(text)
+    assert pii.base_spans(f"1.2.{'0' * 5000}7.4 9.9.9.{'1' * 5000}") == [(0, 5007, 1)]
     tagger = pii.Tagger()
     for k in tagger.p:
         tagger.p[k] = tagger.p[k].astype(np.float64)
@@ -379,22 +380,60 @@ def test_huffman_ids_are_those_of_the_file(spark):
     assert sorted((r["doc_id"], r["ids_crc32"]) for r in got) == [(k, zlib.crc32(np.array(ids, "<u4").tobytes())) for k, ids in enumerate(want[:4])]
 
 
-def test_long_stretches_are_decoded_as_one(monkeypatch):
-    rng, tagger = random.Random(8), pii.Tagger()
-    lines = [f"row {k} {rng.randrange(10**9)} from 10 . {k % 250} . 7 . {k % 99} or 00{rng.randrange(10**9)} (555)  {rng.randrange(1000)}" for k in range(700)]
-    text = "\n".join(lines)
-    assert len(text) > 40_000
-    decoded = []
-    whole = lambda emit, low, size: decoded.append((low, emit.copy())) or []
-    monkeypatch.setattr(tagger, "_decoded", whole)
-    tagger.spans(text)
-    monkeypatch.setattr(pii, "DECODE_WINDOWS", 1 << 30)
-    tagger.spans(text)
-    assert len(decoded) == 2 and decoded[0][0] == decoded[1][0] and np.allclose(decoded[0][1], decoded[1][1], atol=1e-4)
-    monkeypatch.undo()
-    pii_spans = tagger.spans(text)
-    monkeypatch.setattr(pii, "DECODE_WINDOWS", 1 << 30)
-    assert pii_spans == tagger.spans(text)
+@pytest.fixture(scope="module")
+def tagger(real):
+    return pii.train(real)
+
+
+def test_tags_are_those_of_one_pass_over_the_whole_text(tagger, monkeypatch):
+    rng = random.Random(8)
+    texts = ["", "a", "no data here " * 50, "7 " * 400]
+    texts += ["\n".join(f"row {k} {rng.randrange(10**9)} from 10 . {k % 250} . 7 . {k % 99} or 00{rng.randrange(10**9)} (555)  {rng.randrange(1000)} {pii.made_span(rng, k % 4)}" for k in range(n)) for n in (3, 40, 1500)]
+    assert len(texts[-1]) > 100_000
+
+    def one_pass(text):
+        (_, emit, real), *more = tagger._blocks([text])
+        assert not more
+        emit[~real, 1:] -= 1000
+        trans, score, back = tagger.p["trans"], None, []
+        for e in emit:
+            ways = score[:, None] + trans if score is not None else np.full((5, 5), -1e9) + np.eye(1, 5) * 1e9
+            back.append(ways.argmax(0))
+            score = ways.max(0) + e
+        tags = [int(score.argmax())]
+        for b in back[:0:-1]:
+            tags.append(int(b[tags[-1]]))
+        tags = np.array(tags[::-1])[pii.STEP :]
+        cut = np.flatnonzero(np.diff(np.concatenate(([0], tags, [0]))))
+        return [(int(a), int(b), int(tags[a]) - 1) for a, b in zip(cut[:-1], cut[1:]) if tags[a]]
+
+    monkeypatch.setattr(pii, "BLOCK", 1 << 20)
+    want = [one_pass(t) if t else [] for t in texts]
+    assert tagger.spans(texts) == want and [tagger.spans([t])[0] for t in texts] == want
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    assert tagger.spans(texts[:-1]) == want[:-1]
+    for base, every in pii.all_spans(texts, tagger):
+        added = [s for s in every if s not in base]
+        assert len(set(every)) == len(every) and all(a[1] <= b[0] for a, b in zip(added, added[1:]))
+
+
+def test_added_spans_on_held_out_spellings(real, tagger):
+    texts = [r["text"] for r in real.collect() if r["text"]]
+    rng, found, made, wrong = random.Random(99), Counter(), Counter(), 0
+    for n in range(1200):
+        kind, prose = n % 4, re.sub(r"\S*[0-9@]\S*", "", rng.choice(texts)[:400])
+        span, at = pii.made_span(rng, kind), prose.rfind(" ", 0, rng.randrange(1, 400)) + 1
+        base, every = next(pii.all_spans([f"{prose[:at]}{span} {prose[at:]}"], tagger))
+        if (at, at + len(span), kind) not in base:
+            made[kind] += 1
+            found[kind] += (at, at + len(span), kind) in every
+            wrong += sum(s[1] <= at or s[0] >= at + len(span) for s in every)
+    assert all(made[k] > 60 and found[k] >= 0.85 * made[k] for k in range(4)) and wrong <= 0.01 * sum(made.values())
+    text = "write to user at mail dot com or user @ mail.example.com, call +1 (826) 555-4081 190.137.223.2 or 4111  1111  1111  1111 now"
+    base, every = next(pii.all_spans([text], tagger))
+    assert [text[a:b] for a, b, _ in every if (a, b, _) not in base] == ["user at mail dot com", "user @ mail.example.com", "+1 (826) 555-4081", "4111  1111  1111  1111"]
+    plain = [re.sub(r"\S*[0-9@]\S*", "", t) for t in texts]
+    assert not any(every for _, every in pii.all_spans(plain, tagger))
 
 
 def test_outliers_of_small_groups_are_found(spark):
