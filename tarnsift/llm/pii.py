@@ -323,8 +323,17 @@ _TLD, _NAMES = ("com", "org", "net", "de", "fr", "es", "co", "io", "info"), "abc
 _AT, _DOT = ("@",) * 6 + (" at ", " AT ", " [at] ", "[at]", "(at)", " (at) ", " @ ", "{at}"), (".",) * 5 + (" dot ", " DOT ", " [dot] ", "[dot]", "(dot)", " . ", "[.]")
 
 
+_COMMON = "user mail info contact admin sales support office john anna maria peter team news home site web shop post service".split()
+
+
 def _word(rng: random.Random, low: int = 2, high: int = 9) -> str:
-    return "".join(rng.choices(_NAMES, k=rng.randint(low, high)))
+    """A name: any letters, syllables, or a common one."""
+    size, pick = rng.randint(low, high), rng.random()
+    if pick < 0.3:
+        return "".join(rng.choices(_NAMES, k=size))
+    if pick < 0.8:
+        return "".join(rng.choice("bcdfghjklmnprstvz") + rng.choice("aeiou") + rng.choice(("", "", "n", "r", "s")) for _ in range((size + 1) // 2))
+    return rng.choice(_COMMON)
 
 
 def _digits(rng: random.Random, n: int) -> str:
@@ -428,17 +437,25 @@ _FORMS = (
 )
 
 
+def _fits(text: str, kind: int) -> bool:
+    digits = re.sub("[^0-9]", "", text)
+    if kind == 1:
+        parts = re.findall("[0-9]+", text)
+        return len(parts) == 4 and all(map(_is_byte, parts))
+    if kind == 2:
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return kind == 0 or 9 <= len(digits) <= 15
+
+
 def _held(text: str, kind: int) -> Iterator[tuple[int, int]]:
-    """The places of data of the kind in a proposed stretch."""
-    for m in _FORMS[kind].finditer(text):
-        digits = re.sub("[^0-9]", "", m[0])
-        if (
-            kind == 0
-            or (kind == 1 and all(map(_is_byte, re.findall("[0-9]+", m[0]))))
-            or (kind == 2 and 12 <= len(digits) <= 19 and luhn(digits))
-            or (kind == 3 and 9 <= len(digits) <= 15)
-        ):
-            yield m.span()
+    """The places of data of the kind in a proposed stretch; numbers that run together are parted at blanks."""
+    at = 0
+    while m := _FORMS[kind].search(text, at):
+        ends = [m.end(), *(k for k in range(m.end() - 1, m.start(), -1) if text[k].isspace())]
+        end = next((e for e in ends if _fits(text[m.start() : e], kind)), None)
+        if end is not None:
+            yield m.start(), end
+        at = end or next((k for k in range(m.start() + 1, m.end()) if text[k].isspace()), m.end())
 
 
 def all_spans(texts: list[str | None], tagger: Tagger) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
@@ -452,9 +469,10 @@ def all_spans(texts: list[str | None], tagger: Tagger) -> Iterator[tuple[list[tu
                 start -= 1
             while end < len(text) and text[end - 1].isalnum() and text[end].isalnum() and text[end].isascii():
                 end += 1
-            for a, b in _held(text[start:end], kind):
-                if all(start + b <= x or start + a >= y for x, y, _ in base) and (not added or start + a >= added[-1][1]):
-                    added.append((start + a, start + b, kind))
+            for k in sorted(range(len(KINDS)), key=lambda k: k != kind):  # the proposed kind first
+                for a, b in _held(text[start:end], k):
+                    if all(start + b <= x or start + a >= y for x, y, _ in base + added):
+                        added.append((start + a, start + b, k))
         yield base, sorted(base + added)
 
 
