@@ -64,7 +64,7 @@ QUERIES, ORACLE_SQL = pairs({
     # predicates and validators
     "F2_kind_and_exclusions": "SELECT doc_id, source FROM documents WHERE lang IN ('en', 'de') AND source NOT IN ('src0', 'src3')",
     "F7_section_filter": "SELECT DISTINCT source AS section FROM documents WHERE contains(lower(source), 'src1')",
-    "F8_slug_or_label": "SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'an') OR contains(replace(lower(n_name), ' ', '-'), 'ia-')",
+    "F8_slug_or_label": "SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), '1') OR contains(replace(lower(n_name), ' ', '-'), 'n-2')",
     "F11_day_period": _both(
         """WITH dated AS (SELECT event_id, CASE WHEN value < 3 THEN 'yesterday' ELSE {day} END AS said FROM events),
                parsed AS (SELECT event_id, {parse} AS day FROM dated)
