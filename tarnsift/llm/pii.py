@@ -38,7 +38,7 @@ TAGS = len(KINDS) + 1
 #: Training: documents sampled and characters of each, windows and their length, steps, batch.
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_WINDOWS, TRAIN_LENGTH, STEPS, BATCH = 1000, 1200, 9000, 80, 900, 48
 #: Model: hidden units, embedding. Decoding: window, step, windows given to the network at once.
-HIDDEN, EMBED, WINDOW, STEP, BLOCK = 12, 10, 192, 160, 1024
+HIDDEN, EMBED, WINDOW, STEP, BLOCK = 12, 10, 256, 224, 1024
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -133,32 +133,34 @@ class Tagger:
         return out
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """x: time x batch classes -> time x batch x tags. Both directions run side by side."""
-        p, (steps, size) = self.p, x.shape
-        half = np.concatenate((np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN))).astype(np.float32)  # sigmoids by tanh
-        given = np.stack([(p["embed"] @ p[f"{d}_x"] + p[f"{d}_c"]) * half for d in "fb"])
-        again = np.stack([p[f"{d}_h"] * half for d in "fb"])
-        ways = np.stack((p["out"][:HIDDEN], p["out"][HIDDEN:]))
-        h, c = np.zeros((2, size, HIDDEN), np.float32), np.zeros((2, size, HIDDEN), np.float32)
-        z, wide = np.empty((2, size, 4 * HIDDEN), np.float32), np.empty((2, size, 4 * HIDDEN), np.float32)
-        out = np.zeros((steps, size, TAGS), np.float32) + p["bias"]
+        """x: time x batch classes -> time x batch x tags. Both directions run side by side, units by batch, so that
+        every operation is over rows of the whole batch. Sigmoids are (1 + tanh of half) / 2; of their halves one
+        goes to the memory, the other to the weights that read the state."""
+        p, (steps, size), x = self.p, x.shape, x.astype(np.intp)
+        half = np.concatenate((np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN))).astype(np.float32)
+        given = [np.ascontiguousarray(((p["embed"] @ p[f"{d}_x"] + p[f"{d}_c"]) * half).T) for d in "fb"]
+        again = np.stack([np.ascontiguousarray((p[f"{d}_h"] * half / 2).T) for d in "fb"])
+        ways = np.stack([np.ascontiguousarray(w.T) / 2 for w in (p["out"][:HIDDEN], p["out"][HIDDEN:])])
+        h, c, put = (np.zeros((2, HIDDEN, size), np.float32) for _ in range(3))
+        z, wide = np.empty((2, 4 * HIDDEN, size), np.float32), np.empty((2, 4 * HIDDEN, size), np.float32)
+        out = np.zeros((steps, TAGS, size), np.float32) + p["bias"][:, None]
         for t in range(steps):
-            np.matmul(h, again, out=z)
-            np.take(given[0], x[t], axis=0, out=wide[0], mode="clip")
-            np.take(given[1], x[steps - 1 - t], axis=0, out=wide[1], mode="clip")
+            np.matmul(again, h, out=z)
+            np.take(given[0], x[t], axis=1, out=wide[0], mode="clip")
+            np.take(given[1], x[steps - 1 - t], axis=1, out=wide[1], mode="clip")
             z += wide
             np.tanh(z, out=z)
-            gate = z[:, :, : 3 * HIDDEN]
-            gate *= 0.5
-            gate += 0.5
-            c *= z[:, :, HIDDEN : 2 * HIDDEN]
-            c += z[:, :, :HIDDEN] * z[:, :, 3 * HIDDEN :]
+            z[:, : 3 * HIDDEN] += 1
+            np.multiply(z[:, :HIDDEN], z[:, 3 * HIDDEN :], out=put)
+            c *= z[:, HIDDEN : 2 * HIDDEN]
+            c += put
+            c *= 0.5
             np.tanh(c, out=h)
-            h *= z[:, :, 2 * HIDDEN : 3 * HIDDEN]
-            said = np.matmul(h, ways)
+            h *= z[:, 2 * HIDDEN : 3 * HIDDEN]
+            said = np.matmul(ways, h)
             out[t] += said[0]
             out[steps - 1 - t] += said[1]
-        return out
+        return out.transpose(0, 2, 1)
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the tag sequences, and its gradient."""
