@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnsift.operators.state import TRANSITIONS, rate_limited, state_machine
+from tarnsift.operators.state import candidate_queue, queued, rate_limited, state_machine
 from tarnsift.session import table
 from tarnsift.streaming.windows import sessions, tumbling_counts
 
@@ -16,10 +16,53 @@ def z3_rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_limited(rows, 2)
 
 
+#: A run through a task that meets every transition; events take their turns from it.
+_SCRIPT = ("start", "plan approved", "step done", "pause", "step done", "resume", "step done", "back to step", "step done", "step done", "check passed", "back to plan",
+           "plan approved", "step done", "step done", "step done", "check passed", "check passed", "reopen", "check passed", "cancel", "check passed")
+
+
+def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users stand for tasks. Some events come from the wrong side, some are guarded."""
+    events = table(spark, sf_dir, "events")
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = events.withColumn("n", n).withColumn("event", F.get(F.array(*[F.lit(e) for e in _SCRIPT]), F.col("n") % len(_SCRIPT)))
+    human = F.col("event").isin("start", "cancel", "reopen")
+    data = F.when(F.col("event") == "plan approved", F.array(F.lit("3"), F.lit("2"))).when(F.col("event") == "back to step", F.array((F.col("n") % 3 + 1).cast("string"))).otherwise(F.array("event_type"))
+    return rows.select(
+        F.col("user_id").alias("task"), F.col("event_id").alias("seq"), "event", F.when(human != (F.col("value") < 1), "human").otherwise("tracker").alias("source"), data.alias("data"),
+        F.when(F.col("value") > 80, "forbid").when(F.col("value") > 60, "confirm").otherwise("").alias("guard"), (F.col("event_id") % 2 == 0).alias("confirmed"),
+    )
+
+
 def z6_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*[F.lit(e) for e in TRANSITIONS])
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("task"), F.col("event_id").alias("seq"), F.get(names, (F.col("event_id") % len(TRANSITIONS)).cast("int")).alias("event"))
-    return state_machine(rows)
+    return state_machine(task_events(spark, sf_dir))
+
+
+def z4_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users stand for servers, an hour for a second; a request works as long as its value says."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("server"), F.col("event_id").alias("request_id"), (F.col("ts").cast("timestamp").cast("double") / 3600).alias("arrived"), F.col("value").alias("work"))
+    return queued(rows)
+
+
+def z5_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first check that fails decides: key, size, shape, rate, then the queue before the model."""
+    events = table(spark, sf_dir, "events")
+    early = F.when(F.col("user_id") % 7 == 0, 401).when(F.length("props") > 40, 413).when(F.get_json_object("props", "$.k").isNull(), 400)
+    rows = events.select("event_id", "user_id", "value", (F.col("ts").cast("timestamp").cast("double") / 3600).alias("seconds"), early.alias("early"))
+    passed = rows.filter(F.col("early").isNull())
+    limited = rate_limited(passed.select(F.col("user_id").alias("client"), "seconds", F.col("event_id").alias("request_id")), 10).select(F.col("request_id").alias("event_id"), "admitted", "retry_after")
+    let_in = passed.join(limited.filter("admitted"), "event_id")
+    fates = queued(let_in.select(F.col("user_id").alias("server"), F.col("event_id").alias("request_id"), F.col("seconds").alias("arrived"), F.col("value").alias("work")))
+    out = rows.join(limited, "event_id", "left").join(fates.select(F.col("request_id").alias("event_id"), "fate"), "event_id", "left")
+    status = F.coalesce("early", F.when(~F.col("admitted"), 429), F.when(F.col("fate") != "served", 503), F.lit(200))
+    return out.select("event_id", status.alias("status"), F.when(status == 429, F.col("retry_after")).alias("retry_after"))
+
+
+def u8_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moves = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("key"), (F.col("value") % 3).cast("int").cast("string").alias("value"),
+        F.when(F.col("event_id") % 3 == 0, "accept").when(F.col("event_id") % 7 == 0, "reject").otherwise("propose").alias("action"))
+    return candidate_queue(moves)
 
 
 def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +73,7 @@ def window_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(table(spark, sf_dir, "events"))
 
 
-QUERIES = {"Z3_rate_limiter": z3_rate_limiter, "Z6_state_machine": z6_state_machine, "X1_tumbling_windows": window_counts, "X2_sessions": window_sessions}
+QUERIES = {"Z3_rate_limiter": z3_rate_limiter, "Z6_state_machine": z6_state_machine, "Z4_queue": z4_queue, "Z5_admission_pipeline": z5_admission, "U8_candidates": u8_candidates, "X1_tumbling_windows": window_counts, "X2_sessions": window_sessions}
 ORACLE_SQL = {
     "X1_tumbling_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "X2_sessions": """
