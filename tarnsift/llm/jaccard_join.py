@@ -7,16 +7,20 @@ Exact prefix-filter join with set-relation skipping.
    common (any one order for all sets keeps the join exact). The index holds each set's prefix.
 3. Index lists are skipped by position: a pair of entries counts only if both sets still have enough elements
    from there on; in long lists whole blocks of one size and position range are compared before any entry is.
-4. Long lists first compare every set with one leader. Then answers are derived: sets in one component need
-   no further comparison, and for two sets with a common leader the differences from the leader bound their
-   own (Jaccard distance is a metric). What is left is compared pair by pair.
+4. Long lists first compare every set with a leader of about its size. Then answers are derived: sets in one
+   component need no further comparison, and bounds of the distances to a common leader decide whole blocks (Jaccard
+   distance is a metric). For what is left, a set's answers come from its leader's by difference: x and y differ in
+   (x - L) xor (y - L), so they link only if what sets them apart from L overlaps enough. Those differences are sets
+   themselves, small near the leader and rare where they are each set's own; a prefix join over them, rarest in the
+   group first, finds the pairs to verify.
 5. Before whole sets are carried together, a profile (counts of a set's elements by hash range, a byte per two
    to four elements) bounds every pair's intersection from above; pairs that the bound decides need no sets.
 6. Links make components by minimum labels with pointer jumping, on written tables.
 
 Defined cases: null or blank texts have an empty set and a component of their own; with under five words the
 whole sequence is the one element; rows without doc_id take no part and get a null component; rows repeated
-get the same answer each; columns besides doc_id and text are ignored.
+get the same answer each; rows of one doc_id with different texts report their own size, and link by the greatest of
+these texts; an empty table gives an empty result; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -165,8 +169,9 @@ def _size_class(n: np.ndarray) -> np.ndarray:
 def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Entries sorted by token and id become pairs (a, b) from short lists; entries of long lists come back
     as (a, b: leader, token, n, pos). The leader is the least id of the list and size class, so that the lists
-    of one group of similar sets choose the same one; the class leaders themselves follow the list's first.
-    Memory is bounded by LONG_LIST entries, a leader per size class and a batch."""
+    of one group of similar sets choose the same one. Sizes are classed twice, half a class apart, so that sets of
+    linkable sizes share a class, and with it a leader, at least once. Memory is bounded by LONG_LIST entries, a
+    leader per size class and a batch."""
     names = ["token", "id", "n", "pos"]
     held, long_token, leaders = None, None, {}  # entries of the unfinished list; the long list's leaders
 
@@ -191,16 +196,17 @@ def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nonlocal long_token, leaders
         if long_token != token[0]:
             long_token, leaders = token[0], {}
-        group = _size_class(n)
-        classes, first = np.unique(group, return_index=True)
-        for c, at in sorted(zip(classes.tolist(), first.tolist()), key=lambda x: x[1]):
-            if c not in leaders:
-                top = next(iter(leaders.values()), ids[at])
-                leaders[c] = ids[at]
-                if top != ids[at]:
-                    yield pd.DataFrame({"a": [ids[at]], "b": [top], "token": None, "n": None, "pos": None})
-        led = np.array([leaders[c] for c in classes.tolist()])[np.searchsorted(classes, group)]
-        yield pd.DataFrame({"a": ids, "b": led, "token": token, "n": n, "pos": pos})
+        led = []
+        for half in (0, 1):
+            group = 2 * ((_size_class(n) + half) // 2) + half
+            classes, first = np.unique(group, return_index=True)
+            for c, at in zip(classes.tolist(), first.tolist()):
+                leaders.setdefault(c, ids[at])
+            led.append(np.array([leaders[c] for c in classes.tolist()])[np.searchsorted(classes, group)])
+        yield pd.DataFrame({"a": ids, "b": led[0], "token": token, "n": n, "pos": pos})
+        other = led[1] != led[0]
+        if other.any():
+            yield pd.DataFrame({"a": ids[other], "b": led[1][other], "token": token[other], "n": n[other], "pos": pos[other]})
 
     def lists(token, ids, n, pos, final):
         """Finished lists are answered; the last one may go on and is held."""
@@ -256,18 +262,23 @@ def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFr
     return materialize(shut.union(exact), "jaccard-verified")
 
 
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, s): the sets of the wanted documents, sorted, as bytes."""
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, sets in _blocks(batches):
+            yield pd.DataFrame({"doc_id": ids, "s": [x.tobytes() for x in sets]})
+
+    return docs.join(wanted, "doc_id", "left_semi").mapInPandas(packed, "doc_id long, s binary").dropDuplicates(["doc_id"])
+
+
 def _intersected(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, both, na, nb) of pairs: sets are carried from the b side, which repeats, to the a side."""
     side = lambda c, is_b: pairs.select(F.col(c).alias("doc_id"), F.lit(not is_b).alias("as_a"), F.lit(is_b).alias("as_b"))
     ids = side("a", False).union(side("b", True)).groupBy("doc_id").agg(F.max("as_a").alias("as_a"), F.max("as_b").alias("as_b"))
     wanted = small_side(materialize(ids, "jaccard-ids"))
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, sets in _blocks(batches):
-            yield pd.DataFrame({"doc_id": ids, "s": [x.tobytes() for x in sets]})
-
-    named = docs.join(wanted, "doc_id", "left_semi").mapInPandas(packed, "doc_id long, s binary")
-    sets = materialize(named.join(wanted, "doc_id"), "jaccard-sets")
+    sets = materialize(_sets(docs, wanted).join(wanted, "doc_id"), "jaccard-sets")
 
     @F.pandas_udf("long")
     def common(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -305,40 +316,78 @@ def components(links: DataFrame) -> DataFrame:
         labels = now.select("id", "label")
 
 
-def _left_over(hot: DataFrame, verified: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of long lists that neither components nor a common leader decide."""
+def _left_over(docs: DataFrame, hot: DataFrame, verified: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of long lists that neither components nor distances to a common leader decide."""
     known = verified.select("a", "b", "d0", "d1")
     known = known.union(known.select("b", "a", "d0", "d1")).distinct()
     rows = hot.select(F.col("a").alias("id"), F.col("b").alias("leader"), "token", "n", "pos")
     rows = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    split = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter(F.col("l") < F.col("m")).select("token")
-    rows = rows.join(split, "token").join(known.select(F.col("a").alias("id"), F.col("b").alias("leader"), "d0", "d1"), ["id", "leader"], "left")
+    split = rows.groupBy("token", "leader").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter(F.col("l") < F.col("m")).select("token", "leader")
+    rows = rows.join(split, ["token", "leader"]).join(known.select(F.col("a").alias("id"), F.col("b").alias("leader"), "d0", "d1"), ["id", "leader"], "left")
     rows = rows.withColumns({d: F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.coalesce(d, F.lit(unknown))) for d, unknown in (("d0", 0.0), ("d1", 1.0))})
-    rows = rows.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("int"))
-    rows = materialize(rows, "jaccard-open")
-    blocks = rows.groupBy("token", "leader", "n", "block").agg(F.min("pos").alias("pos"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("d0").alias("d0"), F.max("d1").alias("d1"))
-    x, y = (blocks.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("leader", "n", "block", "pos", "l0", "l1", "d0", "d1")]) for k in "xy")
+    rows = materialize(rows.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("int")), "jaccard-open")
+    in_block = ["token", "leader", "n", "block"]
+    blocks = rows.groupBy(in_block).agg(F.min("pos").alias("pos"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("d0").alias("d0"), F.max("d1").alias("d1"))
+    x, y = (blocks.select("token", "leader", *[F.col(c).alias(f"{c}{k}") for c in ("n", "block", "pos", "l0", "l1", "d0", "d1")]) for k in "xy")
     need = F.floor((PART * (F.col("nx") + F.col("ny")) + PART + WHOLE - 1) / (PART + WHOLE))
     far = 1 - PART / WHOLE + 1e-9
-    led = F.col("leaderx") == F.col("leadery")
-    apart = led & ((F.col("d0x") - F.col("d1y") > far) | (F.col("d0y") - F.col("d1x") > far))
+    apart = (F.col("d0x") - F.col("d1y") > far) | (F.col("d0y") - F.col("d1x") > far)
     one = (F.col("l0x") == F.col("l1x")) & (F.col("l0x") == F.col("l0y")) & (F.col("l0y") == F.col("l1y"))
     fits = (F.col("nx") <= F.col("ny")) & (PART * F.col("ny") <= WHOLE * F.col("nx"))
-    met = x.join(y, "token").filter(fits & (F.col("nx") - F.col("posx") >= need) & (F.col("ny") - F.col("posy") >= need) & ~apart & ~one)
-    met = met.select("token", "leaderx", "nx", "blockx", "leadery", "ny", "blocky")
-    x, y = (rows.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("leader", "n", "block", "id", "label", "d0", "d1", "pos")]) for k in "xy")
-    pairs = met.join(x, ["token", "leaderx", "nx", "blockx"]).join(y, ["token", "leadery", "ny", "blocky"])
-    pairs = pairs.filter((F.col("labelx") != F.col("labely")) & (F.col("nx") - F.col("posx") >= need) & (F.col("ny") - F.col("posy") >= need) & ~apart)
-    pairs = pairs.select(F.greatest("idx", "idy").alias("a"), F.least("idx", "idy").alias("b")).distinct()
+    met = x.join(y, ["token", "leader"]).filter(fits & (F.col("nx") - F.col("posx") >= need) & (F.col("ny") - F.col("posy") >= need) & ~apart & ~one)
+    sides = [F.struct("token", "leader", F.col(f"n{k}").alias("n"), F.col(f"block{k}").alias("block")) for k in "xy"]
+    met = met.select(F.explode(F.array(*sides)).alias("s")).select("s.*").distinct()
+    members = materialize(rows.join(met, in_block).select("leader", "id", "n", "label").distinct(), "jaccard-members")
+    pairs = _by_difference(docs, members)
     return materialize(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-left")
 
 
+def _by_difference(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (leader, id, n, label) with one leader and two labels that may link.
+
+    With D the difference of a set from its leader and d its size, two sets differ in d1 + d2 - 2 |D1 and D2| elements, and
+    link if that is at most a ninth of n1 + n2. Pairs near enough to link without any overlap both link to the leader,
+    so they have one label already. No partner lets a set do with an overlap under d - n / 4, which bounds the prefix."""
+
+    def differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own, led = ([np.frombuffer(x, np.uint64) for x in batch[c]] for c in ("s", "ls"))
+            found = [np.setxor1d(a, b, assume_unique=True) for a, b in zip(own, led)]
+            yield pd.DataFrame({"leader": batch["leader"], "id": batch["id"], "n": batch["n"], "label": batch["label"], "d": [len(x) for x in found], "own": [x.view(np.int64) for x in found]})
+
+    ids = members.select(F.col("id").alias("doc_id")).union(members.select("leader")).distinct()
+    sets = _sets(docs, small_side(materialize(ids, "jaccard-ids")))
+    both = members.join(sets.select(F.col("doc_id").alias("leader"), F.col("s").alias("ls")), "leader").join(sets.select(F.col("doc_id").alias("id"), "s"), "id")
+    apart = materialize(both.mapInPandas(differences, "leader long, id long, n long, label long, d long, own array<long>"), "jaccard-differences")
+    # an element of the leader that is missing and one that is extra never meet: they are in the leader or not
+    often = apart.select("leader", F.explode("own").alias("e")).groupBy("leader", "e").agg(F.count("*").alias("k"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") / 4))
+    placed = apart.select("leader", "id", "n", "label", "d", F.explode("own").alias("e")).join(often.filter(F.col("k") > 1), ["leader", "e"])
+    # elements of one set only come first in every order and meet nobody: they count as places, not as entries
+    shared = placed.groupBy("leader", "id", "n", "label", "d").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("shared"))
+    entries = shared.select("leader", "id", "n", "label", "d", (F.col("d") - F.size("shared")).alias("alone"), least.alias("least"), F.posexplode("shared").alias("at", "x"))
+    entries = entries.withColumn("pos", F.col("alone") + F.col("at")).filter(F.col("pos") <= F.col("d") - F.col("least"))
+    entries = materialize(entries.select("leader", "id", "n", "label", "d", "pos", F.col("x.e").alias("e")), "jaccard-index")
+    x, y = (entries.select("leader", "e", *[F.col(c).alias(f"{c}{k}") for c in ("id", "n", "label", "d", "pos")]) for k in "xy")
+    least = F.ceil((9 * (F.col("dx") + F.col("dy")) - F.col("nx") - F.col("ny")) / 18)
+    fits = (PART * F.col("ny") <= WHOLE * F.col("nx")) & (PART * F.col("nx") <= WHOLE * F.col("ny"))
+    met = x.join(y, ["leader", "e"]).filter((F.col("idx") > F.col("idy")) & (F.col("labelx") != F.col("labely")) & fits & (F.least(F.col("dx") - F.col("posx"), F.col("dy") - F.col("posy")) >= least))
+    return met.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id."""
     texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     described = materialize(texts.mapInPandas(_described, "doc_id long, n long, s1 long, s2 long, profile binary, sketch binary"), "jaccard-described")
     sets = described.filter(F.col("n") >= 0).drop("sketch", "profile")
     by = ["n", "s1", "s2"]
+    nowhere = docs.filter(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    many = sets.groupBy("doc_id").agg(F.count("*").alias("k"), F.min(F.struct(*by)).alias("low"), F.max(F.struct(*by)).alias("high")).filter("k > 1 AND low <> high").select("doc_id")
+    many = materialize(many, "jaccard-many")
+    if not many.isEmpty():
+        several = texts.join(small_side(many), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+        linked = classes(texts.join(small_side(many), "doc_id", "left_anti").union(several)).select("doc_id", "component_id").distinct()
+        return sets.join(linked, "doc_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(nowhere)
     same = sets.filter(F.col("n") > 0).groupBy(by).agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).filter(F.col("k") > 1).drop("k")
     copies = materialize(sets.join(same, by).select("doc_id", "first").distinct(), "jaccard-copies")
     spare = small_side(copies.filter(F.col("doc_id") != F.col("first")).select("doc_id"))
@@ -351,7 +400,7 @@ def classes(docs: DataFrame) -> DataFrame:
     verified = _verified(single, described, pairs)
     links = verified.filter("linked")
     labels = components(links)
-    rest = _left_over(hot, verified, labels)
+    rest = _left_over(single, hot, verified, labels)
     if not rest.isEmpty():
         links = links.union(_verified(single, described, rest).filter("linked"))
         labels = components(links)
@@ -359,7 +408,6 @@ def classes(docs: DataFrame) -> DataFrame:
     out = sets.join(copies.withColumnRenamed("doc_id", "copy"), F.col("doc_id") == F.col("copy"), "left")
     out = out.withColumn("first", F.coalesce("first", "doc_id")).join(labels, "first", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "first").alias("component_id"))
-    nowhere = docs.filter(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.union(nowhere)
 
 

@@ -84,6 +84,27 @@ def test_jaccard_join_on_real_and_odd_rows(spark, real, odd, none):
     assert len(rows) == len(ODD) and {r["doc_id"]: r["component_id"] for r in rows} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, None: None}
     assert jaccard_join.classes(none).collect() == []
     assert jaccard_join.keep_one(odd).columns == odd.columns
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    several = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b + " more"), (9, b)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.classes(several).collect())) == [(1, 56, 1), (5, 56, 5), (5, 56, 5), (7, 57, 5), (9, 56, 5)]
+
+
+def test_answers_by_difference_from_a_leader(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"base{k}" for k in range(150)]
+    texts = {}
+    for k in range(120):  # copies with edits of their own: about as far from one another as a link allows, or farther
+        words = list(base)
+        for at in rng.sample(range(0, 150, 5), rng.choice((0, 1, 3, 3, 4, 4))):
+            words[at] = f"own{k}word{at}"
+        texts[k] = " ".join(words[: rng.choice((150, 150, 140, 120))])
+    texts[0] = " ".join(f"own0word{k}" if k % 30 == 3 else w for k, w in enumerate(base))  # no copy at all is the first leader
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = []
+    plain = jaccard_join._by_difference
+    monkeypatch.setattr(jaccard_join, "_by_difference", lambda docs, members: found.append((members.count(), plain(docs, members).count())) or plain(docs, members))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(frame).collect()}
+    assert got == brute_classes(texts) and found
 
 
 def test_byte_bpe_equals_the_library(spark, odd, none, monkeypatch):
