@@ -1,15 +1,17 @@
-"""Exact cosine retrieval of unit vectors."""
+"""Exact cosine retrieval of unit vectors, block against block."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product in double precision; null when the lengths differ."""
-    terms = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.when(F.size(a) == F.size(b), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
+#: Vectors of one block of queries and of chunks; blocks of queries up to which they are broadcast.
+QUERY_BLOCK, CHUNK_BLOCK, BROADCAST_BLOCKS = 1024, 4096, 8
+_RESULT = "query_id long, chunk_id long, score double, query_label int, chunk_label int"
 
 
 def ranked(rows: DataFrame, by: list[str], score: str, tie: str) -> DataFrame:
@@ -18,12 +20,52 @@ def ranked(rows: DataFrame, by: list[str], score: str, tie: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(window).cast("long"))
 
 
-def top_cosine(queries: DataFrame, chunks: DataFrame, k: int, same: tuple[str, str] | None = None) -> DataFrame:
-    """The k best chunks (chunk_id, vector) of every query (query_id, query_vector).
+def _blocks(rows: DataFrame, id_: str, vector: str, label: str, most: int) -> tuple[DataFrame, int]:
+    """One row per block of about most rows, dealt by a hash of the id: ids, labels and vectors as one array each."""
+    n = rows.count()
+    count = max(1, -(-n // most))
+    block = F.pmod(F.xxhash64(id_), F.lit(count)).alias("block")
+    packed = rows.select(block, F.col(id_).cast("long").alias("id"), F.col(label).cast("int").alias("label"), F.col(vector).alias("v"))
+    return packed.groupBy("block").agg(F.collect_list(F.struct("id", "label", "v")).alias("rows")).drop("block"), count
+
+
+def _matrix(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, labels = np.array([r["id"] for r in rows], np.int64), np.array([r["label"] for r in rows], np.int64)
+    size = max((len(r["v"]) for r in rows if r["v"] is not None), default=0)
+    blank = np.full(size, np.nan)
+    return ids, labels, np.stack([np.asarray(r["v"], np.float64) if r["v"] is not None and len(r["v"]) == size else blank for r in rows])
+
+
+def top_cosine(queries: DataFrame, chunks: DataFrame, k: int, masked: bool = False) -> DataFrame:
+    """The k best chunks (chunk_id, vector, chunk_label) of every query (query_id, query_vector, query_label), with
+    rank; masked: only chunks of the query's label, a mask that goes before any score.
+
+    Blocks of queries meet blocks of chunks; each pair of blocks is one matrix product that leaves the k best of the
+    block for every query, so what is shuffled is queries x k for each block of chunks. Vectors of other lengths than their
+    block's, or null, have no score."""
+    left, count = _blocks(queries, "query_id", "query_vector", "query_label", QUERY_BLOCK)
+    right, _ = _blocks(chunks, "chunk_id", "vector", "chunk_label", CHUNK_BLOCK)
+    left = left.withColumnRenamed("rows", "asked")
+    pairs = right.crossJoin(F.broadcast(left) if count <= BROADCAST_BLOCKS else left)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rows, asked in zip(batch["rows"], batch["asked"]):
+                ids, labels, vectors = _matrix(rows)
+                q_ids, q_labels, q_vectors = _matrix(asked)
+                if vectors.shape[1] != q_vectors.shape[1]:
+                    continue
+                scores = np.round(q_vectors @ vectors.T, 6)
+                scores[np.isnan(scores)] = -np.inf
+                if masked:
+                    scores[q_labels[:, None] != labels[None, :]] = -np.inf
+                order = np.argsort(ids, kind="stable")
+                best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
+                top = np.take_along_axis(scores, best, 1)
+                keep = top > -np.inf
+                line = np.repeat(np.arange(len(q_ids)), keep.sum(1))
+                yield pd.DataFrame({"query_id": q_ids[line], "chunk_id": ids[best[keep]], "score": top[keep], "query_label": q_labels[line], "chunk_label": labels[best[keep]]})
 
-    queries is a bounded set stated by the caller; each chunk is compared with all queries. same: columns of
-    queries and chunks that must be equal, the mask that goes before any score.
-    """
-    on = F.col(same[0]) == F.col(same[1]) if same else F.lit(True)
-    scored = chunks.join(F.broadcast(queries), on).withColumn("score", F.round(dot(F.col("query_vector"), F.col("vector")), 6))
-    return ranked(scored, ["query_id"], "score", "chunk_id").filter(F.col("rank") <= k)
+    # one pair of blocks at a time: a batch holds whole blocks
+    found = pairs.select("rows", "asked").mapInPandas(products, _RESULT)
+    return ranked(found, ["query_id"], "score", "chunk_id").filter(F.col("rank") <= k)
