@@ -50,7 +50,7 @@ class Node:
             elif part.tag not in SILENT:
                 edge = "\n" if part.tag in BLOCK else ""
                 out.append(edge + ("- " if part.tag == "li" else "[image]" if part.tag == "img" else ""))
-                stack.append((None, edge))
+                stack.append((None, "" if part.tag in VOID else edge))
                 stack += [(p, "") for p in reversed(part.parts)]
         lines = [re.sub(r" +", " ", line).strip() for line in "".join(out).split("\n")]
         return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
