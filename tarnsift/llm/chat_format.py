@@ -10,8 +10,10 @@ Inside texts backslash, # and < get a backslash, so neither mark can occur there
 the text. Each block carries the span of its text under the loss mask: the assistant's.
 
 Defined cases: null text or role is empty; turns are ordered by number, then role and text, nulls first; rows
-repeated are turns of their own; a null conv_id is a conversation; unknown layouts raise; extra columns are
-ignored.
+repeated are turns of their own; a null conv_id is a conversation; a table of an unknown layout raises, a JSON record of
+one, or that is no JSON object, is a rejected row; an empty list or a null record has no turns; an empty table gives
+an empty result; texts may be of any length, one turn is one value; a conversation's turns stream through one task in
+order, and only digests are held; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import types as T
 #: fields: (role, path) in order, empty ones left out. names: other spellings of roles.
 LAYOUTS: list[dict] = [
     {"paths": ["conv_id", "turn", "role", "text"], "rows": ["turn", "role", "text"]},
+    {"paths": ["conv_id", "turn", "from", "value"], "rows": ["turn", "from", "value"], "names": {"human": "user", "gpt": "assistant"}},
     {"paths": ["conv_id", "messages.role", "messages.content"], "list": ["messages", "role", "content"]},
     {"paths": ["conv_id", "conversations.from", "conversations.value"], "list": ["conversations", "from", "value"], "names": {"human": "user", "gpt": "assistant"}},
     {"paths": ["conv_id", "prompt", "response"], "fields": [("user", "prompt"), ("assistant", "response")]},
@@ -90,26 +93,57 @@ def canonical_turns(records: DataFrame) -> DataFrame:
     return records.select("conv_id", F.explode(F.filter(F.array(*made), lambda t: t["text"] != "")).alias("t")).select("conv_id", "t.*")
 
 
-def canonical_turns_of_json(records: DataFrame, column: str) -> DataFrame:
-    """The same for a column of JSON objects, each with a layout of its own (conv_id stands beside it)."""
+def turns_of(raw: str | None, beside: tuple[str, ...] = ("conv_id",)) -> tuple[list[tuple[int, str, str]], str | None]:
+    """(turns, problem) of one JSON object by its own layout; beside: paths that stand in columns of their own."""
+    if raw is None or not raw.strip():
+        return [], None
+    try:
+        value = json.loads(raw)
+    except ValueError:
+        return [], "not JSON"
+    if not isinstance(value, dict):
+        return [], "not an object"
+    said = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    lists = {layout["list"][0] for layout in LAYOUTS if "list" in layout}
+    if any(value.get(k) == [] for k in lists):
+        return [], None  # no turns: an empty list has no paths to tell its layout by
+    paths = value_paths(value)
+    layout = MAPPINGS.get(fingerprint([*beside, *paths])) or MAPPINGS.get(fingerprint(["conv_id", *paths]))
+    if layout is None:
+        return [], "unknown layout"
+    names = layout.get("names", {})
+    named = lambda x: names.get(x, said(x)) if isinstance(x, str) else said(x)
+    if "rows" in layout:
+        seq, role, text = layout["rows"]
+        return [(int(value.get(seq) or 0), named(value.get(role)), said(value.get(text)))], None
+    if "list" in layout:
+        top, role, text = layout["list"]
+        return [(k, named(m.get(role)), said(m.get(text))) for k, m in enumerate(value[top])], None
+    there = [(role, said(value[path])) for role, path in layout["fields"] if value.get(path)]
+    return [(k, *turn) for k, turn in enumerate(there)], None
+
+
+def _read_json(records: DataFrame, column: str, beside: tuple[str, ...]) -> DataFrame:
+    @F.pandas_udf("struct<turns:array<struct<seq:long,role:string,text:string>>,problem:string>")
+    def read(batch: pd.Series) -> pd.DataFrame:
+        found = [turns_of(raw, beside) for raw in batch]
+        return pd.DataFrame({"turns": [[{"seq": k, "role": r, "text": t} for k, r, t in turns] for turns, _ in found], "problem": [p for _, p in found]})
+
+    return records.select("*", read.asNondeterministic()(F.col(column)).alias("_read"))
+
 
-    @F.pandas_udf("array<struct<role:string,text:string>>")
-    def turns(batch: pd.Series) -> pd.Series:
-        def of(raw: str | None) -> list:
-            value = json.loads(raw) if raw else {}
-            layout = MAPPINGS.get(fingerprint(["conv_id", *value_paths(value)]))
-            if layout is None or "rows" in layout:
-                raise ValueError(f"no mapping for the layout of {str(raw)[:200]}")
-            names = layout.get("names", {})
-            if "list" in layout:
-                top, role, said = layout["list"]
-                return [{"role": names.get(m.get(role), m.get(role) or ""), "text": m.get(said) or ""} for m in value[top]]
-            return [{"role": role, "text": value[path]} for role, path in layout["fields"] if value.get(path)]
+def canonical_turns_of_json(records: DataFrame, column: str, turn: str | None = None) -> DataFrame:
+    """(conv_id, seq, role, text) of a column of JSON objects, each with a layout of its own, beside conv_id; with a
+    column turn, records are turns in that order. Records without a mapping are left to rejected_json()."""
+    rows = _read_json(records, column, ("conv_id", "turn") if turn else ("conv_id",))
+    rows = rows.select("conv_id", *([F.col(turn).cast("long").alias("_at")] if turn else []), F.explode("_read.turns").alias("t"))
+    seq = F.col("_at") if turn else F.col("t.seq")
+    return rows.select("conv_id", seq.alias("seq"), F.coalesce("t.role", F.lit("")).alias("role"), F.coalesce("t.text", F.lit("")).alias("text"))
 
-        return batch.map(of)
 
-    out = records.select("conv_id", F.posexplode(turns(F.col(column))).alias("seq", "t"))
-    return out.select("conv_id", F.col("seq").cast("long"), "t.role", "t.text")
+def rejected_json(records: DataFrame, column: str) -> DataFrame:
+    """The records that canonical_turns_of_json() has no mapping for, with the problem."""
+    return _read_json(records, column, ("conv_id",)).filter(F.col("_read.problem").isNotNull()).select(*records.columns, F.col("_read.problem").alias("problem"))
 
 
 def escaped(text: Column) -> Column:
@@ -166,7 +200,8 @@ def digests(blocks: DataFrame) -> DataFrame:
         if now is not None:
             yield pd.DataFrame([closed()]).astype({"conv_id": "Int64"})
 
-    ordered = blocks.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "block")
+    # blocks themselves are compared only where a turn is repeated
+    ordered = blocks.withColumn("_tie", F.substring("block", 1, 64)).repartition("conv_id").sortWithinPartitions("conv_id", "seq", "_tie", "block")
     return ordered.select("conv_id", "block", "mask_start", "mask_end").mapInPandas(
         read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

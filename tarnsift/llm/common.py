@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,17 +23,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster for intermediate tables."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH
+    """The shared folder of the cluster for intermediate tables. Only a local session may do without."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path or DEFAULT_SCRATCH
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_SCOPES: list[list[str]] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are deleted at the end, but for those written to be kept, which belong to
+    the scope around. What leaves the scope must not read the others."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            files, at = _file_system(spark, path)
+            files.delete(at, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a table into the shared folder and read it back: it cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+    if len(_SCOPES) > keep:
+        _SCOPES[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,4 +89,5 @@ def words(text: Column) -> Column:
 def row_key(*columns: Column) -> list[Column]:
     """Two columns _id, _sum that tell rows apart, nulls included; equal rows share them."""
     first = F.coalesce(columns[0].cast("long"), F.lit(-(2**63)))
-    return [first.alias("_id"), F.xxhash64(*columns).alias("_sum")]
+    # hashes pass over nulls, so each column comes with a mark of whether it is one
+    return [first.alias("_id"), F.xxhash64(*[x for c in columns for x in (c.isNull(), c)]).alias("_sum")]

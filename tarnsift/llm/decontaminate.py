@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, row_key, small_side, words
+from .common import let, materialize, releasing, row_key, small_side, words
 
 #: 1: the word counts, 0: it may differ. All start and end with 1. Without a seed of the first three, no four
 #: words in a row hold three equal ones, so 2 * (n // 4) + min(2, n % 4) of n words are equal at most: under MIN_SHARE
@@ -107,6 +107,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns untouched, that hold no benchmark item."""
-    gone = small_side(materialize(overlaps(docs, benchmark).select("_id", "_sum").distinct(), "contaminated"))
+    with releasing(docs.sparkSession):
+        gone = materialize(overlaps(docs, benchmark).select("_id", "_sum").distinct(), "contaminated", keep=True)
+    gone = small_side(gone)
     id_, sum_ = row_key(docs["doc_id"], docs["text"])
     return docs.join(gone, (id_ == gone["_id"]) & (sum_ == gone["_sum"]), "left_anti")

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import materialize, releasing, small_side
 
 N, PART, WHOLE = 5, 80, 100
 #: Counters of the sketch; lists longer than LONG_LIST go by way of leaders; positions of one block.
@@ -377,6 +377,11 @@ def _by_difference(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id."""
+    with releasing(docs.sparkSession):
+        return materialize(_classes(docs), "jaccard-classes", keep=True)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     described = materialize(texts.mapInPandas(_described, "doc_id long, n long, s1 long, s2 long, profile binary, sketch binary"), "jaccard-described")
     sets = described.filter(F.col("n") >= 0).drop("sketch", "profile")
@@ -413,5 +418,6 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns untouched, that come first in their component."""
-    gone = materialize(classes(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "jaccard-gone")
+    with releasing(docs.sparkSession):
+        gone = materialize(classes(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "jaccard-gone", keep=True)
     return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)

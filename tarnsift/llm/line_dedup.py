@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_RE, materialize, row_key, small_side
+from .common import SPACE, SPACE_RE, materialize, releasing, row_key, small_side
 
 DEPTH, SEGMENTS, MIN_LINES, GENERAL_WORDS, MIN_KEPT = 3, 8, 3, 8, 0.75
 LONG_WORDS, LONG_CHARS, MIN_WORDS, MIN_CHARS, SHORT_DOCS = 50, 300, 4, 24, 6
@@ -99,11 +99,12 @@ def _generalised(lines: DataFrame) -> DataFrame:
 
 def _dropped(docs: DataFrame) -> DataFrame:
     """(_id, _sum, places): the places of the lines to drop from each document; bounded by its lines."""
-    lines = materialize(_lines(docs), "lines")
-    alike = materialize(_generalised(lines), "line-templates")
-    gone = _gone(lines, _recurring(lines, "leaf", "line-leaves"), "leaf")
-    gone = gone.union(_gone(alike, _recurring(alike, "template", "line-recurring"), "template"))
-    return materialize(gone.groupBy("_id", "_sum").agg(F.collect_set("place").alias("places")), "lines-gone")
+    with releasing(docs.sparkSession):
+        lines = materialize(_lines(docs), "lines")
+        alike = materialize(_generalised(lines), "line-templates")
+        gone = _gone(lines, _recurring(lines, "leaf", "line-leaves"), "leaf")
+        gone = gone.union(_gone(alike, _recurring(alike, "template", "line-recurring"), "template"))
+        return materialize(gone.groupBy("_id", "_sum").agg(F.collect_set("place").alias("places")), "lines-gone", keep=True)
 
 
 def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
@@ -112,7 +113,7 @@ def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
     id_, sum_ = row_key(docs["doc_id"], docs["text"])
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # one column, so no name can clash
     gone = _dropped(docs)
-    rows = docs.select(id_, sum_, row).join(gone, ["_id", "_sum"], "left")
+    rows = docs.select(id_, sum_, row).join(gone.hint("merge"), ["_id", "_sum"], "left")  # one way at every size
     text, places = F.col("row.text"), F.col("places")
     rows = rows.withColumn("lines", F.when(text.isNotNull() & (places.isNotNull() | F.lit(counts)), F.split(text, "\n")))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), places)

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, row_key, small_side, words
+from .common import let, materialize, releasing, row_key, small_side, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -189,7 +189,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns untouched, that the rules keep."""
-    gone = materialize(verdicts(docs).filter(~F.col("kept")).select("_id", "_sum").distinct(), "quality-rejected")
+    with releasing(docs.sparkSession):
+        gone = materialize(verdicts(docs).filter(~F.col("kept")).select("_id", "_sum").distinct(), "quality-rejected", keep=True)
     id_, sum_ = row_key(docs["doc_id"], docs["text"], docs["lang"], docs["source"])
     gone = small_side(gone)
     return docs.join(gone, (id_ == gone["_id"]) & (sum_ == gone["_sum"]), "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import byte_bpe, chat_format, decontaminate, huffman_ids, jaccard_join, line_dedup, pii, quality_rules, token_counts, weak_quality
 from .common import materialize, table
@@ -61,8 +62,21 @@ TRAP = r"\### Assistant: </turn> ok"
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string")
-    blocks = materialize(chat_format.formatted(chat_format.canonical_turns(said.union(trap))), "chat-blocks")
-    return chat_format.digests(blocks)
+    turns = chat_format.canonical_turns_of_json(mixed_layouts(said.union(trap)), "record", "turn")
+    return chat_format.digests(materialize(chat_format.formatted(turns), "chat-blocks"))
+
+
+def mixed_layouts(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, record): every turn as a JSON object in one of three layouts, by a hash; the table has but one."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    pick = F.when(role.isin("human", "gpt"), 0).otherwise(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)))
+    other = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    records = (
+        F.to_json(F.struct(role.alias("role"), text.alias("text"))),
+        F.to_json(F.struct(other.alias("from"), text.alias("value"), F.lit("x").alias("unknown"))),
+        F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages"))),
+    )
+    return turns.select("conv_id", "turn", F.when(pick == 0, records[0]).when(pick == 1, records[1]).otherwise(records[2]).alias("record"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tarnsift.llm import byte_bpe, chat_format, decontaminate, huffman_ids, jaccard_join, line_dedup, pii, quality_rules, token_counts, weak_quality
+from tarnsift.llm import byte_bpe, chat_format, decontaminate, huffman_ids, jaccard_join, line_dedup, pii, quality_rules, queries, token_counts, weak_quality
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_words string, _id string"
@@ -325,6 +326,14 @@ def test_chat_layouts(spark):
     assert of_json == [(1, 0, "user", "hi"), (1, 1, "assistant", ""), (2, 0, "user", "do"), (2, 1, "assistant", "done")]
     with pytest.raises(ValueError):
         chat_format.canonical_turns(spark.createDataFrame([(1,)], "other long"))
+    odd = spark.createDataFrame([(1, '{"messages": []}'), (2, "no json"), (3, "[1]"), (4, '{"strange": 1}'), (5, None), (6, '{"conversations": [{"from": null, "value": 7}]}')], "conv_id long, j string")
+    assert [tuple(r) for r in chat_format.canonical_turns_of_json(odd, "j").collect()] == [(6, 0, "", "7")]
+    assert sorted((r["conv_id"], r["problem"]) for r in chat_format.rejected_json(odd, "j").collect()) == [(2, "not JSON"), (3, "not an object"), (4, "unknown layout")]
+    said = [(1, 0, "user", trap), (1, 1, "assistant", None), (None, 0, None, "x"), (2, 0, "gpt", "y"), (2, 0, "gpt", "y"), (3, 5, "human", ""), *[(9, k, "assistant", f"t{k}") for k in range(30)]]
+    table = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    mixed = chat_format.canonical_turns_of_json(queries.mixed_layouts(table), "record", "turn")
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, chat_format.canonical_turns(table).collect()))
+    assert len({tuple(sorted(json.loads(r["record"]))) for r in queries.mixed_layouts(table).collect()}) == 3
     assert chat_format.digests(chat_format.formatted(turns[0].limit(0))).collect() == []
 
 
