@@ -23,7 +23,8 @@ from .common import materialize, sampled, words
 
 #: Rows that the scorer is fitted on, hashed trigram buckets, steps of each fit, score from which text is kept.
 TRAIN_ROWS, BUCKETS, EM_STEPS, FIT_STEPS, KEEP_FROM = 4000, 2048, 60, 300, 0.35
-PRIOR_GOOD = 0.8
+#: Where the model starts: share of good documents, accuracy of a labeller, and how many votes that counts for.
+PRIOR_GOOD, PRIOR_RIGHT, PRIOR_VOTES = 0.8, 0.8, 20
 LABELLERS = ("symbols", "capitals", "marks", "variety", "word_length", "prose", "sentences")
 
 
@@ -56,18 +57,20 @@ def votes(docs: DataFrame) -> DataFrame:
 
 
 def label_model(counts: dict[str, int]) -> tuple[np.ndarray, dict[str, float]]:
-    """Accuracy of each labeller when it votes, and the posterior of good per pattern."""
+    """Accuracy of each labeller when it votes, and the posterior of good per pattern. The share of good documents is
+    estimated along with the accuracies; what is known before counts for PRIOR_VOTES votes, whatever the corpus."""
     patterns = sorted(counts)
     cast = np.array([[int(c) for c in p] for p in patterns])  # pattern x labeller: 0, 1, 2
     weight = np.array([counts[p] for p in patterns], float)
     sign = cast - 1
-    right = np.full(cast.shape[1], 0.8)
+    right, share = np.full(cast.shape[1], PRIOR_RIGHT), PRIOR_GOOD
+    voted = ((sign != 0) * weight[:, None]).sum(0)
     for _ in range(EM_STEPS):
-        odds = np.log(PRIOR_GOOD / (1 - PRIOR_GOOD)) + sign @ np.log(right / (1 - right))
+        odds = np.log(share / (1 - share)) + sign @ np.log(right / (1 - right))
         good = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         agree = ((sign == 1) * (weight * good)[:, None] + (sign == -1) * (weight * (1 - good))[:, None]).sum(0)
-        voted = ((sign != 0) * weight[:, None]).sum(0)
-        right = np.clip((agree + 0.8 * (voted + 1)) / (2 * voted + 1), 0.55, 0.995)  # half the weight is the prior's
+        right = np.clip((agree + PRIOR_RIGHT * PRIOR_VOTES) / (voted + PRIOR_VOTES), 0.55, 0.995)
+        share = np.clip((weight @ good + PRIOR_GOOD * PRIOR_VOTES) / (weight.sum() + PRIOR_VOTES), 0.05, 0.95)
     return right, dict(zip(patterns, good.tolist()))
 
 
