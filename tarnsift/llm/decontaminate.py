@@ -8,7 +8,9 @@ hit diagonals the whole item is laid over the document. A neighbourhood is all d
 item lengths apart; in it each word of the item and each word of the document counts once, and an item's
 match is that of its best neighbourhood.
 
-Defined cases: null texts are empty and match nothing; items of one word and two words only match whole; case and trailing punctuation of words are ignored; a document row repeated is reported for each row;
+Defined cases: null texts are empty and match nothing; items of one word and two words only match whole; case and trailing punctuation of words are ignored; a document row repeated is reported for each row, an
+item repeated once; of neighbourhoods that match alike it does not matter which counts; an empty benchmark or an empty
+table of documents gives no overlaps; of a very long text, only the stretches under its hits move on;
 columns besides doc_id and text (item_id and text) are ignored.
 """
 

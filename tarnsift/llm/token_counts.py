@@ -5,8 +5,8 @@ longest matching goes on after the pieces that are certain by then, and each lin
 pops. A word is read once, byte by byte, and only numbers are added: no piece is ever built.
 
 Defined cases: null or blank text has no tokens; words are split at Unicode white space and lower-cased; a
-word with a byte that no piece covers counts as one unknown token; repeated rows are counted each; other
-columns are not read.
+word with a byte that no piece covers counts as one unknown token; repeated rows are counted each; texts may be of any
+length, the words of one are held at a time; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END, SYMBOLS = 256, 257
-#: Words whose counts a worker keeps.
-CACHE_WORDS = 400_000
+#: Words whose counts a worker keeps, and characters of the longest of them.
+CACHE_WORDS, KEPT_WORD = 400_000, 64
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -101,7 +101,9 @@ class Automaton:
         known, words, total = self.known, (text or "").lower().split(), 0
         for word in words:
             if (k := known.get(word)) is None:
-                k = known[word] = self.count(word)
+                k = self.count(word)
+                if len(word) <= KEPT_WORD:
+                    known[word] = k
             total += k
         return len(words), total
 

@@ -486,3 +486,88 @@ def test_outliers_of_small_groups_are_found(spark):
     out = quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert len(out) == len(rows) and all(r["distance"] is not None for r in out)
     assert {r["doc_id"] for r in out if not r["kept"]} == {*range(1000, 1006), 3000, 5000}
+
+
+def brute_overlaps(docs, items):
+    cut = lambda t: [w.rstrip(".,;:!?") for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())]
+    out = {}
+    for item_id, item in items:
+        t = cut(item)
+        for doc_id, text in docs:
+            d, near, hits = cut(text), {}, set()
+            for mask in (decontaminate.MASKS[k] for k in decontaminate.masks_of(len(t))):
+                picked = [k for k, bit in enumerate(mask) if bit == "1"]
+                seeds = {}
+                for i in range(len(t) - len(mask) + 1):
+                    seeds.setdefault(tuple(t[i + k] for k in picked), []).append(i)
+                for j in range(len(d) - len(mask) + 1):
+                    hits |= {j - i for i in seeds.get(tuple(d[j + k] for k in picked), ())}
+            for shift in hits:
+                for i in range(max(0, -shift), min(len(t), len(d) - shift)):
+                    if t[i] == d[i + shift]:
+                        for cell in (shift // len(t) - 1, shift // len(t)):
+                            of_item, of_doc = near.setdefault(cell, (set(), set()))
+                            of_item.add(i)
+                            of_doc.add(i + shift)
+            n = max((min(len(a), len(b)) for a, b in near.values()), default=0)
+            if t and (n >= decontaminate.MIN_SHARE * len(t) or n >= decontaminate.MIN_MATCHED):
+                out[doc_id, item_id] = n
+    return out
+
+
+def test_decontamination_equals_brute_force(spark, real):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = [(r["doc_id"], r["text"]) for r in real.collect()]
+    rng = random.Random(2)
+    for k in range(120):  # passages with words replaced, cut, moved and repeated, beside many words in common
+        words = rng.choice(items)[1].split()
+        part = words[: rng.randrange(1, len(words) + 1)]
+        part = [("changed" if rng.random() < rng.choice((0, 0.2, 0.4)) else w) for w in part] * rng.choice((1, 1, 3))
+        docs.append((10_000 + k, " ".join(rng.choices(words, k=20) + part + rng.choices(words, k=rng.randrange(30)))))
+    items += [(900, "one"), (901, "one two"), (902, "one two three"), (903, "a a a a a a a a"), (904, None), (905, "one two")]
+    docs += [(20_000, "one two three, ONE! two"), (20_001, "a " * 30), (20_002, None), (20_003, "one")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["n_matched"] for r in decontaminate.contaminated(*frames).collect()}
+    assert found == brute_overlaps(docs, items) and len(found) > 40
+
+
+def test_token_counts_of_the_whole_vocabulary(real):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = token_counts.load_pieces(path)
+    automaton, longest = token_counts.Automaton(pieces), max(map(len, pieces))
+    assert len(pieces) > 40_000 and Tokenizer.from_file(path).get_vocab_size() >= len(pieces)
+    words = {w for r in real.collect() for w in (r["text"] or "").lower().split()}
+    for word in sorted(words)[:6000]:
+        s, i, n = (*word.encode(), token_counts.END), 0, 0
+        while i < len(s):
+            j = next((j for j in range(min(len(s), i + longest), i, -1) if s[i:j] in pieces), None)
+            if j is None:
+                n = 1
+                break
+            i, n = j, n + 1
+        assert automaton.count(word) == n
+
+
+def test_pipeline_equals_brute_force(spark, real):
+    import corpus_pipeline
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    good = {r["doc_id"] for r in quality_rules.quality_rules(real).collect() if r["kept"]}
+    texts = {d: t for d, (t, _) in brute_line_dedup([(r["doc_id"], r["text"]) for r in real.collect() if r["doc_id"] in good]).items()}
+    classes = brute_classes(texts)
+    texts = {d: t for d, t in texts.items() if classes[d][1] == d}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leaked = {d for d, _ in brute_overlaps(list(texts.items()), items)}
+    assert len(good) < real.count() and len(texts) < len(good) and leaked
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for d, t in texts.items():
+        if d not in leaked:
+            ids = library.encode_ordinary(t)
+            want.append((d, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(t.encode())))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == sorted(want)
