@@ -1,4 +1,9 @@
-"""Five operators over documents, each stage's result written and read again as the next one's input."""
+"""Five operators over documents, each stage's result written and read again as the next one's input.
+
+Nulls, empty and very long texts, repeated rows and extra columns are treated as each operator's docstring says: null
+and short texts go with the base rules of the first stage, rows repeated with equal ids stay together, columns other than those
+an operator reads pass through untouched up to the last stage, and an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

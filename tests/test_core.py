@@ -8,13 +8,13 @@ import pytest
 
 from tarnsift import queries as core
 from tarnsift.operators.state import Task, admit, advance, candidate_queue, queue_fates, queued, rate_limited, state_machine
-from tarnsift.plans import records
+from tarnsift.plans import cleaning, lookups, records
 from tarnsift.plans import state as plans
 from tarnsift.plans.sql import TABLES
 from tarnsift.streaming.limiter import limited_stream
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = [*records.ORACLE_SQL, "J11_page_at_offset", "R1_topk_cosine", "R9_two_stage", "U3_snapshot_diff", "G12_threshold_sweep", "W12_islands", "R12_keyword_score", "J22_branch_tree", "X2_sessions", "L4_char_budget"]
+SAMPLE = [*records.ORACLE_SQL, *cleaning.ORACLE_SQL, *lookups.ORACLE_SQL, "J11_page_at_offset", "R1_topk_cosine", "R9_two_stage", "U3_snapshot_diff", "G12_threshold_sweep", "W12_islands", "R12_keyword_score", "J22_branch_tree", "X2_sessions", "L4_char_budget"]
 
 
 def plain(v):
