@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, huffman_ids, jaccard_join, line_dedup, pii, quality_rules, token_counts, weak_quality
+from . import byte_bpe, centroid_clusters, chat_format, decontaminate, filter_audit, huffman_ids, jaccard_join, line_dedup, mixture, pii, quality_rules, token_counts, weak_quality
 from .common import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,12 +79,97 @@ def mixed_layouts(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", F.when(pick == 0, records[0]).when(pick == 1, records[1]).otherwise(records[2]).alias("record"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_pii, op3_byte_bpe, op4_quality_rules, op5_weak_quality, op6_decontamination,
-    op7_token_counts, op8_line_dedup, op9_huffman_ids, op10_chat_format,
+    op7_token_counts, op8_line_dedup, op9_huffman_ids, op10_chat_format, op11_centroid_clusters, op12_filter_audit, op13_mixture,
 )}
 
+def _rounds_sql(k: int, rounds: int, dims: int) -> str:
+    """The clustering as SQL: tables c0, c1, ... of centroids, a0, a1, ... of what is nearest to them."""
+    near = """a{0} AS MATERIALIZED (
+        SELECT rid, vec_id, v.x, min(list_sum([(v.x[i] - c.x[i]) * (v.x[i] - c.x[i]) for i in range(1, {2})])::BIGINT * {1} + j) AS code FROM v, c{0} AS c GROUP BY rid, vec_id, v.x)"""
+    move = """s{0} AS (SELECT code % {2} AS j, unnest(range(1, {3})) AS i, unnest(x) AS x FROM a{0}),
+    m{0} AS (SELECT j, i, sum(x)::BIGINT AS s, count(*) AS n FROM s{0} GROUP BY j, i),
+    c{1} AS MATERIALIZED (
+        SELECT j, list((s - (((s % n) + n) % n)) // n ORDER BY i) AS x FROM m{0} GROUP BY j
+        UNION ALL SELECT j, x FROM c{0} WHERE j NOT IN (SELECT j FROM m{0}))"""
+    steps = [near.format(0, k, dims + 1)]
+    for r in range(rounds):
+        steps += [move.format(r, r + 1, k, dims + 1), near.format(r + 1, k, dims + 1)]
+    return f"""
+    WITH v AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, [floor(256 * e::DOUBLE)::BIGINT for e in embedding] AS x FROM embeddings
+        WHERE len(embedding) = {dims} AND len([e for e in embedding if e IS NOT NULL AND isfinite(e)]) = {dims}),
+    c0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS j, x FROM v WHERE vec_id IS NOT NULL QUALIFY j < {k}),
+    {", ".join(steps)}
+    SELECT vec_id, (code % {k})::INTEGER AS cluster, code // {k} AS distance, (sum(code // {k}) OVER (PARTITION BY code % {k}))::BIGINT AS cluster_inertia,
+           (sum(code // {k}) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} AS c ON code % {k} = j"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clusters": _rounds_sql(centroid_clusters.K, centroid_clusters.ROUNDS, centroid_clusters.DIMS),
+    "op12_filter_audit": r"""
+    WITH docs AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    marks AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id),
+    fails AS (
+        SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+                      regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), FALSE)] AS f,
+               coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+        FROM docs LEFT JOIN marks USING (doc_id)),
+    sets AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, f),
+    l AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+    orders AS (
+        SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM l AS a, l AS b, l AS c, l AS d, l AS e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+    steps AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+    counted AS (
+        SELECT part, o, step, o[step] AS i,
+               sum(n * (NOT list_bool_or([f[k] for k in o[1:step]]))::INT) AS kept,
+               sum(n * (f[o[step]] AND NOT coalesce(list_bool_or([f[k] for k in o[1:step - 1]]), FALSE))::INT) AS removed,
+               sum(n * (f[o[step]] AND coalesce(list_bool_or([f[k] for k in o[1:step - 1]]), FALSE))::INT) AS redundant,
+               sum(n * (f[o[step]] AND list_sum([x::INT for x in f]) = 1)::INT) AS unique_fails,
+               sum(good * (f[o[step]] AND NOT coalesce(list_bool_or([f[k] for k in o[1:step - 1]]), FALSE))::INT) AS good_lost,
+               sum(toxic * (f[o[step]] AND NOT coalesce(list_bool_or([f[k] for k in o[1:step - 1]]), FALSE))::INT) AS toxic_lost
+        FROM sets, steps GROUP BY part, o, step)
+    SELECT part, array_to_string([substr('ABCDE', k, 1) for k in o], '') AS filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+           redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, i))::BIGINT AS shapley
+    FROM counted""",
+    "op13_mixture": r"""
+    WITH docs AS (
+        SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+    sources AS (
+        SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM docs GROUP BY source),
+    filled AS (
+        SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2 * coalesce(sum(source_size) OVER (ORDER BY source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                  / (sum(weight) OVER (ORDER BY source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS rate FROM sources),
+    aims AS (
+        SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * (SELECT max(rate) FROM filled)) AS target FROM filled),
+    keys AS (
+        SELECT doc_id, source, size, -ln((2 * ('0x' || substr(md5(concat(doc_id, ':', text)), 1, 13))::BIGINT + 1) / 9007199254740992.0::DOUBLE)
+               / greatest(0.1::DOUBLE, (1.0::DOUBLE - least(1.0::DOUBLE, 10.0::DOUBLE * length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) / greatest(1, length(text))))
+                                       * (len(list_distinct(string_split(text, chr(10))))::DOUBLE / len(string_split(text, chr(10))))) AS key
+        FROM docs)
+    SELECT doc_id, size, source_size, target,
+           (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM (
+        SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs,
+               floor(target)::BIGINT - epochs * source_size AS rest,
+               sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+        FROM keys AS k JOIN aims AS a ON k.source IS NOT DISTINCT FROM a.source)""",
     "op8_line_dedup": r"""
     WITH lines AS (
         SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
