@@ -10,7 +10,8 @@ Windows of WINDOW characters are laid over all of every text, STEP apart. Where
 other evenly over the overlap. The best tags of a whole text follow from that: a place whose lead for "no data" is
 larger than all that any transitions could win back has that tag in the best path of the whole text for certain, so
 Viterbi passes over the stretches between such places give the tags of one pass over everything. Proposed spans are
-completed to whole words and checked by the form and rules of their kind (signs, digits, Luhn, parts up to 255); those
+completed to whole words and checked by the form and rules of their kind (signs, digits, Luhn, parts up to 255, and
+numbers in rows of the same gap that end where data of the kind does, so that tables and logs hold none); those
 that touch no other span are added.
 
 Defined cases: null text is empty and has no spans; texts may be of any length (the network runs over a bounded number
@@ -36,7 +37,7 @@ from .common import sampled
 KINDS = ("email", "ip", "card", "phone")
 TAGS = len(KINDS) + 1
 #: Training: documents sampled and characters of each, windows and their length, steps, batch.
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_WINDOWS, TRAIN_LENGTH, STEPS, BATCH = 1000, 1200, 9000, 80, 900, 48
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_WINDOWS, TRAIN_LENGTH, STEPS, BATCH = 1000, 1200, 18000, 80, 1800, 48
 #: Model: hidden units, embedding. Decoding: window, step, windows given to the network at once.
 HIDDEN, EMBED, WINDOW, STEP, BLOCK = 12, 10, 256, 224, 1024
 
@@ -377,6 +378,19 @@ def look_alike(rng: random.Random) -> str:
     ))
 
 
+def number_rows(rng: random.Random) -> str:
+    """A piece of a table of numbers, of a log or of comma-separated values: no personal data, however long it is."""
+    size, pick = rng.randint(3, 14), rng.randrange(4)
+    if pick == 0:
+        width = rng.choice((1, 2, 3, 5, 7, 9))  # rows of fours are told from cards by form
+        return rng.choice((" ", " ", "  ", "\t", "\n", " | ")).join(_digits(rng, rng.choice((width, width, rng.randint(1, 9)))) for _ in range(size))
+    if pick == 1:
+        return rng.choice((",", ";", ", ")).join(rng.choice(("{}", "{}.{}", "-{}", "{}.{}")).format(rng.randint(0, 9999), rng.randint(0, 99)) for _ in range(size))
+    stamp = f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d} {rng.randint(0, 23):02d}:{rng.randint(0, 59):02d}:{rng.randint(0, 59):02d}"
+    rest = " ".join(rng.choice(("{}", "{}ms", "id={}", "[{}]", "0x{}", "{}/{}")).format(rng.randint(0, 99999), rng.randint(0, 99)) for _ in range(rng.randint(1, 5)))
+    return f"{stamp} {rest}" if pick == 2 else f"{stamp}.{_digits(rng, 3)} {rng.choice(('INFO', 'WARN', 'ERROR'))} {rest}"
+
+
 def example(rng: random.Random, context: list[str]) -> tuple[str, np.ndarray]:
     """A made text and the tag of each of its characters."""
     said, tags = [], []
@@ -399,14 +413,14 @@ def example(rng: random.Random, context: list[str]) -> tuple[str, np.ndarray]:
             kind = rng.choices(range(4), (5, 2, 2, 3))[0]  # spelled-out addresses are the hardest
             add(made_span(rng, kind), kind + 1)
         else:
-            add(look_alike(rng), 0)
+            add(look_alike(rng) if rng.random() < 0.8 else number_rows(rng), 0)
         add(rng.choice((" ", " ", " ", "\n", ". ", ") ", ", ", " | ")), 0)
         if rng.random() < 0.5:
             prose()
     return "".join(said), np.array(tags, np.int64)
 
 
-def examples(context: list[str], count: int = TRAIN_WINDOWS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def examples(context: list[str], count: int = TRAIN_WINDOWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Windows of classes and tags."""
     rng = random.Random(seed)
     xs, ys = np.full((count, TRAIN_LENGTH), PAD, np.int64), np.zeros((count, TRAIN_LENGTH), np.int64)
@@ -429,52 +443,121 @@ def train(docs: DataFrame) -> Tagger:
     return tagger
 
 
-_AT_SIGN, _DOT_SIGN = r"(?:\s?@\s?|[\s\[({]+at[\s\])}]+)", r"(?:\.|\s\.\s|[\[(]\.[\])]|[\s\[({]+dot[\s\])}]+)"
-#: What a span of each kind looks like, in any spelling; such places in a proposed stretch are spans.
-_FORMS = (
-    re.compile(rf"[A-Za-z0-9._%+-]+{_AT_SIGN}[A-Za-z0-9-]+(?:{_DOT_SIGN}[A-Za-z0-9-]+)*{_DOT_SIGN}[A-Za-z]{{2,}}", re.I),
-    re.compile(r"[0-9]+(?:(?:\W{1,5}|\W{1,2}dot\W{1,2})[0-9]+){3}", re.I),
-    re.compile(r"[0-9](?:[\s./-]{0,3}[0-9])+"),
-    re.compile(r"(?:\+ ?)?\(?[0-9][0-9\s()./-]+[0-9]"),
-)
-
-
-def _fits(text: str, kind: int) -> bool:
-    digits = re.sub("[^0-9]", "", text)
-    if kind == 1:
-        parts = re.findall("[0-9]+", text)
-        return len(parts) == 4 and all(map(_is_byte, parts))
-    if kind == 2:
-        return 12 <= len(digits) <= 19 and luhn(digits)
-    return kind == 0 or 9 <= len(digits) <= 15
+_DOT_SIGN = r"(?:\.|\s\.\s|[\[(]\.[\])]|[\s\[({]{1,3}dot[\s\])}]{1,3})"
+_AT_SIGN = re.compile(r"\s?@\s?|[\s\[({]{1,3}at[\s\])}]{1,3}", re.I)
+_HOST = re.compile(rf"[A-Z0-9-]{{1,63}}(?:{_DOT_SIGN}[A-Z0-9-]{{1,63}}){{0,8}}{_DOT_SIGN}[A-Z]{{2,63}}", re.I)
+#: What stands between the numbers of an address, of a card, of a phone number; what a phone number begins with.
+_IP_GAP, _CARD_GAP, _PHONE_GAP = re.compile(r"\W{0,2}(?:\.|dot)\W{0,2}", re.I), re.compile(r"[ ./-]{1,3}"), re.compile(r"(?! +-[0-9])[ ()./-]{1,4}")
+_PHONE_LEAD = re.compile(r"\+ ?\(?(?=[0-9])|(?<![0-9])(?=00[ ]?[0-9])|\((?=[0-9]{3}\))")
+#: Longest local part, most digits of a card and of a phone number: a look from any place goes no further.
+LOCAL, CARD_DIGITS, PHONE_DIGITS = 64, 19, 15
+_NUMBER = re.compile("[0-9]+")
 
 
-def _held(text: str, kind: int) -> Iterator[tuple[int, int]]:
-    """The places of data of the kind in a proposed stretch; numbers that run together are parted at blanks."""
-    at = 0
-    while m := _FORMS[kind].search(text, at):
-        ends = [m.end(), *(k for k in range(m.end() - 1, m.start(), -1) if text[k].isspace())]
-        end = next((e for e in ends if _fits(text[m.start() : e], kind)), None)
+def _mails(text: str) -> Iterator[tuple[int, int]]:
+    after = 0
+    for m in _AT_SIGN.finditer(text):
+        start = m.start()
+        while start > max(after, m.start() - LOCAL) and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        if start < m.start() and (host := _HOST.match(text, m.end())):
+            yield start, host.end()
+            after = host.end()
+
+
+def _runs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Numbers in a row with the same gap between them, as long as they go on, and that gap."""
+    places = [m.span() for m in _NUMBER.finditer(text)]
+    gaps = [text[a[1] : b[0]].lower() if b[0] - a[1] <= 8 else "\n" for a, b in zip(places, places[1:])]
+    first = 0
+    for k in range(1, len(places) + 1):
+        if k == len(places) or (k - 1 > first and gaps[k - 1] != gaps[k - 2]):
+            yield gaps[first] if k - first > 1 else "", places[first:k]
+            first = k - 1 if k - first > 1 and k < len(places) else k
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Four numbers up to 255 with the same sign thrice between them; lists that go on are none."""
+    for gap, run in _runs(text):
+        if len(run) == 4 and _IP_GAP.fullmatch(gap) and all(_is_byte(text[a:b]) for a, b in run):
+            yield run[0][0], run[-1][1]
+
+
+def _cards(text: str) -> Iterator[tuple[int, int]]:
+    """Three or four groups of four digits and perhaps a shorter one, or one number run together with a few others;
+    groups of four that go on for longer are columns of a table."""
+
+    def passes(part: list[tuple[int, int]]) -> bool:
+        digits = "".join(text[a:b] for a, b in part)
+        return 12 <= len(digits) <= CARD_DIGITS and luhn(digits)
+
+    for gap, run in _runs(text):
+        if len(run) <= 3:
+            yield from ((a, b) for a, b in run if b - a > 12 and text[a] in "3456" and passes([(a, b)]))
+        if not _CARD_GAP.fullmatch(gap):
+            continue
+        fours = [b - a == 4 for a, b in run] + [False]
+        at = 0
+        while at < len(run):
+            end = at
+            while fours[end]:
+                end += 1
+            if 3 <= end - at <= 5:
+                last = end + (end < len(run) and run[end][1] - run[end][0] < 4)
+                ways = [run[i:j] for i in range(at, end - 2) for j in range(last, i + 2, -1)]
+                if found := max((w for w in ways if passes(w)), key=len, default=None):
+                    yield found[0][0], found[-1][1]
+            at = end + 1
+
+
+def _phones(text: str) -> Iterator[tuple[int, int]]:
+    """Numbers after a plus, two zeros or an area in brackets, as far as nine to fifteen digits go."""
+    after = 0
+    for m in _PHONE_LEAD.finditer(text):
+        if m.start() < after:
+            continue
+        at, digits, end = m.end(), 0, None
+        most = 11 if m[0] == "(" else PHONE_DIGITS
+        while number := _NUMBER.match(text, at, at + most + 1):
+            digits += number.end() - at
+            if digits > most:
+                break
+            gap = _PHONE_GAP.match(text, number.end())
+            if digits >= 9 and not (gap and " " not in gap[0] and _NUMBER.match(text, gap.end())):  # else a number is cut
+                end = number.end()
+            if not gap:
+                break
+            at = gap.end()
         if end is not None:
             yield m.start(), end
-        at = end or next((k for k in range(m.start() + 1, m.end()) if text[k].isspace()), m.end())
+            after = end
+
+
+_HELD = (_mails, _addresses, _cards, _phones)
 
 
 def all_spans(texts: list[str | None], tagger: Tagger) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
-    """Per text base spans, and all spans: base ones stay, the model's are added where they touch none."""
+    """Per text base spans, and all spans: base ones stay, the model's are added where they touch none. Each check of a
+    stretch is one pass over it, from each place no further than data of the kind can reach."""
     texts = [t or "" for t in texts]
     for text, proposed in zip(texts, tagger.spans(texts)):
         base = base_spans(text) if re.search(r"[0-9@]", text) else []
-        added = []
+        added, taken, begun = [], bytearray(len(text)), 0
+        for start, end, _ in base:
+            taken[start:end] = b"\1" * (end - start)
         for start, end, kind in proposed:
-            while 0 < start and text[start - 1] in _LOCAL_CHARS and (kind == 0 or text[start - 1].isdigit()):
+            low, high = max(begun, start - LOCAL), min(len(text), end + LOCAL)
+            while low < start and text[start - 1] in _LOCAL_CHARS and (kind == 0 or text[start - 1].isdigit()):
                 start -= 1
-            while end < len(text) and text[end - 1].isalnum() and text[end].isalnum() and text[end].isascii():
+            while end < high and text[end - 1].isalnum() and text[end].isalnum() and text[end].isascii():
                 end += 1
+            begun = start
+            stretch = text[start:end]
             for k in sorted(range(len(KINDS)), key=lambda k: k != kind):  # the proposed kind first
-                for a, b in _held(text[start:end], k):
-                    if all(start + b <= x or start + a >= y for x, y, _ in base + added):
+                for a, b in _HELD[k](stretch):
+                    if not any(taken[start + a : start + b]):
                         added.append((start + a, start + b, k))
+                        taken[start + a : start + b] = b"\1" * (b - a)
         yield base, sorted(base + added)
 
 

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -476,6 +477,38 @@ def test_added_spans_on_held_out_spellings(real, tagger):
     assert not any(every for _, every in pii.all_spans(plain, tagger))
 
 
+def test_numbers_without_personal_data_are_passed_over_in_one_pass(tagger):
+    rng, n = random.Random(9), 100_000
+    line = {
+        "fours": lambda: " ".join(f"{rng.randrange(10**4):04d}" for _ in range(12)), "numbers": lambda: " ".join(str(rng.randrange(10 ** rng.randint(1, 9))) for _ in range(12)),
+        "csv": lambda: ",".join(f"{rng.uniform(-1000, 1000):.2f}" for _ in range(10)), "signed": lambda: " ".join(f"{rng.uniform(-9, 9):+.3f}" for _ in range(9)),
+        "log": lambda: f"2024-03-{rng.randint(1, 28):02d} 12:{rng.randint(0, 59):02d}:07,123 INFO req {rng.randrange(10**6)} took {rng.randrange(5000)}ms ({rng.randrange(100)}/{rng.randrange(100)})",
+        "one line": lambda: " ".join(str(rng.randrange(1000)) for _ in range(30_000)), "digits": lambda: "".join(rng.choices("0123456789", k=n)), "bytes": lambda: " ".join(str(rng.randrange(256)) for _ in range(12)),
+        "lists": lambda: " . ".join(str(rng.randrange(99)) for _ in range(9)), "signs": lambda: "a@" * n, "blanks": lambda: " " * n + "at", "brackets": lambda: "(" * n,
+    }
+    for name, make in line.items():
+        text = make()
+        while len(text) < n:
+            text += "\n" + make()
+        began = time.process_time()
+        base, every = next(pii.all_spans([text], tagger))
+        assert time.process_time() - began < 20, name  # a pass; the cubic check took hours
+        assert len(every) - len(base) <= len(text) // 10_000, name  # at most ten in a million characters
+        for check in pii._HELD:
+            began = time.process_time()
+            list(check(text))
+            assert time.process_time() - began < 2, name
+
+
+def test_checks_of_forms_are_those_of_their_rules():
+    held = lambda kind, text: [text[a:b] for a, b in pii._HELD[kind](text)]
+    assert held(0, "x me (at) home [dot] de, y@z, a@b.c1 d @ e . org") == ["me (at) home [dot] de", "d @ e . org"]
+    assert held(1, "1 . 2 . 3 . 4 or 1. 2. 3. 4. 5. or 7[.]7[.]7[.]256 or 10 dot 0 dot 0 dot 1") == ["1 . 2 . 3 . 4", "10 dot 0 dot 0 dot 1"]
+    assert held(2, "4111 1111 1111 1111 2024 and 4111 1111 1111 1112 and 4111--1111--1111--1111") == ["4111 1111 1111 1111", "4111--1111--1111--1111"]
+    assert held(2, "4111 1111 1111 1111 4111 1111 1111 1111") == [] and held(2, "4111111111111111 12 7") == ["4111111111111111"]
+    assert held(3, "call (555) 123-4567 or 0049 30 1234567 or + 49 30 1234567, not 555 123 4567") == ["(555) 123-4567", "0049 30 1234567", "+ 49 30 1234567"]
+
+
 def test_outliers_of_small_groups_are_found(spark):
     rng = random.Random(1)
     plain = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(3, 8))) for _ in range(80))
