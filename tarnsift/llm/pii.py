@@ -448,7 +448,9 @@ _AT_SIGN = re.compile(r"\s?@\s?|[\s\[({]{1,3}at[\s\])}]{1,3}", re.I)
 _HOST = re.compile(rf"[A-Z0-9-]{{1,63}}(?:{_DOT_SIGN}[A-Z0-9-]{{1,63}}){{0,8}}{_DOT_SIGN}[A-Z]{{2,63}}", re.I)
 #: What stands between the numbers of an address, of a card, of a phone number; what a phone number begins with.
 _IP_GAP, _CARD_GAP, _PHONE_GAP = re.compile(r"\W{0,2}(?:\.|dot)\W{0,2}", re.I), re.compile(r"[ ./-]{1,3}"), re.compile(r"(?! +-[0-9])[ ()./-]{1,4}")
-_PHONE_LEAD = re.compile(r"\+ ?\(?(?=[0-9])|(?<![0-9])(?=00[ ]?[0-9])|\((?=[0-9]{3}\))")
+_PHONE_LEAD = re.compile(r"\+ ?\(?(?=[0-9])|(?<![0-9])(?<![0-9][ .-])(?=00[ ]?[0-9])|\((?=[0-9]{3}\))")
+#: A number in a row with others that starts with zeros is a column's, not a phone number's.
+_GOES_ON = re.compile(r"[ .-]{1,2}[0-9]")
 #: Longest local part, most digits of a card and of a phone number: a look from any place goes no further.
 LOCAL, CARD_DIGITS, PHONE_DIGITS = 64, 19, 15
 _NUMBER = re.compile("[0-9]+")
@@ -528,7 +530,7 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
             if not gap:
                 break
             at = gap.end()
-        if end is not None:
+        if end is not None and (m[0] or not _GOES_ON.match(text, end)):
             yield m.start(), end
             after = end
 
