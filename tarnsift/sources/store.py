@@ -1,61 +1,92 @@
-"""Tables on shared storage: published whole or not at all, appended to by content, saved by session, guarded by hash."""
+"""Tables on shared storage: published whole or not at all, appended to by content, merged by key, guarded by hash."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tarnsift.sources import versions
 
-def _at(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+#: Buckets of a table that rows are merged into by key.
+BUCKETS = 32
 
 
 def publish(df: DataFrame, path: str, version: int = 1) -> None:
-    """Write a table beside path, then give it that name. Readers see the old table or the new one; a failed write
-    leaves the old one as it was."""
+    """Write a table under a fresh name in the folder path, then let the folder's next version name it. Readers see the
+    old table or the new one at any time; a failed write leaves the old one as it was. The table before the last stays
+    for those who still read it, older ones are deleted."""
     spark = df.sparkSession
-    fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    df.withColumn("_version", F.lit(version)).write.parquet(fresh)
-    files, place = _at(spark, path)
-    if files.exists(place):
-        files.rename(place, _at(spark, old)[1])
-    if not files.rename(_at(spark, fresh)[1], place):
-        raise OSError(f"{path} was not published")
-    files.delete(_at(spark, old)[1], True)
+    number, before = versions.current(spark, path)
+    name = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    versions.commit(spark, path, number, {"data": name, "before": before.get("data"), "version": version})
+    if before.get("before"):
+        versions.remove(spark, f"{path}/{before['before']}")
 
 
 def published(spark: SparkSession, path: str, schema: str, version: int = 1) -> DataFrame:
     """The table at path, if it has the version and the columns asked for."""
-    table = spark.read.parquet(path)
+    number, now = versions.current(spark, path)
+    if not number:
+        raise ValueError(f"{path} holds no table")
+    table = spark.read.parquet(f"{path}/{now['data']}")
     wanted = spark.createDataFrame([], schema).schema
     missing = [f.name for f in wanted if f.name not in table.columns or table.schema[f.name].dataType != f.dataType]
-    if missing or "_version" not in table.columns:
-        raise ValueError(f"{path} lacks {missing or ['_version']}")
-    first = table.select("_version").first()
-    if first is not None and first["_version"] != version:
-        raise ValueError(f"{path} has version {first['_version']}, not {version}")
+    if missing:
+        raise ValueError(f"{path} lacks {missing}")
+    if now["version"] != version:
+        raise ValueError(f"{path} has version {now['version']}, not {version}")
     return table.select(wanted.names)
 
 
-def append_snapshot(rows: DataFrame, folder: str, run_id: int) -> None:
-    """rows (article_id, section, text) as a run: texts that are new by their hash, then the articles that name them.
-    An article never comes before its text; a run repeated adds no text twice."""
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def merge(rows: DataFrame, folder: str, key: str, gone: DataFrame | None = None, buckets: int = BUCKETS) -> list[int]:
+    """rows replace all rows of the same key in the table at folder, and the keys of gone go. Only buckets that have
+    such a key are written anew, beside the old ones; the next version of the folder names them. Returns those buckets.
+    Rows with no key are left out. A folder keeps the number of buckets that it began with."""
     spark = rows.sparkSession
-    hashed = rows.withColumn("text_hash", F.substring(F.sha2("text", 256), 1, 16))
-    texts = hashed.select("text_hash", "text").dropDuplicates(["text_hash"])
-    if (lambda fs, p: fs.exists(p))(*_at(spark, f"{folder}/texts")):
-        texts = texts.join(spark.read.parquet(f"{folder}/texts").select("text_hash"), "text_hash", "left_anti")
-    texts.write.mode("append").parquet(f"{folder}/texts")
-    articles = hashed.select(F.lit(run_id).alias("run_id"), "article_id", "section", "text_hash", F.length("text").alias("chars"))
-    articles.write.mode("append").parquet(f"{folder}/articles")
-
-
-def save_sessions(messages: DataFrame, folder: str) -> None:
-    """messages (conv_id, turn, role, text): the sessions named replace those of the same number, others stay."""
-    messages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("conv_id").json(folder)
+    number, before = versions.current(spark, folder)
+    buckets = before.get("buckets", buckets)
+    rows = rows.filter(F.col(key).isNotNull())
+    keys = rows.select(key) if gone is None else rows.select(key).union(gone.select(key))
+    touched = sorted(r["b"] for r in keys.select(_bucket(key, buckets).alias("b")).distinct().collect())  # no more than there are buckets
+    held = {int(b): name for b, name in before.get("held", {}).items()}
+    name = f"part-{uuid.uuid4().hex}"
+    old = [f"{folder}/{held[b]}/bucket={b}" for b in touched if b in held]
+    out = rows
+    if old:
+        out = spark.read.schema(rows.schema).parquet(*old).join(keys.distinct(), key, "left_anti").select(rows.columns).union(rows)
+    out.withColumn("bucket", _bucket(key, buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/{name}")
+    for b in touched:
+        held.pop(b, None)
+        if versions.exists(spark, f"{folder}/{name}/bucket={b}"):
+            held[b] = name
+    schema = rows.schema.json()
+    versions.commit(spark, folder, number, {"held": held, "buckets": buckets, "schema": schema})
+    return touched
+
+
+def merged(spark: SparkSession, folder: str) -> DataFrame:
+    """The table that merge() keeps at folder."""
+    number, now = versions.current(spark, folder)
+    if not number:
+        raise ValueError(f"{folder} holds no table")
+    schema = StructType.fromJson(json.loads(now["schema"]))
+    paths = [f"{folder}/{name}/bucket={b}" for b, name in now["held"].items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def save_sessions(messages: DataFrame, folder: str, emptied: DataFrame | None = None) -> None:
+    """messages (conv_id, turn, role, text): the sessions named replace those of the same number, those of emptied are
+    deleted, others stay."""
+    merge(messages, folder, "conv_id", emptied)
 
 
 def guarded(edits: DataFrame, current: DataFrame) -> DataFrame:
