@@ -216,6 +216,22 @@ def queued(requests: DataFrame, patience: float = 60.0) -> DataFrame:
     return ordered.select("server", "request_id", "arrived", "work").mapInPandas(run, "server long, request_id long, fate string, began double")
 
 
+def move_candidate(stored: dict, waits: dict, key: str, value: str | None, action: str) -> str:
+    """Propose, accept or reject an entry for key in the memory stored, where proposals wait in waits; what came of it."""
+    if action == "propose":
+        done = "same as stored" if key in stored and stored[key] == value else "supersedes" if key in waits else "proposed"
+        waits.pop(key, None)
+        if done != "same as stored":
+            waits[key] = value
+        return done
+    if key not in waits:
+        return "nothing waits"
+    proposed = waits.pop(key)
+    if action == "accept":
+        stored[key] = proposed
+    return f"{action}ed"
+
+
 def candidate_queue(moves: DataFrame) -> DataFrame:
     """moves (session, seq, key, value, action): propose, accept or reject of memory entries. A new proposal for a key
     replaces the one before; one that equals the stored entry removes it; every move with what is stored and waits."""
@@ -227,17 +243,7 @@ def candidate_queue(moves: DataFrame) -> DataFrame:
             for s, key, value, action in zip(batch["session"], batch["key"], batch["value"], batch["action"]):
                 if s != session:
                     session, stored, waits = s, {}, {}
-                if action == "propose":
-                    done = "same as stored" if stored.get(key) == value else "supersedes" if key in waits else "proposed"
-                    waits.pop(key, None)
-                    if done != "same as stored":
-                        waits[key] = value
-                elif key not in waits:
-                    done = "nothing waits"
-                else:
-                    done, proposed = f"{action}ed", waits.pop(key)
-                    if action == "accept":
-                        stored[key] = proposed
+                done = move_candidate(stored, waits, key, value, action)
                 out.append((done, stored.get(key), waits.get(key), len(waits)))
             made = pd.DataFrame(out, columns=["outcome", "stored", "waiting", "queue"])
             yield pd.concat([batch[["session", "seq", "key"]].reset_index(drop=True), made], axis=1)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnsift.operators.state import candidate_queue, queued, rate_limited, state_machine
-from tarnsift.session import table
+from tarnsift.session import scratch_dir, table
+from tarnsift.streaming.ordered import PROVIDER, candidates, tasks
 from tarnsift.streaming.windows import sessions, tumbling_counts
 
 
@@ -58,11 +61,57 @@ def z5_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", status.alias("status"), F.when(status == 429, F.col("retry_after")).alias("retry_after"))
 
 
-def u8_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves = table(spark, sf_dir, "events").select(
+def candidate_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("key"), (F.col("value") % 3).cast("int").cast("string").alias("value"),
         F.when(F.col("event_id") % 3 == 0, "accept").when(F.col("event_id") % 7 == 0, "reject").otherwise("propose").alias("action"))
-    return candidate_queue(moves)
+
+
+def u8_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidate_queue(candidate_moves(spark, sf_dir))
+
+
+#: Arrivals that a stream is run over one after another; seconds that an event comes late at most.
+ARRIVALS, LATE = 3, 1800
+
+
+def streamed(rows: DataFrame, key: str, fold: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """What fold makes of rows as a stream: they come in ARRIVALS parts, up to LATE seconds late, a fifth of them twice. The
+    stream is stopped and started again between the parts; a last event far in the future lets all others through."""
+    spark, folder = rows.sparkSession, scratch_dir(rows.sparkSession)
+    first, last = rows.agg(F.min(F.col("at").cast("double")), F.max(F.col("at").cast("double"))).first()
+    if first is None:
+        return spark.createDataFrame([], fold(rows, "1 hour").schema)
+    shift = lambda salt: F.pmod(F.xxhash64("seq", F.lit(salt)), F.lit(LATE))
+    part = lambda salt: F.floor((F.col("at").cast("double") + shift(salt) - first) / (last - first + 1) * ARRIVALS)
+    both = rows.withColumn("_part", part(1)).union(rows.filter("seq % 5 = 0").withColumn("_part", part(2)))
+    end = rows.limit(1).withColumn(key, F.lit(-1).cast(dict(rows.dtypes)[key])).withColumn("at", F.timestamp_seconds(F.lit(last + 10 * 86400)))
+    provider = spark.conf.get(PROVIDER[0])
+    spark.conf.set(*PROVIDER)
+    try:
+        for k in range(ARRIVALS + 1):
+            arrived = both.filter(F.col("_part") == k) if k < ARRIVALS else both.filter(F.col("_part") >= k)
+            arrived = arrived.drop("_part").union(end) if k == ARRIVALS else arrived.drop("_part")
+            arrived.write.mode("append").parquet(f"{folder}/arrived")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/arrived")
+            out = fold(stream, f"{2 * LATE} seconds").writeStream.format("parquet").option("path", f"{folder}/folded").option("checkpointLocation", f"{folder}/checkpoint")
+            out.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER[0], provider)
+    return spark.read.schema(fold(rows.limit(0), "1 hour").schema).parquet(f"{folder}/folded").filter(F.col(key) != -1)
+
+
+def z6_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task state machine as a stream: late and repeated events give what the ordered table gives."""
+    times = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"))
+    events = task_events(spark, sf_dir).withColumn("position", F.col("seq")).join(times, "seq")
+    return streamed(events, "task", tasks)
+
+
+def u8_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate queue as a stream: late and repeated moves give what the ordered table gives."""
+    times = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"))
+    return streamed(candidate_moves(spark, sf_dir).join(times, "seq"), "session", candidates)
 
 
 def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +122,27 @@ def window_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(table(spark, sf_dir, "events"))
 
 
-QUERIES = {"Z3_rate_limiter": z3_rate_limiter, "Z6_state_machine": z6_state_machine, "Z4_queue": z4_queue, "Z5_admission_pipeline": z5_admission, "U8_candidates": u8_candidates, "X1_tumbling_windows": window_counts, "X2_sessions": window_sessions}
+QUERIES = {"Z3_rate_limiter": z3_rate_limiter, "Z6_state_machine": z6_state_machine, "Z4_queue": z4_queue, "Z5_admission_pipeline": z5_admission, "U8_candidates": u8_candidates, "Z6_state_machine_stream": z6_stream, "U8_candidates_stream": u8_stream, "X1_tumbling_windows": window_counts, "X2_sessions": window_sessions}
+_CANDIDATES_SQL = """
+    WITH RECURSIVE moves AS (
+        SELECT user_id AS session, event_id AS seq, event_type AS key, trunc(value % 3)::INTEGER::VARCHAR AS value,
+               CASE WHEN event_id % 3 = 0 THEN 'accept' WHEN event_id % 7 = 0 THEN 'reject' ELSE 'propose' END AS action,
+               row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events),
+    fold AS (
+        SELECT session, key, n, seq, 0 AS was, CASE WHEN action = 'propose' THEN 'proposed' ELSE 'nothing waits' END AS outcome,
+               NULL::VARCHAR AS stored, CASE WHEN action = 'propose' THEN value END AS waiting FROM moves WHERE n = 1
+        UNION ALL
+        SELECT m.session, m.key, m.n, m.seq, (f.waiting IS NOT NULL)::INT,
+               CASE WHEN action = 'propose' THEN CASE WHEN m.value = f.stored THEN 'same as stored' WHEN f.waiting IS NOT NULL THEN 'supersedes' ELSE 'proposed' END
+                    WHEN f.waiting IS NULL THEN 'nothing waits' ELSE action || 'ed' END,
+               CASE WHEN action = 'accept' AND f.waiting IS NOT NULL THEN f.waiting ELSE f.stored END,
+               CASE WHEN action = 'propose' AND m.value IS DISTINCT FROM f.stored THEN m.value END
+        FROM fold AS f JOIN moves AS m ON m.session = f.session AND m.key = f.key AND m.n = f.n + 1)
+    SELECT session, seq, key, outcome, stored, waiting, (sum((waiting IS NOT NULL)::INT - was) OVER (PARTITION BY session ORDER BY seq))::BIGINT AS queue FROM fold"""
+
 ORACLE_SQL = {
+    "U8_candidates": _CANDIDATES_SQL,
+    "U8_candidates_stream": _CANDIDATES_SQL,
     "X1_tumbling_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "X2_sessions": """
     SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (
