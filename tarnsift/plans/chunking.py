@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnsift.operators import chunking
+from tarnsift.operators import chunking, line_chunks
 from tarnsift.plans.sql import pairs
 from tarnsift.session import table
 
@@ -15,7 +15,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t7_section_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.section_units(_documents(spark, sf_dir))
+    return line_chunks.section_units(_documents(spark, sf_dir))
 
 
 def t9_fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,13 +27,13 @@ def t10_structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t12_markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.markdown_chunks(_documents(spark, sf_dir))
+    return line_chunks.markdown_chunks(_documents(spark, sf_dir))
 
 
 def t13_code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page sources stand for code, one tag a line."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("><"), F.lit(">\n\n<")).alias("html"))
-    return chunking.code_chunks(pages, "html", "page_id")
+    return line_chunks.code_chunks(pages, "html", "page_id")
 
 
 def g1_chunk_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +102,21 @@ QUERIES = {"T7_section_units": t7_section_units, "T9_fixed_chunks": t9_fixed_chu
            "T13_code_chunks": t13_code_chunks, "G1_chunk_comparison": g1_chunk_comparison, "J8_overlapping_lines": j8_overlapping_lines, "J10_section_at_start": j10_section_at_start,
            "J11_page_at_offset": j11_page_at_offset}
 ORACLE_SQL: dict[str, str] = {
+    "T7_section_units": rf"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text <> ''),
+    p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM l),
+    t AS (
+        SELECT doc_id, n, place + length(regexp_extract(line, '^\s*')) AS b, place + length(regexp_replace(line, '\s+$', '')) AS e, regexp_replace(line, '^\s+|\s+$', '', 'g') AS said
+        FROM p WHERE regexp_matches(line, '\S')),
+    h AS (SELECT *, regexp_matches(said, '{line_chunks.HEADING}') AS head FROM t),
+    u AS (
+        SELECT *, sum((was IS NULL OR (head AND NOT was))::INT) OVER (PARTITION BY doc_id ORDER BY n) AS unit
+        FROM (SELECT *, lag(head) OVER (PARTITION BY doc_id ORDER BY n) AS was FROM h)),
+    g AS (
+        SELECT doc_id, unit, min(b) AS s, max(e) AS e, bool_or(NOT head) AS body, coalesce(string_agg(regexp_replace(said, '^[# ]+', ''), ' · ' ORDER BY n) FILTER (head), '') AS name
+        FROM u GROUP BY doc_id, unit)
+    SELECT doc_id, unit::BIGINT AS ordinal, s::BIGINT AS char_start, until::BIGINT AS char_end, name FROM (
+        SELECT *, CASE WHEN NOT lead(body) OVER w THEN lead(e) OVER w ELSE e END AS until FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY unit)) WHERE body OR unit = 1""",
     "J11_page_at_offset": f"""{_MARKS}
     SELECT a.doc, a.place AS "offset", max_by(m.page, m.place)::BIGINT AS page FROM asked a LEFT JOIN marks m ON m.doc = a.doc AND m.place <= a.place GROUP BY a.doc, a.place""",
 }
