@@ -200,8 +200,13 @@ def digests(blocks: DataFrame) -> DataFrame:
         if now is not None:
             yield pd.DataFrame([closed()]).astype({"conv_id": "Int64"})
 
-    # blocks themselves are compared only where a turn is repeated
-    ordered = blocks.withColumn("_tie", F.substring("block", 1, 64)).repartition("conv_id").sortWithinPartitions("conv_id", "seq", "_tie", "block")
+    # turns of one number go by role, then text, as they were before marks were escaped
+    bare = lambda x: F.regexp_replace(x, r"(?s)\\(.)", "$1")
+    head = F.substring_index("block", "\n", 1)
+    role = bare(F.replace(F.expr("substr(_head, 5, length(_head) - 5)"), F.lit("\\n"), F.lit("\n")))
+    text = bare(F.expr("substr(block, length(_head) + 2, length(block) - length(_head) - 10)"))
+    dealt = blocks.repartition("conv_id").withColumn("_head", head).withColumn("_role", role).withColumn("_text", text)
+    ordered = dealt.sortWithinPartitions("conv_id", "seq", "_role", "_text")
     return ordered.select("conv_id", "block", "mask_start", "mask_end").mapInPandas(
         read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

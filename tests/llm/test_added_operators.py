@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnsift.llm import centroid_clusters, filter_audit, mixture
+from tarnsift.llm import centroid_clusters, chat_format, filter_audit, mixture
 
 SF = "/root/testdata/sf0.001"
 VECTORS = "vec_id long, embedding array<float>, label int, x string, cluster string"
@@ -169,3 +169,11 @@ def test_mixture_takes_good_documents_first(spark):
     assert took[1] > 1.3 * took[0] > 0
     once = mixture.mix(docs, weight=F.lit(1.0), budget=0.5, weights=(1,)).collect()
     assert {r["taken"] // r["size"] for r in once if r["taken"] in (0, r["size"])} == {0, 1}
+
+
+def test_turns_of_one_number_go_by_role_then_text(spark):
+    said = [(1, 0, role, text) for role in ("user", "us", "a:b", "a\nb") for text in ("#x", "$", "x", "x y", "", "\\", "</turn>")]
+    blocks = chat_format.formatted(spark.createDataFrame(said, "conv_id long, seq long, role string, text string").repartition(4))
+    row = chat_format.digests(blocks).first()
+    want = "".join(f"{role}\n{text}\n" for _, _, role, text in sorted(said, key=lambda x: (x[2].encode(), x[3].encode())))
+    assert row["turns_sha256"] == hashlib.sha256(want.encode()).hexdigest()
