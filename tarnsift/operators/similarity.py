@@ -20,13 +20,17 @@ def ranked(rows: DataFrame, by: list[str], score: str, tie: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(window).cast("long"))
 
 
-def _blocks(rows: DataFrame, id_: str, vector: str, label: str, most: int) -> tuple[DataFrame, int]:
-    """One row per block of about most rows, dealt by a hash of the id: ids, labels and vectors as one array each."""
+def _blocks(rows: DataFrame, id_: str, vector: str, label: str, most: int, masked: bool) -> tuple[DataFrame, int]:
+    """One row per block of about most rows, dealt by a hash of the id: ids, labels and vectors as one array each. masked:
+    blocks of one label each, with it as mask."""
     n = rows.count()
     count = max(1, -(-n // most))
     block = F.pmod(F.xxhash64(id_), F.lit(count)).alias("block")
     packed = rows.select(block, F.col(id_).cast("long").alias("id"), F.col(label).cast("int").alias("label"), F.col(vector).alias("v"))
-    return packed.groupBy("block").agg(F.collect_list(F.struct("id", "label", "v")).alias("rows")).drop("block"), count
+    if masked:
+        packed = packed.filter("label IS NOT NULL").withColumn("mask", F.col("label"))
+    by = ["mask", "block"] if masked else ["block"]
+    return packed.groupBy(*by).agg(F.collect_list(F.struct("id", "label", "v")).alias("rows")).drop("block"), count
 
 
 def _matrix(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,15 +42,17 @@ def _matrix(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def top_cosine(queries: DataFrame, chunks: DataFrame, k: int, masked: bool = False) -> DataFrame:
     """The k best chunks (chunk_id, vector, chunk_label) of every query (query_id, query_vector, query_label), with
-    rank; masked: only chunks of the query's label, a mask that goes before any score.
+    rank; masked: only chunks of the query's label, a mask that goes before any score: blocks are of one label then,
+    and meet those of the same one.
 
     Blocks of queries meet blocks of chunks; each pair of blocks is one matrix product that leaves the k best of the
     block for every query, so what is shuffled is queries x k for each block of chunks. Vectors of other lengths than their
     block's, or null, have no score."""
-    left, count = _blocks(queries, "query_id", "query_vector", "query_label", QUERY_BLOCK)
-    right, _ = _blocks(chunks, "chunk_id", "vector", "chunk_label", CHUNK_BLOCK)
+    left, count = _blocks(queries, "query_id", "query_vector", "query_label", QUERY_BLOCK, masked)
+    right, _ = _blocks(chunks, "chunk_id", "vector", "chunk_label", CHUNK_BLOCK, masked)
     left = left.withColumnRenamed("rows", "asked")
-    pairs = right.crossJoin(F.broadcast(left) if count <= BROADCAST_BLOCKS else left)
+    left = F.broadcast(left) if count <= BROADCAST_BLOCKS else left
+    pairs = right.join(left, "mask") if masked else right.crossJoin(left)
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -57,8 +63,6 @@ def top_cosine(queries: DataFrame, chunks: DataFrame, k: int, masked: bool = Fal
                     continue
                 scores = np.round(q_vectors @ vectors.T, 6)
                 scores[np.isnan(scores)] = -np.inf
-                if masked:
-                    scores[q_labels[:, None] != labels[None, :]] = -np.inf
                 order = np.argsort(ids, kind="stable")
                 best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
                 top = np.take_along_axis(scores, best, 1)

@@ -93,7 +93,7 @@ QUERIES, ORACLE_SQL = pairs({
         WHERE n = 1 AND v IS NOT NULL""",
     "U11_branch": "SELECT conv_id, turn, role, 'branch-1' AS branch_id FROM conversations WHERE turn < 3",
     "U10_first_occurrence": """
-        SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) x WHERE n = 1""",
+        SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY md5(text))""",
     "F10_period_filter": """
         SELECT event_id, value >= 5 AS ok FROM events, (SELECT max(ts) AS now FROM events) m WHERE ts >= now - INTERVAL 7 DAY""",
     "F12_freshness": """

@@ -57,9 +57,8 @@ QUERIES, ORACLE_SQL = pairs({
         """SELECT path FROM (SELECT DISTINCT {path} AS path FROM pages) x WHERE {wanted} ORDER BY path LIMIT 300""",
         path=(r"regexp_extract(url, '://([^?#]*)', 1)", r"regexp_extract(url, '://([^?#]*)', 1)"), wanted=("path LIKE '%/en/%'", "path LIKE '%/en/%'")),
     "S21_cursor_paging": """
-        WITH RECURSIVE tools AS (SELECT p_brand AS server, p_partkey AS cursor_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part),
-        walk(server, n, page) AS (SELECT server, n, 1 FROM tools WHERE n = 1 UNION ALL SELECT t.server, t.n, w.page + 1 FROM walk w JOIN tools t ON t.server = w.server AND t.n = w.n + 5 WHERE w.page < 40)
-        SELECT w.server, w.page, count(*) AS tools, min(t.cursor_id) AS first_tool FROM walk w JOIN tools t ON t.server = w.server AND t.n BETWEEN w.n AND w.n + 4 GROUP BY w.server, w.page""",
+        SELECT server, CAST(floor((n - 1) / 5) AS INT) + 1 AS page, count(*) AS tools, min(cursor_id) AS first_tool FROM (
+            SELECT p_brand AS server, p_partkey AS cursor_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) t GROUP BY 1, 2""",
     "K6_search_log": """
         SELECT conv_id AS search_id, position, turn AS article_id FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS position FROM conversations WHERE role = 'assistant') x WHERE position <= 10""",
     "K9_saved_names": _both(

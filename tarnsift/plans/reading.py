@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsift.operators import budgets, cleaned, line_chunks, ordered_parts, profiles
-from tarnsift.session import table
+from tarnsift.operators import budgets, cleaned, line_chunks, ordered_parts, profiles, ranks
+from tarnsift.session import scratch_dir, table
 
 #: Lines of a page; letter sizes stand in for those of a printed page.
 PAGE, DROPPED_PAGE, LEAST_SIZE = 30, 2, 8.0
@@ -92,7 +92,37 @@ def j24_profile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.compared(old, told(part.filter("p_partkey % 4 = 0 AND p_brand <> 'Brand#7'"), F.concat(F.lit(" "), F.upper("p_brand"))))
 
 
-QUERIES = {"T1_cleaned": t1_cleaned, "T1_places": t1_places, "F4_dropped_by_rule": f4_dropped_by_rule, "T8_glossary_units": t8_glossary_units, "L4_degraded_lists": l4_degraded, "T40_tickets": t40_tickets,
+def l7_numeric_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a letter and a number, placed by the number."""
+    number = F.regexp_extract("id", "([0-9]+)", 1).cast("int")
+    ids = table(spark, sf_dir, "documents").select(F.col("source").alias("id")).distinct().withColumn("n", number)
+    return ranks.numbered(ids, ["n", "id"], "place", f"{scratch_dir(spark)}/ids").select("id", F.col("place").cast("int").alias("place"))
+
+
+def s7_events_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a snapshot in the order in which they came, numbered over the whole of it."""
+    late = table(spark, sf_dir, "orders").filter("year(o_orderdate) <= 1996").select("o_orderdate", "o_orderkey", "o_orderstatus")
+    return ranks.numbered(late, ["o_orderdate", "o_orderkey"], "row_no", f"{scratch_dir(spark)}/rows").select("row_no", "o_orderkey", "o_orderstatus")
+
+
+def t24_replaced_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edit that replaces a text which must stand in the document exactly once; places that overlap count each."""
+    needle = "anan"
+    hits = F.regexp_count("text", F.lit(f"(?={needle})"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", hits.alias("hits"))
+    fate = F.when(F.col("hits") == 0, "not found").when(F.col("hits") > 1, "not once").otherwise("applied")
+    at = F.instr("text", needle)
+    edited = F.when(F.col("hits") == 1, F.concat(F.substring("text", F.lit(1), at - 1), F.lit("_"), F.substring("text", at + len(needle), F.length("text")))).otherwise(F.col("text"))
+    return docs.select("doc_id", F.col("hits").cast("long").alias("hits"), fate.alias("fate"), F.md5(edited).alias("md5"))
+
+
+def t25_folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal words of documents whose letters ê are written ё first: lower case, ё as е, letters and digits only."""
+    words = ordered_parts.words(F.translate("text", "êÊ", "ёЁ"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n"), F.md5(F.array_join(words, " ")).alias("md5"))
+
+
+QUERIES = {"L7_numeric_ids": l7_numeric_ids, "S7_events_in_order": s7_events_in_order, "T24_replaced_once": t24_replaced_once, "T25_folded_words": t25_folded_words, "T1_cleaned": t1_cleaned, "T1_places": t1_places, "F4_dropped_by_rule": f4_dropped_by_rule, "T8_glossary_units": t8_glossary_units, "L4_degraded_lists": l4_degraded, "T40_tickets": t40_tickets,
            "T26_benchmark_parts": t26_benchmark_parts, "J24_profile_fields": j24_profile_fields}
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -120,6 +150,14 @@ _TOLD = rf"""
                CASE WHEN coalesce(lead(joined) OVER (PARTITION BY doc_id ORDER BY n) = 'hyphen', FALSE) THEN substr(said, 1, length(said) - 1) ELSE said END AS piece FROM j),
     clean AS (SELECT doc_id, string_agg(gap || piece, '' ORDER BY n) AS text, count(*) FILTER (joined = 'paragraph') AS paragraphs, count(*) FILTER (joined = 'hyphen') AS hyphens FROM p GROUP BY doc_id)"""
 ORACLE_SQL = {
+    "L7_numeric_ids": "SELECT id, dense_rank() OVER (ORDER BY regexp_extract(id, '([0-9]+)', 1)::INT)::INTEGER AS place FROM (SELECT DISTINCT source AS id FROM documents)",
+    "S7_events_in_order": "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_no, o_orderkey, o_orderstatus FROM orders WHERE year(o_orderdate) <= 1996",
+    "T24_replaced_once": """
+    SELECT doc_id, hits, CASE WHEN hits = 0 THEN 'not found' WHEN hits > 1 THEN 'not once' ELSE 'applied' END AS fate, md5(CASE WHEN hits = 1 THEN replace(text, 'anan', '_') ELSE text END) AS md5 FROM (
+        SELECT doc_id, text, list_sum([len([i for i in range(1, length(l)) if l[i : i + 3] = 'anan']) for l in string_split(text, ' ')])::BIGINT AS hits FROM documents)""",
+    "T25_folded_words": r"""
+    SELECT doc_id, len(w)::INTEGER AS n, md5(array_to_string(w, ' ')) AS md5 FROM (
+        SELECT doc_id, regexp_extract_all(translate(lower(translate(text, 'êÊ', 'ёЁ')), 'ё', 'е'), '[\p{L}\p{N}]+|#') AS w FROM documents)""",
     "T40_tickets": """
     WITH m AS (SELECT conv_id AS ticket, turn AS n, role AS sender, coalesce(text, '') AS text, role || ': ' || coalesce(text, '') AS line FROM conversations),
     t AS (

@@ -123,9 +123,6 @@ QUERIES, ORACLE_SQL = pairs({
         nl=(r"'\n'", "chr(10)")),
     "L6_severity_order": """
         SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 2 ELSE 3 END, o_orderkey) AS place FROM orders""",
-    "L7_numeric_ids": _both(
-        """SELECT id, dense_rank() OVER (ORDER BY {n}) AS place FROM (SELECT DISTINCT source AS id FROM documents) x""",
-        n=("CAST(regexp_extract(id, '([0-9]+)', 1) AS INT)", "CAST(regexp_extract(id, '([0-9]+)', 1) AS INT)")),
     "W3_fold_trigger": """
         SELECT conv_id, turn, CAST(CASE WHEN seen <= 6 THEN 0 ELSE floor((seen - 6) / 6) * 6 END AS BIGINT) AS covered FROM (
             SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seen FROM conversations) x""",
