@@ -2,9 +2,12 @@
 
 Overlapping heuristic labellers vote good (1), bad (-1) or nothing (0) on every document. How often each
 pattern of votes occurs is counted over the corpus: at most 3 to the number of labellers rows, whatever its
-size. Expectation-maximisation over the patterns estimates each labeller's accuracy without any true label,
-and each pattern's posterior. A hashed linear scorer then learns the posteriors from byte trigrams of a
-bounded sample of documents (TRAIN_ROWS, chosen by the hash of their id) and scores every whole text.
+size. Expectation-maximisation over the patterns estimates, without any true label, how often each labeller votes
+which way on good documents and on bad ones. Bad documents are of as many kinds as there are labellers, each a kind that one
+labeller is made for and the others may take for good; so six votes for good don't outweigh the one that knows. What
+a pattern leaves to the good class is its posterior. A hashed linear scorer then learns the posteriors from byte trigrams of a
+bounded sample of documents (TRAIN_ROWS, chosen by the hash of their id) and scores every whole text. A text is kept for its
+score, or where the labellers leave little doubt: a short text has few trigrams to judge by.
 
 Defined cases: null text is empty and scores by the scorer's bias; equal rows score alike; an empty table
 gives an empty result; columns besides doc_id and text are ignored.
@@ -21,10 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize, sampled, words
 
-#: Rows that the scorer is fitted on, hashed trigram buckets, steps of each fit, score from which text is kept.
-TRAIN_ROWS, BUCKETS, EM_STEPS, FIT_STEPS, KEEP_FROM = 4000, 2048, 60, 300, 0.35
-#: Where the model starts: share of good documents, accuracy of a labeller, and how many votes that counts for.
-PRIOR_GOOD, PRIOR_RIGHT, PRIOR_VOTES = 0.8, 0.8, 20
+#: Rows that the scorer is fitted on, hashed trigram buckets, steps of each fit, score and posterior from which a text is kept.
+TRAIN_ROWS, BUCKETS, EM_STEPS, FIT_STEPS, KEEP_FROM, SURE = 4000, 2048, 60, 300, 0.4, 0.9
+#: Where the model starts: share of good documents; rates of votes for bad, nothing and good on good documents, on those bad in the way that a
+#: labeller is made for, and on other bad ones; how many documents that counts for.
+PRIOR_GOOD, ON_GOOD, ON_OWN, ON_OTHER, PRIOR_VOTES = 0.8, (0.005, 0.195, 0.8), (0.8, 0.1, 0.1), (0.1, 0.3, 0.6), 20
+#: Labellers are made so that they call at most so many good documents bad; without that, a frequent kind of bad could pass for good.
+MOST_WRONG = 0.005
 LABELLERS = ("symbols", "capitals", "marks", "variety", "word_length", "prose", "sentences")
 
 
@@ -43,35 +49,44 @@ def votes(docs: DataFrame) -> DataFrame:
     def vote(bad: Column, good: Column) -> Column:
         return F.when(bad, "0").when(good, "2").otherwise("1")
 
-    never = F.lit(False)
+    variety = F.col("distinct") / F.sqrt(F.greatest(F.col("n"), F.lit(1)) * 20)
     made = [
-        vote(share("symbols", "chars") > 0.05, never),
-        vote(share("capitals", "chars") > 0.3, never),
-        vote(F.col("marks") > 0.1 * F.col("n"), never),
-        vote((F.col("n") >= 30) & (F.col("distinct") < 0.3 * F.sqrt(F.col("n") * 20)), never),
-        vote((per_word > 14) | (per_word < 2.0), never),
-        vote(F.col("plain") < 0.6 * F.col("n"), F.col("plain") >= 0.85 * F.col("n")),
-        vote(F.col("stops") < 0.02 * F.col("n"), never),
+        vote(share("symbols", "chars") > 0.05, share("symbols", "chars") < 0.002),
+        vote(share("capitals", "chars") > 0.3, share("capitals", "chars") < 0.08),
+        vote(share("marks", "n") > 0.1, share("marks", "n") < 0.01),
+        vote((F.col("n") >= 30) & (variety < 0.45), (F.col("n") >= 30) & (variety >= 0.8)),
+        vote((per_word > 14) | (per_word < 2.0), per_word.between(3.5, 8.0)),
+        vote(share("plain", "n") < 0.6, share("plain", "n") >= 0.85),
+        vote(share("stops", "n") < 0.02, share("stops", "n").between(0.05, 0.5)),
     ]
+    made = [F.when(F.col("n") > 0, m).otherwise("1") for m in made[:4]] + [F.when(F.col("n") > 0, m).otherwise("0") for m in made[4:]]
     return rows.select("doc_id", "text", F.concat(*made).alias("votes"))
 
 
 def label_model(counts: dict[str, int]) -> tuple[np.ndarray, dict[str, float]]:
-    """Accuracy of each labeller when it votes, and the posterior of good per pattern. The share of good documents is
-    estimated along with the accuracies; what is known before counts for PRIOR_VOTES votes, whatever the corpus."""
+    """Rates of votes (good or bad documents x labeller x vote) and the posterior of good per pattern. Classes are good and
+    one kind of bad for each labeller; shares and rates are estimated together, and what is known before counts for PRIOR_VOTES documents."""
     patterns = sorted(counts)
-    cast = np.array([[int(c) for c in p] for p in patterns])  # pattern x labeller: 0, 1, 2
+    cast = (np.array([[int(c) for c in p] for p in patterns])[:, :, None] == np.arange(3)).astype(float)  # pattern x labeller x vote
     weight = np.array([counts[p] for p in patterns], float)
-    sign = cast - 1
-    right, share = np.full(cast.shape[1], PRIOR_RIGHT), PRIOR_GOOD
-    voted = ((sign != 0) * weight[:, None]).sum(0)
+    labellers = cast.shape[1]
+    before = np.tile(np.array(ON_OTHER), (labellers + 1, labellers, 1))
+    before[0] = ON_GOOD
+    before[np.arange(labellers) + 1, np.arange(labellers)] = ON_OWN
+    known = np.array([PRIOR_GOOD] + [(1 - PRIOR_GOOD) / labellers] * labellers)
+    rates, shares = before, known
     for _ in range(EM_STEPS):
-        odds = np.log(share / (1 - share)) + sign @ np.log(right / (1 - right))
-        good = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        agree = ((sign == 1) * (weight * good)[:, None] + (sign == -1) * (weight * (1 - good))[:, None]).sum(0)
-        right = np.clip((agree + PRIOR_RIGHT * PRIOR_VOTES) / (voted + PRIOR_VOTES), 0.55, 0.995)
-        share = np.clip((weight @ good + PRIOR_GOOD * PRIOR_VOTES) / (weight.sum() + PRIOR_VOTES), 0.05, 0.95)
-    return right, dict(zip(patterns, good.tolist()))
+        log = np.einsum("plv,clv->pc", cast, np.log(rates)) + np.log(shares)
+        belongs = np.exp(log - log.max(1, keepdims=True))
+        belongs /= belongs.sum(1, keepdims=True)
+        rows = weight[:, None] * belongs
+        votes_ = np.einsum("pc,plv->clv", rows, cast)
+        rates = (votes_ + before * PRIOR_VOTES) / (votes_ + before * PRIOR_VOTES).sum(2, keepdims=True)
+        rates[0, :, 0] = np.minimum(rates[0, :, 0], MOST_WRONG)
+        rates[0] /= rates[0].sum(1, keepdims=True)
+        shares = (rows.sum(0) + known * PRIOR_VOTES) / (weight.sum() + PRIOR_VOTES)
+    bad = (rates[1:] * shares[1:, None, None]).sum(0) / shares[1:].sum()
+    return np.stack([rates[0], bad]), dict(zip(patterns, belongs[:, 0].tolist()))
 
 
 def features(text: str | None) -> np.ndarray:
@@ -128,4 +143,4 @@ def classify(docs: DataFrame) -> DataFrame:
             yield pd.Series([1 / (1 + np.exp(-float(np.clip(features(t) @ shared.value + bias, -30, 30)))) for t in batch], dtype="float64")
 
     out = votes(docs).select("doc_id", F.try_element_at(table, "votes").alias("label"), F.round(score("text"), 6).alias("score"))
-    return out.select("doc_id", "label", "score", (F.col("score") >= KEEP_FROM).alias("kept"))
+    return out.select("doc_id", "label", "score", ((F.col("score") >= KEEP_FROM) | F.coalesce(F.col("label") >= SURE, F.lit(False))).alias("kept"))
