@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -95,3 +96,53 @@ def guarded(edits: DataFrame, current: DataFrame) -> DataFrame:
     rows = now.join(edits, "doc_id", "left")
     fits = F.col("sha") == F.col("now")
     return rows.select("doc_id", F.when(fits, F.col("text")).otherwise(F.col("was")).alias("text"), F.when(F.col("sha").isNull(), "unchanged").when(fits, "applied").otherwise("refused").alias("fate"))
+
+
+def migrate(spark: SparkSession, path: str, to: int, steps: dict[int, Callable[[DataFrame], DataFrame]]) -> int:
+    """Bring the table published at path up to version to, by the step of each version on the way; it is published anew once, and readers
+    see the old table until then. Returns the version that it had."""
+    number, now = versions.current(spark, path)
+    if not number:
+        raise ValueError(f"{path} holds no table")
+    table, had = spark.read.parquet(f"{path}/{now['data']}"), now["version"]
+    if had > to:
+        raise ValueError(f"{path} has version {had}, above {to}")
+    for version in range(had, to):
+        table = steps[version](table)
+    if had < to:
+        publish(table, path, to)
+    return had
+
+
+def slug(name: str | Column, longest: int = 40) -> Column:
+    """A safe name: small letters, digits and single dashes; note if nothing is left."""
+    bare = F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-")
+    return F.coalesce(F.nullif(F.btrim(F.substring(F.btrim(bare, F.lit("-")), 1, longest), F.lit("-")), F.lit("")), F.lit("note"))
+
+
+def save_notes(notes: DataFrame, folder: str) -> DataFrame:
+    """notes (note_id, day, title, text) saved under names that are not taken: day-title.md, then -2, -3 and so on, in the order of note_id; none is
+    ever overwritten. Returns note_id, name, saved: whether what is read back is, by its digest, what was to be saved."""
+    spark = notes.sparkSession
+    base = F.concat_ws("-", F.col("day").cast("string"), slug("title"))
+    rows = notes.select("note_id", base.alias("base"), F.coalesce("text", F.lit("")).alias("text"))
+    number, _ = versions.current(spark, folder)
+    taken = merged(spark, folder).groupBy("base").agg(F.max("n").alias("before")) if number else spark.createDataFrame([], "base string, before int")
+    nth = F.row_number().over(Window.partitionBy("base").orderBy("note_id"))
+    named = rows.withColumn("nth", nth).join(taken, "base", "left").withColumn("n", F.col("nth") + F.coalesce("before", F.lit(0)))
+    name = F.concat("base", F.when(F.col("n") > 1, F.concat(F.lit("-"), "n")).otherwise(""), F.lit(".md"))
+    fresh = named.select(name.alias("name"), "base", "n", "text", "note_id", F.sha2("text", 256).alias("sha256"))
+    held = f"{folder}/_fresh-{uuid.uuid4().hex}"
+    fresh.write.parquet(held)
+    fresh = spark.read.schema(fresh.schema).parquet(held)
+    merge(fresh.select("name", "base", "n", "text"), folder, "name")
+    back = merged(spark, folder).select("name", F.sha2("text", 256).alias("now"))
+    return fresh.join(back, "name", "left").select("note_id", "name", F.coalesce(F.col("now") == F.col("sha256"), F.lit(False)).alias("saved"))
+
+
+def stacked(table: DataFrame, by: str, id_: str, vector: str, most: int = 1024) -> DataFrame:
+    """Vectors of a table stacked into blocks of about most rows of one group: by, block, ids, size (of a vector), values (all in a row, in the order of ids)."""
+    blocks = F.pmod(F.xxhash64(id_), F.lit(max(1, -(-table.count() // most))))
+    rows = table.filter(F.col(vector).isNotNull()).select(by, blocks.alias("block"), F.col(id_).alias("id"), F.col(vector).alias("v"), F.size(vector).alias("size"))
+    packed = rows.groupBy(by, "block", "size").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows"))
+    return packed.select(by, "block", F.transform("rows", lambda r: r["id"]).alias("ids"), "size", F.flatten(F.transform("rows", lambda r: r["v"])).alias("values"))

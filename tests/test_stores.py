@@ -183,3 +183,36 @@ def test_only_changed_documents_are_computed(spark, tmp_path, killing):
     incremental.compact(spark, folder)
     assert rows() == full(texts | {2: "y", 9: "z"}) and build(texts | {2: "y", 9: "z"}, {"cut": "2"})["recomputed"] == 0
     assert build({}, {"cut": "2"})["deleted"] == 5 and rows() == []
+
+
+def test_notes_never_overwrite(spark, tmp_path):
+    folder = str(tmp_path / "notes")
+    notes = lambda *rows: spark.createDataFrame(list(rows), "note_id long, day string, title string, text string")
+    names = lambda frame: {r["note_id"]: (r["name"], r["saved"]) for r in frame.collect()}
+    first = names(store.save_notes(notes((1, "d", "Über  uns!", "a"), (2, "d", "ber-uns", "b"), (3, "d", "???", None), (4, "d", "x" * 60, "long")), folder))
+    assert first == {1: ("d-ber-uns.md", True), 2: ("d-ber-uns-2.md", True), 3: ("d-note.md", True), 4: (f"d-{'x' * 40}.md", True)}
+    assert names(store.save_notes(notes((9, "d", "ber uns", "c"), (8, "d", "new", "d")), folder)) == {9: ("d-ber-uns-3.md", True), 8: ("d-new.md", True)}
+    kept = {r["name"]: r["text"] for r in store.merged(spark, folder).collect()}
+    assert kept["d-ber-uns.md"] == "a" and kept["d-ber-uns-3.md"] == "c" and len(kept) == 6
+
+
+def test_migrations_go_step_by_step(spark, tmp_path, killing):
+    path = str(tmp_path / "table")
+    store.publish(spark.range(3), path, 1)
+    steps = {1: lambda t: t.withColumn("a", F.col("id") + 1), 2: lambda t: t.withColumn("b", F.col("a") * 2)}
+    killing()
+    with pytest.raises(Killed):
+        store.migrate(spark, path, 3, steps)
+    killing.undo()
+    assert store.published(spark, path, "id long", 1).count() == 3
+    assert store.migrate(spark, path, 3, steps) == 1 and store.migrate(spark, path, 3, steps) == 3
+    assert sorted(map(tuple, store.published(spark, path, "id long, a long, b long", 3).collect())) == [(0, 1, 2), (1, 2, 4), (2, 3, 6)]
+    with pytest.raises(ValueError):
+        store.migrate(spark, path, 2, steps)
+
+
+def test_vectors_are_stacked_by_group(spark):
+    rows = [(k, k % 3, [float(k), 1.0]) for k in range(50)] + [(90, 0, None), (91, 0, [1.0])]
+    blocks = store.stacked(spark.createDataFrame(rows, "id long, label int, v array<float>"), "label", "id", "v", most=10).collect()
+    got = {i: r["values"][k * r["size"] : (k + 1) * r["size"]] for r in blocks for k, i in enumerate(r["ids"])}
+    assert got == {i: v for i, _, v in rows if v is not None} and all(r["ids"] == sorted(r["ids"]) for r in blocks)
