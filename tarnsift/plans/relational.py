@@ -99,10 +99,13 @@ QUERIES, ORACLE_SQL = pairs({
     "J20_follow_up": """
         SELECT f.turn AS turn, f.conv_id, c.turn AS control, length(f.text) - length(c.text) AS longer
         FROM conversations f JOIN conversations c ON c.conv_id = f.conv_id AND c.turn = f.turn - 2 AND c.role = f.role""",
-    "J26_call_lineage": """
+    "J26_call_lineage": ("""
+        SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW)
+                         - count(*) OVER (PARTITION BY user_id, event_type, ts) AS earlier FROM events""",
+        """
         SELECT e.event_id, count(p.event_id) AS earlier FROM events e
         LEFT JOIN events p ON p.user_id = e.user_id AND p.event_type = e.event_type AND p.ts < e.ts AND p.ts >= e.ts - INTERVAL 1 HOUR
-        GROUP BY e.event_id""",
+        GROUP BY e.event_id"""),
     "J28_rule_conflicts": """
         SELECT l.l_returnflag, count(o.o_orderkey) AS known, count(*) - count(o.o_orderkey) AS unknown
         FROM lineitem l LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') o ON o.o_orderkey = l.l_orderkey GROUP BY 1""",

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in ("retrieval", "relational", "analytics", "text", "chunking", "state", "records", "answers", "pages", "lookups", "store", "cleaning", "search", "reading", "accounts", "sinks"):
+for _module in ("retrieval", "relational", "analytics", "text", "chunking", "state", "records", "answers", "pages", "lookups", "store", "cleaning", "search", "reading", "accounts", "sinks", "rules"):
     _plans = import_module(f"tarnsift.plans.{_module}")
     QUERIES |= _plans.QUERIES
     ORACLE_SQL |= _plans.ORACLE_SQL
