@@ -73,3 +73,10 @@ def test_first_listing_wins_and_newest_first(spark):
     index = inverted.build(rows, f"{scratch_dir(spark)}/index", {"text": 1}, words=inverted.any_words, order=F.col("at"))
     found = inverted.search(index, spark.createDataFrame([(1, "words words early")], "query_id long, text string"), distinct=True, newest=True).orderBy("place").collect()
     assert [(r["doc_id"], r["score"]) for r in found] == [(7, 2), (8, 1)]
+
+
+def test_beginnings_of_terms_are_never_broadcast(spark):
+    index = inverted.build(spark.createDataFrame([(1, "alpha beta gamma")], "doc_id long, text string"), scratch_dir(spark), {"text": 1})
+    found = inverted.matched_terms(index, spark.createDataFrame([("al",), ("bet",)], "word string"))
+    assert [tuple(r)[:2] for r in found.collect()] == [("bet", "beta")]
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
