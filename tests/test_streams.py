@@ -2,7 +2,9 @@
 
 import datetime
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 
 from tarnsift.operators.state import candidate_queue, state_machine
@@ -55,6 +57,46 @@ def test_positions_count_once_and_late_events_are_dropped(spark, tmp_path):
     assert [(r["seq"], r["stage"], r["outcome"]) for r in got.orderBy("seq").collect()] == [(1, "planning", "ok"), (2, "cancelled", "ok"), (4, "planning", "ok")]
 
 
+class Kept:
+    """A state variable, and the handle that gives it, that count what is asked of them."""
+
+    def __init__(self):
+        self.calls, self.timers, self.rows, self.value = 0, [], [], None
+
+    def getValueState(self, *_):
+        return self
+
+    getListState = getMapState = getValueState
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "registerTimer":
+                self.timers.append(args[0])
+            elif name == "appendList":
+                self.rows += args[0]
+            elif name == "put":
+                self.rows = list(args[0])
+            elif name == "clear":
+                self.rows = []
+            elif name == "update":
+                self.value = args[0]
+            return {"exists": self.value is not None, "get": iter(self.rows)}.get(name)
+
+        return call
+
+
+def test_state_is_asked_for_once_a_batch():
+    fold, kept = ordered.OrderedFold(lambda s, e: (s, (e["x"],)), ["key", "number", "x"]), Kept()
+    fold.init(kept)
+    frame = pd.DataFrame({"fold_at": range(500, 0, -1), "fold_number": range(500), "fold_event": [f'{{"x": {k}}}' for k in range(500)]})
+    list(fold.handleInputRows((1,), iter([frame]), None))
+    assert kept.calls < 10 and kept.timers == [1]
+    times = SimpleNamespace(getCurrentWatermarkInMs=lambda: 401)
+    out = pd.concat(fold.handleExpiredTimer((1,), times, SimpleNamespace(getExpiryTimeInMs=lambda: 1)))
+    assert out["x"].tolist() == list(range(499, 99, -1)) and kept.calls < 20 and kept.timers == [1, 401] and len(kept.rows) == 100
+
+
 def test_the_stream_over_events_equals_the_table(spark):
     got, want = state.z6_stream(spark, SF), state_machine(state.task_events(spark, SF))
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
