@@ -2,11 +2,14 @@
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarnsift.operators import inverted
+from tarnsift.operators import inverted, similarity
 from tarnsift.session import scratch_dir
 
 SF = "/root/testdata/sf0.001"
@@ -75,6 +78,20 @@ def test_first_listing_wins_and_newest_first(spark):
     assert [(r["doc_id"], r["score"]) for r in found] == [(7, 2), (8, 1)]
 
 
+def test_blocks_are_scored_without_an_object_a_row(spark):
+    n, size = 4096, 64
+    values = pa.ListArray.from_arrays(pa.array(range(0, (n + 1) * size, size), pa.int32()), pa.array(np.ones(n * size, np.float32)))
+    block = pa.StructArray.from_arrays([pa.array(range(n)), pa.array([0] * n, pa.int32()), values], ["id", "label", "v"])
+    tracemalloc.start()
+    assert similarity._matrix(block)[2].shape == (n, size) and tracemalloc.get_traced_memory()[1] < 2 * n * size * 8
+    tracemalloc.stop()
+    rows = [(1, [1.0, 0.0], None), (2, [0.6, 0.8], 3), (3, None, 3), (4, [1.0], 3), (5, [float("nan"), 1.0], 3), (6, [None, 1.0], 3), (7, [0.6, 0.8], 4)]
+    vectors = spark.createDataFrame(rows, "id long, v array<float>, label int")
+    found = similarity.top_cosine(vectors.toDF("query_id", "query_vector", "query_label").filter("query_id < 3"), vectors.toDF("chunk_id", "vector", "chunk_label"), 2)
+    got = sorted(tuple(r[c] for c in ("query_id", "rank", "chunk_id", "score", "query_label", "chunk_label")) for r in found.collect())
+    assert got == [(1, 1, 1, 1.0, None, None), (1, 2, 2, 0.6, None, 3), (2, 1, 2, 1.0, 3, 3), (2, 2, 7, 1.0, 3, 4)]
+
+
 def test_beginnings_of_terms_are_never_broadcast(spark):
     index = inverted.build(spark.createDataFrame([(1, "alpha beta gamma")], "doc_id long, text string"), scratch_dir(spark), {"text": 1})
     found = inverted.matched_terms(index, spark.createDataFrame([("al",), ("bet",)], "word string"))
