@@ -82,14 +82,34 @@ def as_integer(value: Column) -> Column:
     return F.when(F.btrim(value).rlike("^[0-9]+$"), F.btrim(value).cast("long"))
 
 
+#: Pieces whose lengths are added up as one on the way to a place.
+PIECES = 64
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value; what a lambda names is worked out anew for each element, so value is given as a variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def sentences(text: Column) -> Column:
     """(start, end, text) of the sentences of a text: ends at signs and closing marks before white space, trimmed."""
-    cut = F.split(text, r"(?<=[.!?…][\"'»”’)\]]{0,5})(?=\s)")
-    size = F.transform(cut, F.length)
-    places = F.transform(cut, lambda t, i: F.struct(F.aggregate(F.slice(size, F.lit(1), i), F.lit(0), lambda s, x: s + x).alias("at"), t.alias("t")))
-    told = F.transform(places, lambda p: F.struct(
-        (p["at"] + F.length(F.regexp_extract(p["t"], r"^\s*", 0))).alias("start"), (p["at"] + F.length(F.regexp_replace(p["t"], r"\s+$", ""))).alias("end"), F.regexp_replace(p["t"], r"^\s+|\s+$", "").alias("text")))
-    return F.filter(told, lambda p: p["text"] != "")
+    total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda s, x: s + x)
+    told = lambda t, at: F.struct(
+        (at + F.length(F.regexp_extract(t, r"^\s*", 0))).alias("start"), (at + F.length(F.regexp_replace(t, r"\s+$", ""))).alias("end"), F.regexp_replace(t, r"^\s+|\s+$", "").alias("text"))
+
+    def placed(cut: Column, sizes: Column, heads: Column) -> Column:
+        block = lambda i: F.floor(i / PIECES).cast("int")
+        at = lambda i: F.get(heads, block(i)) + total(F.slice(sizes, block(i) * PIECES + 1, i % PIECES))
+        return F.transform(cut, lambda t, i: told(t, at(i)))
+
+    def of(cut: Column, sizes: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / PIECES).cast("int")), lambda b: total(F.slice(sizes, b * PIECES + 1, F.lit(PIECES))))
+        heads = _once(blocks, lambda bs: F.transform(bs, lambda _, i: total(F.slice(bs, F.lit(1), i))))
+        return _once(heads, lambda h: placed(cut, sizes, h))
+
+    pieces = F.split(text, r"(?<=[.!?…][\"'»”’)\]]{0,5})(?=\s)")
+    spans = F.when(text.isNotNull(), _once(pieces, lambda cut: _once(F.transform(cut, F.length), lambda sizes: of(cut, sizes))))
+    return F.filter(spans, lambda p: p["text"] != "")
 
 
 #: Kinds of a turn of a dialog, in order: the first that holds is the turn's.

@@ -1,6 +1,7 @@
 """Token estimates by part, running folds, recovered objects, sentences and counters of dialogs."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -60,3 +61,11 @@ def test_kinds_of_turns_exclude_one_another(spark):
     r = accounts.dialog_statistics(spark.createDataFrame(turns), ["scenario"]).first()
     assert [r[k] for k in ("turns", "ok", "search_failed", "unchecked", "by_excerpts", "by_memory", "unknown_nothing_found", "unknown_by_content", "no_references")] == [6, 5, 1, 1, 1, 0, 1, 0, 1]
     assert (r["violated"], r["repaired"], r["memory_ok"], r["keys_asked"], r["prompt"], r["cost_main"], r["seconds_search"], r["empty"], r["unknown_with_references"]) == ([1, 5], 3, 6, 18, 50, 2.5, 2.0, 1, 1)
+
+
+def test_many_sentences_in_a_line_take_their_share_of_time(spark):
+    said = [f"Sentence {k}{'.' if k % 3 else '!»'}" for k in range(6000)]
+    text, begin = " ".join(said), time.monotonic()
+    found = spark.createDataFrame([(text,), (None,)], "t string").select(F.inline(accounts.sentences(F.col("t")))).collect()
+    assert time.monotonic() - begin < 20  # splitting anew for each sentence took minutes
+    assert [r["text"] for r in found] == said and all(text[r["start"]:r["end"]] == r["text"] for r in found)
