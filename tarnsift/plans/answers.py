@@ -50,12 +50,18 @@ def t28_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir).select("answer_id", "refs", "memory_refs")
 
 
+def _each(rows: DataFrame, field: str, *others: str) -> DataFrame:
+    """A row, one, for each element of field. Outer: else the optimizer puts a filter on its size below, where the whole check
+    is worked out again, each column inlined wherever another one names it."""
+    return rows.select("answer_id", *others, F.explode_outer(field).alias("one")).filter("one IS NOT NULL")
+
+
 def t29_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _checked(spark, sf_dir).select("answer_id", F.explode("claims").alias("c")).select("answer_id", "c.*")
+    return _each(_checked(spark, sf_dir), "claims").select("answer_id", "one.*")
 
 
 def t30_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _checked(spark, sf_dir).select("answer_id", F.explode("quotes").alias("q")).select("answer_id", "q.*")
+    return _each(_checked(spark, sf_dir), "quotes").select("answer_id", "one.*")
 
 
 def t32_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +72,9 @@ def t32_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_claim_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claim, the excerpt it refers to, and how the quotation of that excerpt fared (J13: number to excerpt by place)."""
     made = made_answers(spark, sf_dir).select("answer_id", "excerpts")
-    claims = t29_claims(spark, sf_dir).withColumn("number", F.col("ref").try_cast("long"))
-    quotes = t30_quotes(spark, sf_dir).select("answer_id", "number", "quote", "status")
-    rows = claims.join(quotes, ["answer_id", "number"], "left").join(made, "answer_id")
-    return rows.select("answer_id", "ref", "sentence", F.get("excerpts", (F.col("number") - 1).cast("int")).alias("excerpt"), "quote", "status")
+    claims = _each(_checked(spark, sf_dir), "claims", "quotes").select("answer_id", "quotes", "one.*").withColumn("number", F.col("ref").try_cast("long"))
+    rows = claims.withColumn("q", F.explode_outer(F.filter("quotes", lambda q: q["number"] == F.col("number")))).join(made, "answer_id")
+    return rows.select("answer_id", "ref", "sentence", F.get("excerpts", (F.col("number") - 1).cast("int")).alias("excerpt"), "q.quote", "q.status")
 
 
 def j14_memory_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Answer checks on literal answers."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from tarnsift import queries as core
 from tarnsift.operators import answers
 from tarnsift.plans import answers as plans
 
@@ -82,3 +85,9 @@ def test_over_conversations(spark):
     odd = spark.createDataFrame([(1, None, None, None, None)], SCHEMA)
     assert answers.checked(odd).first()["kind"] == "none" and answers.checked(odd.limit(0)).count() == 0
     assert "Python" not in answers.checked(odd)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("key, again", [("T29_claims", r"size\("), ("T30_quotes", r"size\("), ("P3_claim_table", r"size\("), ("T11_sentence_spans", r"size\("), ("T26_benchmark_parts", "xxhash64")])
+def test_no_filter_works_out_again_what_is_exploded(spark, key, again):
+    plan = core.QUERIES[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(rf"Filter [^\n]*{again}", plan)
