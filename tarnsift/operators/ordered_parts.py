@@ -40,7 +40,8 @@ def found_in_order(texts: DataFrame, parts: DataFrame) -> DataFrame:
         return F.transform(F.slice("tw", F.lit(1), F.greatest(F.size("tw") - (n - 1), F.lit(0))), lambda _, i: at(i))
 
     places = F.concat(F.array().cast("array<struct<at:int,hash:bigint>>"), *map(windows, reaches))
-    hits = base.select("doc_id", F.explode(places).alias("p")).select("doc_id", "p.at", "p.hash").join(anchors, "hash").select("doc_id", "item_id", "part", "at", "size", "parts", "w")
+    # outer: else the optimizer puts a filter below that works out all windows a second time
+    hits = base.select("doc_id", F.explode_outer(places).alias("p")).filter("p IS NOT NULL").select("doc_id", "p.at", "p.hash").join(anchors, "hash").select("doc_id", "item_id", "part", "at", "size", "parts", "w")
     if hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
     same = F.slice("b.tw", F.col("h.at") + 1, F.col("h.size")) == F.col("h.w")
