@@ -79,6 +79,24 @@ def test_jaccard_join_with_a_large_near_group(spark):
     assert got == brute_classes(texts)
 
 
+def test_sketches_are_added_up_in_tasks(spark, none):
+    """The driver gets one packed array, not partial sums of eight MB each; the levels are those of plain counting."""
+    sc = spark.sparkContext
+    rng = np.random.default_rng(7)
+    sketches = [rng.integers(0, 50, 1 << jaccard_join.SKETCH_BITS).astype(np.uint32) for _ in range(9)]
+    frame = spark.createDataFrame([(-1, bytearray(zlib.compress(s.tobytes(), 1))) for s in sketches] + [(5, None)], "n long, sketch binary").repartition(5)
+    store = sc._jsc.sc().statusStore()
+    stages = lambda: store.stageList(sc._jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    sizes = lambda: {s.stageId(): s.resultSize() for s in (x for seq in [stages()] for x in (seq.apply(i) for i in range(seq.size())))}
+    before = set(sizes())
+    got = jaccard_join._levels(frame)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    assert sum(v for k, v in sizes().items() if k not in before) < 2_000_000
+    counts = np.sum(sketches, 0, dtype=np.uint64)
+    assert got.dtype == np.uint8 and np.array_equal(got, np.minimum(255, np.log2(counts + 1.0) * 4).astype(np.uint8))
+    assert not jaccard_join._levels(spark.createDataFrame([], "n long, sketch binary")).any()
+
+
 def test_jaccard_join_on_real_and_odd_rows(spark, real, odd, none):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(real).collect()}
     assert got == brute_classes({r["doc_id"]: r["text"] for r in real.collect()})
