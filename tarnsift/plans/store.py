@@ -11,6 +11,10 @@ from tarnsift.sources import store
 from tarnsift.streaming import snapshots
 
 
+#: Sections of a listing whose sizes are broadcast once counted.
+BROADCAST_SECTIONS = 10_000
+
+
 def k1_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index published twice; what is read is the second, whole."""
     path = f"{scratch_dir(spark)}/index"
@@ -25,6 +29,8 @@ def _listing(docs: DataFrame, text: Column, section: Column | None = None, beyon
     section, declared = F.col("source") if section is None else section, F.lit(0) if beyond is None else beyond
     rows = docs.select(section.alias("section"), F.col("doc_id").alias("place"), F.col("doc_id").alias("article_id"), F.substring_index("text", "\n", 1).alias("question"), text.alias("text"))
     sizes = rows.groupBy("section").agg((F.count("*") + F.max(declared)).alias("declared"))
+    if sizes.limit(BROADCAST_SECTIONS + 1).count() <= BROADCAST_SECTIONS:
+        sizes = F.broadcast(sizes)  # else texts would be shuffled by section
     return rows.join(sizes, "section").select([c.split()[0] for c in snapshots.LISTING.split(", ")])
 
 
@@ -36,8 +42,10 @@ def k3_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, text in enumerate((F.col("text"), changed)):
         _listing(docs, text).write.parquet(f"{folder}/listing{k}")
         snapshots.take_in(spark, folder, str(k), f"{folder}/listing{k}")
-    joined = snapshots.articles(spark, folder).join(snapshots.texts(spark, folder).select("text_hash", "text"), "text_hash")
-    return joined.groupBy(F.col("run").alias("run_id")).agg(F.count("*").alias("articles"), F.count_distinct("text_hash").alias("texts"), F.sum(F.length("text")).alias("chars"))
+    # lengths of the stored texts, so that the texts themselves stay where they are
+    lengths = snapshots.texts(spark, folder).select("text_hash", F.length("text").alias("length"))
+    joined = snapshots.articles(spark, folder).join(lengths, "text_hash")
+    return joined.groupBy(F.col("run").alias("run_id")).agg(F.count("*").alias("articles"), F.count_distinct("text_hash").alias("texts"), F.sum("length").alias("chars"))
 
 
 def z2_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:

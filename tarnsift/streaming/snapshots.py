@@ -2,7 +2,7 @@
 
 A crawl leaves a listing, a table with one row for each article that a section lists, and announces it with a small file.
 The stream of announcements is taken in batch by batch. A run's new texts, its articles and its changes since the last good run
-are written to folders of its number; the version of that number, written last, makes them visible and is the
+are written to folders of its number, texts straight from the rows of the listing that hold them first; the version of that number, written last, makes them visible and is the
 ledger: a batch that is replayed finds its announcement there and adds nothing, and what a run left behind that was
 killed is overwritten by the next one, which has the same number.
 
@@ -25,6 +25,9 @@ LISTING = "section string, declared long, place long, article_id long, question
 ANNOUNCED = "source string, path string"
 #: Sections that a reason names at most.
 MOST_NAMED = 20
+#: Rows that a mark of rows holds, a bit each; marks of 4 kB that are broadcast once counted.
+BLOCK_ROWS, BROADCAST_MARKS = 32_768, 4_096
+_AT = ("_metadata.file_path AS file", "_metadata.row_index AS row")
 _RUN = "run long, source string, ok boolean, reason string, articles long, twice long"
 
 
@@ -73,6 +76,21 @@ def compared(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select(F.coalesce("a.article_id", "b.article_id").alias("article_id"), kind.alias("kind")).filter("kind IS NOT NULL")
 
 
+def _marked(chosen: DataFrame) -> DataFrame:
+    """file, block, rows: rows (file, row) of files as a bit each, in blocks of BLOCK_ROWS rows."""
+    block, bit = F.floor(F.col("row") / BLOCK_ROWS), F.col("row") % BLOCK_ROWS
+    return chosen.groupBy("file", block.alias("block")).agg(F.bitmap_construct_agg(bit).alias("rows"))
+
+
+def _rows_at(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows (with file, row) that are marked. Marks take a bit a row, so the rows need not move for them."""
+    few = marks.limit(BROADCAST_MARKS + 1).count() <= BROADCAST_MARKS
+    found = rows.withColumn("block", F.floor(F.col("row") / BLOCK_ROWS)).join(F.broadcast(marks) if few else marks, ["file", "block"])
+    bit = F.col("row") % BLOCK_ROWS
+    byte = F.conv(F.hex(F.substring("rows", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.filter(F.getbit(byte, (bit % 8).cast("int")) == 1)
+
+
 def take_in(spark: SparkSession, folder: str, source: str, path: str) -> int | None:
     """Take in the listing at path as a run; its number, or None if source has been taken in before."""
     number, _ = versions.current(spark, folder)
@@ -88,19 +106,29 @@ def take_in(spark: SparkSession, folder: str, source: str, path: str) -> int | N
     if lacking:
         named = "; ".join(f"section {r['section']}: {r['declared']} declared, {r['read']} read" for r in lacking)
         return versions.commit(spark, folder, number, row | {"reason": named})
-    listed = listing.filter("article_id IS NOT NULL")
-    text = F.coalesce("text", F.lit(""))
-    first = listed.groupBy("article_id").agg(F.min_by(F.struct("section", "question", F.sha2(text, 256).alias("text_hash"), F.length(text).cast("long").alias("chars")), F.struct("place", "section")).alias("r"), F.count("*").alias("n"))
+    heads = f"{folder}/heads/run={number + 1}"
     put = lambda rows, name: rows.write.mode("overwrite").parquet(f"{folder}/{name}/run={number + 1}")
+    text = F.coalesce("text", F.lit(""))
+    listed = listing.filter("article_id IS NOT NULL").select(
+        "article_id", "place", "section", "question", F.sha2(text, 256).alias("text_hash"), F.length(text).cast("long").alias("chars"), *map(F.expr, _AT))
+    put(listed, "heads")  # no text: what is sorted and shuffled below is narrow
+    listed = spark.read.schema(listed.schema).parquet(heads)
+    first = listed.groupBy("article_id").agg(F.min_by(F.struct("section", "question", "text_hash", "chars"), F.struct("place", "section")).alias("r"))
     put(first.select("article_id", "r.section", "r.question", "r.text_hash", "r.chars"), "articles")
     now = spark.read.parquet(f"{folder}/articles/run={number + 1}")
-    fresh = listed.select(F.sha2(text, 256).alias("text_hash"), text.alias("text")).join(now.select("text_hash").distinct(), "text_hash", "left_semi")
-    put(fresh.join(texts(spark, folder).select("text_hash"), "text_hash", "left_anti").dropDuplicates(["text_hash"]), "texts")
+    fresh = listed.join(now.select("text_hash").distinct(), "text_hash", "left_semi").join(texts(spark, folder).select("text_hash"), "text_hash", "left_anti")
+    chosen = fresh.groupBy("text_hash").agg(F.min(F.struct("file", "row")).alias("at")).select("at.file", "at.row")
+    put(_marked(chosen), "marks")
+    marks = spark.read.schema("file string, block long, rows binary").parquet(f"{folder}/marks/run={number + 1}")
+    chosen_rows = _rows_at(listing.select(text.alias("text"), *map(F.expr, _AT)), marks)
+    put(chosen_rows.select(F.sha2("text", 256).alias("text_hash"), "text"), "texts")
     last = known.filter("ok").agg(F.max("run").alias("run")).first()["run"]
     before = articles(spark, folder).filter(F.col("run") == last) if last is not None else now.limit(0)
     put(compared(before.select(now.columns), now) if last is not None else spark.createDataFrame([], "article_id long, kind string"), "changes")
-    n = now.count()
-    return versions.commit(spark, folder, number, row | {"ok": True, "articles": n, "twice": listed.count() - n})
+    n, twice = now.count(), listed.count() - now.count()
+    for name in ("heads", "marks"):
+        versions.remove(spark, f"{folder}/{name}/run={number + 1}")
+    return versions.commit(spark, folder, number, row | {"ok": True, "articles": n, "twice": twice})
 
 
 def taking_in(folder: str) -> Callable[[DataFrame, int], None]:

@@ -216,3 +216,33 @@ def test_vectors_are_stacked_by_group(spark):
     blocks = store.stacked(spark.createDataFrame(rows, "id long, label int, v array<float>"), "label", "id", "v", most=10).collect()
     got = {i: r["values"][k * r["size"] : (k + 1) * r["size"]] for r in blocks for k, i in enumerate(r["ids"])}
     assert got == {i: v for i, _, v in rows if v is not None} and all(r["ids"] == sorted(r["ids"]) for r in blocks)
+
+
+def test_rows_at_marks(spark, tmp_path, monkeypatch):
+    """Marks give back the rows that were chosen, in every block and at its edges, broadcast or not."""
+    path = str(tmp_path / "t")
+    spark.range(0, 80_000, 1, 2).write.parquet(path)
+    rows = spark.read.parquet(path).selectExpr("id", "_metadata.file_path AS file", "_metadata.row_index AS row")
+    wanted = rows.filter("id % 7 = 3 OR row IN (0, 7, 8, 32767, 32768, 39999)")
+    marks = snapshots._marked(wanted.select("file", "row"))
+    expected = sorted(r["id"] for r in wanted.collect())
+    assert sorted(r["id"] for r in snapshots._rows_at(rows, marks).collect()) == expected
+    monkeypatch.setattr(snapshots, "BROADCAST_MARKS", 0)
+    assert sorted(r["id"] for r in snapshots._rows_at(rows, marks).collect()) == expected
+
+
+def test_a_run_moves_no_texts(spark, tmp_path):
+    """What a run shuffles and spills is narrow: texts go from the listing to their place without one."""
+    listing = str(tmp_path / "listing")
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.sha2(F.concat_ws("-", "id", i.cast("string")), 256)), " ")
+    rows = spark.range(0, 400, 1, 4).select(F.lit("s").alias("section"), F.lit(400).cast("long").alias("declared"), F.col("id").alias("place"), F.col("id").alias("article_id"), F.lit("q").alias("question"), text.alias("text"))
+    rows.write.parquet(listing)  # 7.8 MB of texts that hardly pack
+    store_, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+    arrays = sc._jvm.java.util.ArrayList
+    stages = lambda: store_.stageList(arrays(), False, False, sc._gateway.new_array(sc._jvm.double, 0), arrays())
+    each = lambda s: {s.apply(i).stageId(): s.apply(i).shuffleWriteBytes() + s.apply(i).diskBytesSpilled() for i in range(s.size())}
+    before = set(each(stages()))
+    snapshots.take_in(spark, str(tmp_path / "f"), "a", listing)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    assert sum(v for k, v in each(stages()).items() if k not in before) < 1_000_000
+    assert snapshots.texts(spark, str(tmp_path / "f")).count() == 400
