@@ -97,3 +97,17 @@ def test_beginnings_of_terms_are_never_broadcast(spark):
     found = inverted.matched_terms(index, spark.createDataFrame([("al",), ("bet",)], "word string"))
     assert [tuple(r)[:2] for r in found.collect()] == [("bet", "beta")]
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_a_common_word_are_dealt_to_tasks(spark, monkeypatch):
+    """A word of all queries and all documents: its pairs come in many tasks, and the scores are those of the plain loop."""
+    monkeypatch.setattr(inverted, "PAIRS", 200, raising=False)
+    docs = [(k, "common " + "ab" * (k % 5 + 2)) for k in range(90)]
+    queries = {k: "common abab" if k % 2 else "common" for k in range(40)}
+    index = inverted.build(spark.createDataFrame(docs, "doc_id long, text string"), f"{scratch_dir(spark)}/index", {"text": 1})
+    asked = spark.createDataFrame(list(queries.items()), "query_id long, text string")
+    found = inverted.search(index, asked, 20)
+    assert got(found) == plain_search(docs, queries, (1,), 20)
+    assert found.rdd.getNumPartitions() == 27  # 3,600 and 1,800 pairs in tasks of 200
+    every = inverted.search(index, asked)
+    assert max(every.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()) <= 90 * 7
