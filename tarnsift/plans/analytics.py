@@ -4,7 +4,11 @@ event_type stands for the mode, the hour for the repeat, value for the elapsed s
 failed turn where a rule needs one.
 """
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
 from tarnsift.plans.sql import pairs
+from tarnsift.session import table
 
 QUERIES, ORACLE_SQL = pairs({
     "G9_answer_stats": """
@@ -115,3 +119,18 @@ QUERIES, ORACLE_SQL = pairs({
         SELECT c_custkey, CASE WHEN c_custkey % 10 = 1 AND c_custkey % 100 <> 11 THEN 'one'
                WHEN c_custkey % 10 BETWEEN 2 AND 4 AND NOT c_custkey % 100 BETWEEN 12 AND 14 THEN 'few' ELSE 'many' END AS form FROM customer""",
 })
+
+#: Rows of lineitem in a task of the islands, about.
+ISLAND_ROWS = 500_000
+
+
+def w12_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of part numbers without a gap, by supplier. Equal rows have one dense rank, so they need not be taken out first; tasks are as
+    many as the rows ask for, each with whole suppliers."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    dealt = rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // ISLAND_ROWS)), "l_suppkey")
+    island = F.col("l_partkey") - F.dense_rank().over(Window.partitionBy("l_suppkey").orderBy("l_partkey"))
+    return dealt.withColumn("island", island).groupBy("l_suppkey", "island").agg(F.min("l_partkey").alias("first_key"), F.max("l_partkey").alias("last_key")).drop("island")
+
+
+QUERIES["W12_islands"] = w12_islands

@@ -8,7 +8,7 @@ import pytest
 
 from tarnsift import queries as core
 from tarnsift.operators.state import Task, admit, advance, candidate_queue, queue_fates, queued, rate_limited, state_machine
-from tarnsift.plans import cleaning, lookups, records
+from tarnsift.plans import analytics, cleaning, lookups, records
 from tarnsift.plans import state as plans
 from tarnsift.plans.sql import TABLES
 from tarnsift.streaming.limiter import limited_stream
@@ -140,3 +140,20 @@ def test_state_machine_over_events(spark):
         outcomes.add(outcome)
         assert got[r["task"], r["seq"]] == (task.stage, task.step, task.paused, list(task.results), task.pending, outcome)
     assert len(outcomes) > 6
+
+
+def test_islands_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
+    """Tasks follow the rows, with whole suppliers in each; rows repeated do not break an island."""
+    rows = [(s, k) for s in range(40) for k in range(30) if (s + k) % 7] * 2
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(analytics, "ISLAND_ROWS", 100, raising=False)
+    found = analytics.QUERIES["W12_islands"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == -(-len(rows) // 100)
+    have, want = set(rows), set()
+    for s, k in have:
+        if (s, k - 1) not in have:
+            last = k
+            while (s, last + 1) in have:
+                last += 1
+            want.add((s, k, last))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
