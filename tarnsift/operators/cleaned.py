@@ -76,15 +76,39 @@ def raw_places(kept: DataFrame, places: DataFrame) -> DataFrame:
     asked = places.select("doc_id", F.col("place").alias("at"), F.lit(None).cast(marks.schema["of"].dataType).alias("of"), F.lit(1).alias("side"))
     order = Window.partitionBy("doc_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = marks.union(asked).withColumn("of", F.last("of", ignorenulls=True).over(order)).filter("side = 1")
+    return _led_back(rows).select("doc_id", F.col("at").alias("place"), "raw_place")
+
+
+def _led_back(rows: DataFrame) -> DataFrame:
+    """rows (at, of: line, raw_start, piece, clean_start of the piece that at stands in) with raw_place."""
+    others = [c for c in rows.columns if c not in ("inside", "head")]
     inside: Column = F.least(F.col("at") - F.col("of.clean_start"), F.length("of.piece")).cast("int")
     rows = rows.withColumn("inside", inside).withColumn("head", F.expr("substr(of.piece, 1, inside)"))
     words = F.length(F.regexp_replace("head", "[^ ]", ""))
     in_word = F.length(F.substring_index("head", " ", -1))
     tokens = F.regexp_extract_all("of.line", F.lit(r"\s*\S+"), F.lit(0))
-    rows = rows.select("doc_id", "at", "of", words.alias("k"), in_word.alias("in_word"), tokens.alias("tokens"))
+    rows = rows.select(*others, words.alias("k"), in_word.alias("in_word"), tokens.alias("tokens"))
     before = F.aggregate(F.slice("tokens", F.lit(1), F.col("k")), F.lit(0), lambda s, t: s + F.length(t))
     blanks = F.length(F.regexp_extract(F.coalesce(F.get("tokens", F.col("k")), F.lit("")), r"^\s*", 0))
-    return rows.select("doc_id", F.col("at").alias("place"), (F.col("of.raw_start") + before + blanks + F.col("in_word")).cast("long").alias("raw_place"))
+    return rows.select(*others, (F.col("of.raw_start") + before + blanks + F.col("in_word")).cast("long").alias("raw_place"))
+
+
+def places_every(kept: DataFrame, step: int) -> DataFrame:
+    """Every step-th place of the clean texts: doc_id, place, raw_place, clean_char, raw_char. A piece reaches to where the next one
+    begins, so each gives its own places and the signs at them; neither texts nor places are put together or joined.
+    Behind the end of a piece or line that another one follows stands what joins the two."""
+    order = Window.partitionBy("doc_id").orderBy("n")
+    end = F.col("clean_start") + F.length("piece")
+    rows = kept.withColumn("next_gap", F.lead("gap", 1, 0).over(order)).withColumn("next_joined", F.lead("joined").over(order))
+    first, last = F.ceil(F.col("clean_start") / step) * step, (end + F.col("next_gap") - 1).cast("long")
+    held = rows.filter(first <= last).select("doc_id", "next_joined", F.struct("line", "raw_start", "piece", "clean_start").alias("of"), F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("at"))
+    rows = _led_back(held)
+    sign = lambda text, at: F.substring(text, at.cast("int") + 1, F.lit(1))
+    inside, in_line = F.col("at") - F.col("of.clean_start"), F.col("raw_place") - F.col("of.raw_start")
+    between = F.when(F.col("next_joined") == "paragraph", "\n").otherwise(" ")
+    clean = F.when(inside < F.length("of.piece"), sign(F.col("of.piece"), inside)).otherwise(between)
+    raw = F.when(in_line < F.length("of.line"), sign(F.col("of.line"), in_line)).otherwise("\n")
+    return rows.select("doc_id", F.col("at").alias("place"), "raw_place", clean.alias("clean_char"), raw.alias("raw_char"))
 
 
 def glossary_units(paragraphs: DataFrame) -> DataFrame:

@@ -48,12 +48,7 @@ def f4_dropped_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t1_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 400th place of the clean texts, led back to the raw text, and what stands at both."""
-    kept = cleaned.pieces(_told(spark, sf_dir))
-    texts = cleaned.clean_texts(kept).filter(F.length("text") > 0)
-    asked = texts.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), (F.length("text") - 1).cast("long"), F.lit(400).cast("long"))).alias("place"))
-    back = cleaned.raw_places(kept, asked).join(texts, "doc_id").join(printed(spark, sf_dir).withColumnRenamed("text", "raw"), "doc_id")
-    at = lambda text, place: F.substring(text, F.col(place).cast("int") + 1, F.lit(1))
-    return back.select("doc_id", "place", "raw_place", at(F.col("text"), "place").alias("clean_char"), at(F.col("raw"), "raw_place").alias("raw_char"))
+    return cleaned.places_every(cleaned.pieces(_told(spark, sf_dir)), 400)
 
 
 def t8_glossary_units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ from functools import reduce
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tarnsift import queries as core
+from tarnsift.operators import cleaned
 from tarnsift.operators.state import Task, admit, advance, candidate_queue, queue_fates, queued, rate_limited, state_machine
 from tarnsift.plans import analytics, cleaning, lookups, records
 from tarnsift.plans import state as plans
@@ -157,3 +159,18 @@ def test_islands_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
                 last += 1
             want.add((s, k, last))
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_places_are_told_by_their_pieces(spark):
+    """Every place of a clean text, at joints, cut words and removed signs too, as raw_places and the whole texts say; one shuffle."""
+    raw = ["First line.\nsecond goes on-\nhere  and\u00adthere \u00ad x\n\n 12\n-- Third\nLast-\nA", "one", "cut-\nword-\nagain\n•\n\tTab  two", "\u00ad\n \n"]
+    docs = spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string")
+    lines = cleaned.raw_lines(docs).withColumn("page", F.lit(1)).withColumn("size", F.lit(9.0))
+    kept = cleaned.pieces(cleaned.dropped(lines))
+    texts = {r["doc_id"]: r["text"] for r in cleaned.clean_texts(kept).collect()}
+    for step in (1, 4):
+        asked = [(d, p) for d, t in texts.items() for p in range(0, len(t), step)]
+        led = {(r["doc_id"], r["place"]): r["raw_place"] for r in cleaned.raw_places(kept, spark.createDataFrame(asked, "doc_id long, place long")).collect()}
+        found = cleaned.places_every(kept, step)
+        assert sorted(map(tuple, found.collect())) == sorted((d, p, at, texts[d][p], raw[d][at : at + 1]) for (d, p), at in led.items())
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # printed twice: initial and final
