@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnsift.operators import inverted, similarity
+from tarnsift.queries import QUERIES
 from tarnsift.session import scratch_dir
 
 SF = "/root/testdata/sf0.001"
@@ -111,3 +112,42 @@ def test_pairs_of_a_common_word_are_dealt_to_tasks(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == 27  # 3,600 and 1,800 pairs in tasks of 200
     every = inverted.search(index, asked)
     assert max(every.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()) <= 90 * 7
+
+
+def shuffled(spark, run):
+    """What run gives, and how many rows its stages have written for others to read."""
+    group = f"shuffled-{id(run)}-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    out = run()
+    jobs, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {k for job in jobs.getJobIdsForGroup(group) for k in jobs.getJobInfo(job).stageIds}
+    return out, sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in stages)
+
+
+@pytest.mark.parametrize("name", ["R12_turns_against_documents"])
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark, tmp_path, name):
+    """Every query finds every document by every word."""
+    words = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    spark.createDataFrame([(20 * k, words) for k in range(100)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(20 * k, 0, "user", words) for k in range(100)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows, n = shuffled(spark, lambda: QUERIES[name](spark, str(tmp_path)).collect())
+    assert len(rows) == 100 * {"K6_search_log_kept": 1, "R4_rescored_turns": 5}.get(name, 50)
+    assert n < 100 * 100 * 60 / 4
+
+
+@pytest.mark.parametrize("limit, newest", [(None, False), (3, False), (3, True)])
+def test_blocks_and_parts_of_queries_give_the_order_of_one(spark, monkeypatch, limit, newest):
+    """Ids are strings, some documents have no place or no id; many blocks, parts of the queries, and lists of a term over several ranges."""
+    for name, most in (("LETTERS", 150), ("QUERY_WORDS", 40), ("PAIRS", 300), ("RANKED", 200)):
+        monkeypatch.setattr(inverted, name, most, raising=False)
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choices("ab", k=rng.choice((3, 4, 5)))) for _ in range(n))
+    docs = [(f"d{k:02}", None if k % 9 == 0 else k % 7, text(1), text(4)) for k in range(60)]
+    queries = {f"q{k}": text(5) for k in range(20)}
+    frame = spark.createDataFrame([*docs, (None, 0, "aaa", "bbb")], "doc_id string, at int, title string, text string").repartition(3)
+    index = inverted.build(frame, f"{scratch_dir(spark)}/index", {"title": 3, "text": 1}, order=F.col("at"), ranges=4)
+    assert index.blocks > 5
+    asked = spark.createDataFrame(list(queries.items()), "query_id string, text string")
+    place = lambda d: -1 if d[1] is None else d[1]  # noqa: E731  null is first, and last if the newest are first
+    order = sorted(docs, key=lambda d: (place(d), d[0]), reverse=newest)
+    assert got(inverted.search(index, asked, limit, newest=newest)) == plain_search([(d[0], *d[2:]) for d in order], queries, (3, 1), limit)
