@@ -124,7 +124,7 @@ def shuffled(spark, run):
     return out, sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in stages)
 
 
-@pytest.mark.parametrize("name", ["R12_turns_against_documents", "K6_search_log_kept", "R15_titles_against_tickets"])
+@pytest.mark.parametrize("name", ["R12_turns_against_documents", "K6_search_log_kept", "R15_titles_against_tickets", "R4_rescored_turns"])
 def test_pairs_of_queries_and_documents_are_not_shuffled(spark, tmp_path, name):
     """Every query finds every document by every word."""
     words = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
